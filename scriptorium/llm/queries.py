@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing
+from . import common, langid, mixing, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,33 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def remainder(n: int) -> F.col:
+    """crc32 of the id as text, modulo n; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those with crc32(doc_id) mod 3 other than 1."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(remainder(3) != 1).select(F.col("doc_id").alias("id"), "text", "lang"))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and perplexity bands for all documents."""
+    out = quality.assess(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels of ids with crc32(doc_id) mod 4 other than 2."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scorer = toxicity.learn(docs, labels.where(remainder(4) != 2))
+    out = toxicity.score(docs.select("doc_id", "text"), scorer)
+    return out.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to 150% of their words with weights 5, 2, 1."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -48,7 +75,10 @@ SELECT doc_id, size, source_size, target,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_language_id": op3_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
