@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, mixing, packing, quality, toxicity
+from . import chat, common, hamming, langid, mixing, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,51 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    odd = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
+    out = chat.conversations(chat.linear(turns.unionByName(more)))
+    seen = out.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("lost", chat.masked(F.col("formatted"), F.col("loss")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return seen.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, len(regexp_replace(text, '(\\*)(</?s>|<</?SYS>>|\[/?INST\]|\[ROLE |\[/ROLE\])', '\1\1\\\2', 'g'))
+        + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 14 + len(url_encode(role)) END + 3 AS chars FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every vector whose id is divisible by 50, among all others."""
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.signs(F.col("embedding")).alias("code"))
+    return hamming.search(codes, codes.where("id % 50 = 0"))
+
+
+OP10_SQL = """
+WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0),
+d AS (SELECT query_id, vec_id AS neighbor_id,
+             len(list_filter(range(1, 65), lambda i: coalesce(a[i] > 0, false) <> coalesce(embedding[i] > 0, false)))::INT AS hamming
+      FROM q JOIN embeddings ON vec_id <> query_id)
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hamming, neighbor_id))::INT AS rank FROM d
+QUALIFY rank <= 10
+"""
+
+
 def remainder(n: int) -> F.col:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -75,10 +120,12 @@ SELECT doc_id, size, source_size, target,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
+    "op10_top_k_search": op10_top_k_search,
 }
 
-SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
+SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op8_mixing": OP8_SQL, "op10_top_k_search": OP10_SQL}
