@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, hamming, jaccard, langid, mixing, packing, quality, suffixes, toxicity
+from . import chat, common, hamming, jaccard, langid, mixing, packing, pii, quality, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,13 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents")).drop("links")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    out = pii.detect(table(spark, sf_dir, "documents"))
+    counts = [pii.count(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(pii.PATTERNS)]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all documents without strings of 400 bytes that occur elsewhere."""
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -135,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_pii": op6_pii,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
