@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,18 +20,29 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """`df` written to the shared checkpoint folder: lineage ends there, and a lost executor loses nothing.
-
-    The folder is the session's own; only a local session without one gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared checkpoint folder: lineage ends there, and a lost executor loses
+    nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder as Parquet and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
