@@ -269,6 +269,10 @@ def rename_keys(df: DataFrame) -> DataFrame:
 STEPS: dict[int, Callable[[Column], Column]] = {1: strip_action, 2: strip_quotes, 3: strip_starter, 5: strip_action_word, 6: strip_preposition, 7: strip_name_title, 8: strip_named}
 
 
+def _each(step: Callable[[Column], Column]) -> Column:
+    return F.transform("value", lambda v: F.when(F.col("is_list"), v).otherwise(step(v)))
+
+
 def clean(df: DataFrame, batches: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 7, 8, 9)) -> DataFrame:
     """GLO-12, GLO-18: the chosen batches, in order, over (en, value, is_list, pos). Lists pass as they
     are, except that their keys are cleaned."""
@@ -279,7 +283,8 @@ def clean(df: DataFrame, batches: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 7, 8, 9))
         elif b == 9:
             df = rename_keys(df)
         else:
-            df = df.withColumn("value", F.when(F.col("is_list"), F.col("value")).otherwise(F.array(STEPS[b](one))))
+            # inside the lambda the value is computed once, however often the step names it
+            df = df.withColumn("value", _each(STEPS[b]))
     return df
 
 

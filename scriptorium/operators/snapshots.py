@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def diff(old: DataFrame, new: DataFrame, key: str = "path", value: str = "sha256") -> DataFrame:
     """JOI-18: (key, change, value): added, modified or removed; the value is the new one."""
@@ -89,16 +91,16 @@ def throttled(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     the join doubles how far they reach. A key with a third of all rows is rows of a join, not a group.
     """
     order = Window.partitionBy(key).orderBy(ts, *[c for c in events.columns if c not in (key, ts)])
-    rows = events.withColumn("_t", F.unix_micros(ts)).withColumn("_n", F.row_number().over(order))
+    rows = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_n", F.row_number().over(order))
     ahead = Window.partitionBy(key).orderBy("_t").rangeBetween(seconds * 1_000_000, Window.unboundedFollowing)
     rows = rows.withColumn("_next", F.min("_n").over(ahead))
+    rows = cut(rows)
     reached = rows.where("_n = 1").select(key, "_n")
     hop = rows.where("_next IS NOT NULL").select(F.col(key).alias("_k"), F.col("_n").alias("_a"), F.col("_next").alias("_b"))
-    longest = rows.agg(F.max("_n")).head()[0] or 1
-    for _ in range(max(1, longest.bit_length())):
+    while hop.limit(1).count():
         further = reached.join(hop, (F.col(key) == F.col("_k")) & (F.col("_n") == F.col("_a"))).select(key, F.col("_b").alias("_n"))
-        reached = reached.unionByName(further)
-        x, y = hop, hop.toDF("_k2", "_a2", "_b2")
-        hop = x.join(y, (F.col("_k") == F.col("_k2")) & (F.col("_b") == F.col("_a2"))).select("_k", "_a", F.col("_b2").alias("_b"))
+        reached = cut(reached.unionByName(further))
+        y = hop.toDF("_k2", "_a2", "_b2")
+        hop = cut(hop.join(y, (F.col("_k") == F.col("_k2")) & (F.col("_b") == F.col("_a2"))).select("_k", "_a", F.col("_b2").alias("_b")))
     out = rows.join(reached.withColumn("accepted", F.lit(True)), [key, "_n"], "left")
     return out.select(*events.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
