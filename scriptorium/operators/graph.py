@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def chase(edges: DataFrame, starts: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """GRF-01, GRF-02: (start, final, cycle, hops) for each start, following src -> tgt.
@@ -17,13 +19,14 @@ def chase(edges: DataFrame, starts: DataFrame | None = None, limit: int = 10) ->
     open_ = starts.select(F.col("src").alias("start"), F.col("src").alias("at"), F.array("src").alias("seen"))
     done = None
     for _ in range(limit):
-        step = open_.join(known, F.col("at") == F.col("src"), "left")
         again = F.array_contains("seen", F.col("tgt"))
-        full = F.size("seen") >= limit
-        ended = F.col("tgt").isNull() | again | full
-        closed = step.where(ended).select("start", F.col("at").alias("final"), (F.col("tgt").isNotNull() & again).alias("cycle"), (F.size("seen") - 1).alias("hops"))
+        ended = F.col("tgt").isNull() | again | (F.size("seen") >= limit)
+        step = cut(open_.join(known, F.col("at") == F.col("src"), "left").withColumn("ended", ended))
+        closed = step.where("ended").select("start", F.col("at").alias("final"), F.coalesce(again, F.lit(False)).alias("cycle"), (F.size("seen") - 1).alias("hops"))
         done = closed if done is None else done.unionByName(closed)
-        open_ = step.where(~ended).select("start", F.col("tgt").alias("at"), F.concat("seen", F.array("tgt")).alias("seen"))
+        open_ = step.where("NOT ended").select("start", F.col("tgt").alias("at"), F.concat("seen", F.array("tgt")).alias("seen"))
+        if not open_.limit(1).count():
+            break
     return done.unionByName(open_.select("start", F.col("at").alias("final"), F.lit(False).alias("cycle"), (F.size("seen") - 1).alias("hops")))
 
 

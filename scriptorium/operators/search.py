@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import cut
 
 STUB = 120
 #: First match wins. Category names and the codes they get.
@@ -197,8 +198,9 @@ class Engine:
 
     @classmethod
     def build(cls, pages: DataFrame, popularity: DataFrame | None = None) -> Engine:
-        items = entries(pages, popularity)
-        return cls(items, posting_rows(items))
+        """The index of pages, built once: queries read it from the shared checkpoint folder."""
+        items = cut(entries(pages, popularity))
+        return cls(items, cut(posting_rows(items)))
 
     def write(self, path: str) -> None:
         """SNK-04 to SNK-07: titles in one table, postings by kind and bucket."""

@@ -50,7 +50,8 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-25: (path, sha256) of all files below a folder; unreadable ones are skipped."""
+    """SRC-25: (path, sha256) of all files below a folder; unreadable ones are skipped, and so are names
+    that start with _ or a dot, which Spark holds for hidden."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path)
     root = path.rstrip("/")
     return files.select(F.regexp_replace("path", rf"^.*?\Q{root.split('/')[-1]}\E/", "").alias("path"), F.sha2("content", 256).alias("sha256"))

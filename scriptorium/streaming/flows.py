@@ -70,4 +70,5 @@ def breaker(results: DataFrame, order: str, throttles: int = 20, failures: int =
     rows = rows.withColumn("_fail", F.sum(F.when(F.col("status") == "fail", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     stop = (F.col("_row") >= throttles) | (F.col("_fail") >= failures)
     before = F.max(F.when(stop, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.where(F.coalesce(before, F.lit(0)) == 0).drop("_break", "_row", "_fail")
+    rows = rows.withColumn("_stopped", F.coalesce(before, F.lit(0)))
+    return rows.where("_stopped = 0").drop("_break", "_row", "_fail", "_stopped")
