@@ -55,6 +55,14 @@ def english_name(title, body, k):
     return F.when((k == "p") & F.startswith(body, title) & (F.length(name) >= 2), name)
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """`rows` plus a dense id from 0 in order of `order`, of which `span` is a prefix: ranks inside each
+    span, plus the rows of the spans before. Only the counts of spans meet in one task."""
+    before = rows.groupBy("span").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    rank = F.row_number().over(Window.partitionBy("span").orderBy(*order))
+    return rows.join(before, "span").withColumn("id", F.col("before") + rank - 1)
+
+
 def entries(pages: DataFrame, popularity: DataFrame | None = None) -> DataFrame:
     """Index entries of pages (ns, pageid, title, body, categories array<string>): id, title, kind, type,
     excerpt, name, pop, and the text that is indexed.
@@ -64,9 +72,7 @@ def entries(pages: DataFrame, popularity: DataFrame | None = None) -> DataFrame:
     """
     pages = pages.where(~T.skipped(F.col("title")) & ~((F.col("ns") == 0) & T.stripped(F.col("body")).rlike(POINTER)))
     pages = pages.withColumn("digest", F.sha1(F.col("pageid").cast("string"))).withColumn("span", F.substring("digest", 1, 2))
-    before = pages.groupBy("span").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    rank = F.row_number().over(Window.partitionBy("span").orderBy("digest", "title"))
-    out = pages.join(F.broadcast(before), "span").withColumn("id", F.col("before") + rank - 1)
+    out = numbered(pages, "digest", "title")
     stub = F.length("body") < STUB
     out = out.withColumn("kind", kind(F.col("ns")))
     text = F.when(stub, F.col("title")).otherwise(F.concat("title", F.lit(" \n "), F.substring("body", 1, 600)))
@@ -84,10 +90,8 @@ def with_aliases(items: DataFrame, targets: DataFrame) -> DataFrame:
     link, type and popularity; ids follow those of pages, in order of the alias."""
     known = targets.join(items.select(F.col("title").alias("alias")), "alias", "left_anti")
     found = known.join(items, F.col("target") == F.col("title"))
-    start = items.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.orderBy("alias"))
-    rows = found.withColumn("rank", rank).join(F.broadcast(start))
-    rows = rows.select((F.col("start") + F.col("rank") - 1).alias("id"), F.col("alias").alias("title"), "kind", "type", "href", F.concat(F.lit(ALIAS_PREFIX), "target").alias("excerpt"), F.lit(None).cast("string").alias("name"), F.col("alias").alias("text"), "pop")
+    start = items.agg(F.coalesce(F.max("id") + 1, F.lit(0))).scalar()
+    rows = numbered(found.withColumn("span", F.substring("alias", 1, 2)), "alias").select((start + F.col("id")).alias("id"), F.col("alias").alias("title"), "kind", "type", "href", F.concat(F.lit(ALIAS_PREFIX), "target").alias("excerpt"), F.lit(None).cast("string").alias("name"), F.col("alias").alias("text"), "pop")
     return items.select(*rows.columns).unionByName(rows)
 
 
@@ -125,8 +129,10 @@ def expanded(rows: DataFrame, word: str, most_keys: int = 200, most_ids: int = 5
     """SET-04, SRT-09: ids of a word and of the words it starts, in order, until `most_keys` of them, or
     until `most_ids` ids are there before the next."""
     own = rows.where((F.col("kind") == "w") & F.col("token").startswith(word))
-    keys = own.select("token").distinct().withColumn("rank", F.when(F.col("token") == word, 0).otherwise(F.row_number().over(Window.orderBy(F.col("token") == word, "token"))))
-    first = own.join(keys.where(F.col("rank") <= most_keys), "token").groupBy("id").agg(F.min("rank").alias("rank"))
+    longer = own.where(F.col("token") != word).select("token").distinct().orderBy("token").limit(most_keys)
+    keys = longer.withColumn("rank", F.row_number().over(Window.orderBy("token")))
+    keys = keys.unionByName(rows.sparkSession.createDataFrame([(word, 0)], "token string, rank int"))
+    first = own.join(F.broadcast(keys), "token").groupBy("id").agg(F.min("rank").alias("rank"))
     sums = first.groupBy("rank").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # a key that adds nothing new has no row here; it counts as a key but brings no ids
     return first.join(F.broadcast(sums.where((F.col("rank") == 0) | (F.col("before") < most_ids)).select("rank")), "rank").select("id")
@@ -153,7 +159,8 @@ def search(items: DataFrame, rows: DataFrame, text: str, limit: int | None = 50)
     lower = text.lower().strip()
     titled = items.where(T.title_matches(F.lower("title"), lower)).select("id")
     found = items.join(all_in.unionByName(titled).distinct(), "id", "left_semi")
-    scored = rank(found, text).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+    total = found.select("id").agg(F.count(F.lit(1))).scalar()
+    scored = rank(found, text).withColumn("total", total)
     scored = scored.orderBy(F.desc("score"), F.desc("pop"), "id")
     return scored if limit is None else scored.limit(limit)
 
