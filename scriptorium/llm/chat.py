@@ -59,21 +59,24 @@ def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     own = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     first = own.join(there, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    steps = [cut(first.select("tree", "node", F.col("n").alias("jump"), "score"))]
-    most = math.ceil(math.log2(steps[0].count() + 1)) + 1
-    while steps[-1].where("jump IS NOT NULL").limit(1).count() and len(steps) <= most:
+    everything = cut(first.select("tree", "node", F.col("n").alias("jump"), "score"))
+    steps, done = [everything.where("jump IS NOT NULL")], everything.where("jump IS NULL")
+    most = math.ceil(math.log2(everything.count() + 1)) + 1
+    while steps[-1].limit(1).count() and len(steps) <= most:
         a = steps[-1]
-        b = a.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("next"), F.col("score").alias("more"))
-        far = a.join(b, (F.col("tree") == F.col("t")) & (F.col("jump") == F.col("n")), "left")
-        steps.append(cut(far.select("tree", "node", F.col("next").alias("jump"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))))
-    parents = steps[0].where("jump IS NOT NULL").select(F.col("tree").alias("t"), F.col("jump").alias("n")).distinct()
-    leaves = steps[-1].where("jump IS NULL").join(parents, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+        b = a.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("next"), F.col("score").alias("more"))
+        far = a.join(b, (F.col("tree") == F.col("t")) & (F.col("jump") == F.col("n")))
+        far = cut(far.select("tree", "node", F.col("next").alias("jump"), (F.col("score") + F.col("more")).alias("score")))
+        steps.append(far.where("jump IS NOT NULL"))
+        done = done.unionByName(far.where("jump IS NULL"))
+    parents = everything.where("jump IS NOT NULL").select(F.col("tree").alias("t"), F.col("jump").alias("n")).distinct()
+    leaves = done.join(parents, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node")))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
     paths = ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(steps))):
-        hop = steps[k].where("jump IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "jump")
+        hop = steps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "jump")
         on = paths.join(hop, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")))
         paths = cut(paths.unionByName(on.select("tree", "leaf", "rank", F.col("jump").alias("node"), (F.col("up") + (1 << k)).alias("up"))))
     return paths
