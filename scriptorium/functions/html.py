@@ -49,7 +49,7 @@ def text_of(html: str | None, dropped: frozenset[str] = frozenset()) -> str:
 
 
 def parsed_text(html: Column, dropped: tuple[str, ...] = ("licensebox",)) -> Column:
-    """STR-08 for pages of any form, unclosed tags and all."""
+    """STR-08, UDF-02 for pages of any form, unclosed tags and all."""
     classes = frozenset(dropped)
 
     @F.pandas_udf("string")

@@ -126,6 +126,25 @@ def supplement(stats: DataFrame, known: DataFrame) -> DataFrame:
     return confident(stats).where(F.length("zh") <= 8).withColumn("low", F.lower("en")).join(have, "low", "left_anti").drop("low").orderBy(F.lower("en"))
 
 
+LEADING_NOISE = "依照 除非 虽然 但是 而且 因此 所以 如果 即使 这个 那个 这些 那些 一个 一只 一位 一名 北部 南部 东部 西部 然后 并且 它会 他们 她们 我们 你们 此外 另外 首先 其次 最后".split()
+BAD_STARTS = [*LEADING_NOISE, *"是指 代表 表示 指的是 形如 形似 意味 来自 生长 位于 专门 可以 应当 是否 是相对 或说 或以 或脚 不过 发该 通常 必须 使用 将会 当与 当你 当他 当她 当它 当这 过欺".split()]
+
+
+def trimmed(zh: Column) -> Column:
+    """STR-18: without the first opening word that fits, if two characters are left."""
+    out = zh
+    for p in reversed(LEADING_NOISE):
+        out = F.when(zh.startswith(p) & (F.length(zh) > len(p) + 1), F.substring(zh, len(p) + 1, 1000)).otherwise(out)
+    return out
+
+
+def plausible(en: Column, zh: Column) -> Column:
+    """FLT-14, FLT-15, FLT-17, FLT-21: whether a pair may go into a supplement."""
+    good_zh = F.length(zh).between(1, 10) & ~starts(zh, BAD_STARTS) & ~zh.rlike("^[的了过着得地将被会就或]") & ~zh.rlike(r"[|\[\]{}《》]") & ~((F.length(zh) >= 10) & zh.rlike("[，。；：、！？]"))
+    good_en = (F.length(en) >= 3) & en.rlike("[A-Za-z]{3,}") & ~en.rlike(r"^[A-Z]{2,5}\s*\d+$") & ~en.rlike(r"^\d+[、,.。（）a-zA-Z]?[\s、。（）,.]|^\d[eE][）)]|\[\[|\]\]|\|")
+    return good_en & good_zh
+
+
 # ---- merging ----
 
 def english_candidate(en: Column) -> Column:
@@ -151,7 +170,7 @@ MERGED = "en string, value array<string>, is_list boolean, action string"
 
 
 def merge(glossary: DataFrame, stats: DataFrame) -> DataFrame:
-    """GLO-02: (en, value, is_list, action). glossary: en, value array<string>, is_list, pos; stats: en,
+    """GLO-02, JOI-11, AGG-19: (en, value, is_list, action). glossary: en, value array<string>, is_list, pos; stats: en,
     zh, count, sources, alternatives, pos.
 
     Mined terms with the same letters in any case see what the ones before them did, so such a group,

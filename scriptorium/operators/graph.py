@@ -69,7 +69,7 @@ def version_chain(hops: DataFrame, current: str, latest: str, guard: int = 100)
 
 
 def inlinks(links: DataFrame) -> DataFrame:
-    """GRF-05: (title, inlinks) over links (title, exists, ns): every occurrence counts."""
+    """GRF-05, FLT-04: (title, inlinks) over links (title, exists, ns): every occurrence counts."""
     ok = links.where(F.coalesce("exists", F.lit(False)) & F.col("ns").isin(0, 14, 102, 3500) & (F.coalesce("title", F.lit("")) != ""))
     return ok.groupBy("title").agg(F.count(F.lit(1)).alias("inlinks"))
 

@@ -64,7 +64,7 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def entries(pages: DataFrame, popularity: DataFrame | None = None) -> DataFrame:
-    """Index entries of pages (ns, pageid, title, body, categories array<string>): id, title, kind, type,
+    """PRJ-12, JOI-09: index entries of pages (ns, pageid, title, body, categories array<string>): id, title, kind, type,
     excerpt, name, pop, and the text that is indexed.
 
     Ids are dense, in order of the page id's digest: ranks inside ranges of the digest, plus the rows of
@@ -139,7 +139,7 @@ def expanded(rows: DataFrame, word: str, most_keys: int = 200, most_ids: int = 5
 
 
 def search(items: DataFrame, rows: DataFrame, text: str, limit: int | None = 50) -> DataFrame:
-    """RNK-01: (id, title, href, kind, type, excerpt, score, pop, total) of the best entries.
+    """RNK-01, PRJ-18, PRJ-19: (id, title, href, kind, type, excerpt, score, pop, total) of the best entries.
 
     Tokens without postings are left out; an entry must hold all others. Titles that match the whole
     query are added. Title, English name, popularity and kind make the score; ties go by popularity, id.
@@ -218,6 +218,7 @@ class Engine:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Engine:
+        """SRC-23, SRC-24: a query's literal buckets prune the folders that are read."""
         return cls(spark.read.parquet(f"{path}/titles"), spark.read.parquet(f"{path}/postings"))
 
     def search(self, text: str, limit: int | None = 50) -> DataFrame:

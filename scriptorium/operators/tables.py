@@ -53,7 +53,7 @@ def majority_numeric_sort(df: DataFrame, column: str, original: str, descending:
 
 
 def typed_sort(df: DataFrame, column: str, original: str, numeric: bool, descending: bool = False) -> DataFrame:
-    """SRT-03: blanks of a numeric column count as infinity, so they lead when descending."""
+    """SRT-03, SRT-04: blanks of a numeric column count as infinity, so they lead when descending."""
     key = F.coalesce(number(F.col(column).cast("string")), F.lit(float("inf"))) if numeric else natural_key(F.col(column))
     return df.orderBy(key.desc() if descending else key.asc(), original)
 

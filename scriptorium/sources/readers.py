@@ -101,7 +101,7 @@ class _Part(InputPartition):
 
 
 class ContinuedSource(DataSource):
-    """SRC-08, SRC-17, SRC-19, SRC-20: answers of a listing API, page by page, each naming the next. The
+    """SRC-08, SRC-17, STM-02, SRC-19, SRC-20: answers of a listing API, page by page, each naming the next. The
     answers are files that a fetcher has left in a folder: {"rows": [...], "continue": "next name"}.
     Chains (options `start`, comma-separated) are read in parallel; as a stream, one answer at a time."""
 
