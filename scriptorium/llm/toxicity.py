@@ -27,6 +27,7 @@ class Scorer:
 
     def __init__(self, ordinary: bytes, toxic: bytes, window: int, level: int):
         self.ordinary, self.toxic, self.window, self.level, self.weights = ordinary, toxic, window, level, None
+        self.common = frozenset(ordinary.split(b" "))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "pair"}
@@ -44,9 +45,10 @@ class Scorer:
         return self.pair
 
     def gains(self, text: str) -> np.ndarray:
-        """For each window of the whole text, the bytes that the toxic dictionary saves."""
+        """For each window of the whole text, the bytes that the toxic dictionary saves. Words that the
+        ordinary dictionary holds as they are tell nothing and only add noise, so windows go without."""
         ordinary, toxic = (c.compress for c in self.compressors())
-        w, n = words(text), self.window
+        w, n = [x for x in words(text) if x not in self.common], self.window
         out = []
         for i in range(0, len(w), n):
             b = b" %b " % b" ".join(w[i : i + n])
@@ -74,14 +76,15 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(((self.features(text) - mean) / deviation) @ w, -30, 30))))
 
 
-def train(texts: list[str], labels: list[int], window: int = 16, level: int = 3, size: int = 64 << 10, distinct: float = 8.0) -> Scorer | float:
+def train(texts: list[str], labels: list[int], window: int = 6, level: int = 3, size: int = 64 << 10, distinct: float = 5.0) -> Scorer | float:
     """Dictionaries and calibration from labelled texts; a constant score if one label is missing or
     texts are too few for a dictionary.
 
-    The ordinary dictionary is trained on ordinary texts. The toxic one holds the same and, nearest to
+    The ordinary dictionary is trained on ordinary texts, less words that stand out in toxic ones, for
+    ordinary texts quote some of them. The toxic one holds the same and, nearest to
     the window, the words of toxic texts whose share of toxic texts stands out by `distinct` deviations;
     windows of ordinary words then compress alike with both, and a gain is due to toxic words. The
-    first half of the texts fills the dictionaries and all of them calibrate. Copies count once.
+    same texts calibrate the score. Copies count once.
     """
     import zstandard
 
@@ -101,12 +104,17 @@ def train(texts: list[str], labels: list[int], window: int = 16, level: int = 3,
 
     limit = min(distinct, 0.2 * np.sqrt(n + m))
     chosen = sorted((w for w in toxic if toxic[w] > 1 and stands_out(w) >= limit), key=lambda w: (-stands_out(w), w))
-    plain = [b" ".join(words(t)) for t, y in seen.items() if not y]
+    out = set(chosen[:2000])
+    plain = [b" ".join(w for w in words(t) if w not in out) for t, y in seen.items() if not y]
     try:
         content = zstandard.train_dictionary(size, plain).as_bytes()
     except zstandard.ZstdError:
         content = b" ".join(plain)[-size:]
-    scorer = Scorer(content, content + b" " + b" ".join(chosen[:2000]) + b" ", window, level)
+    bad = bytearray(content)
+    for w in reversed(chosen[:2000]):  # the most telling words last, nearest to the window
+        for place in range(3):  # zstandard indexes every third place of a dictionary
+            bad += b" " * ((place - len(bad)) % 3) + b" " + w + b" "
+    scorer = Scorer(content, bytes(bad), window, level)
     scorer.calibrate(texts, labels)
     return scorer
 
