@@ -13,7 +13,8 @@ BITS = 64
 
 
 def signs(embedding: Column) -> Column:
-    """64 sign bits of a vector: bit i is whether the sum of its elements i, i + 64, ... is positive."""
+    """64 sign bits of a vector: bit i is whether the sum of its elements i, i + 64, ... is positive.
+    Null for no vector; null elements count as 0."""
     def bit(i: Column) -> Column:
         own = F.filter(embedding, lambda x, k: F.pmod(k, F.lit(BITS)) == i)
         total = F.aggregate(own, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))
@@ -21,7 +22,7 @@ def signs(embedding: Column) -> Column:
 
     short = F.aggregate(F.transform(embedding, lambda x, k: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
     long = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
-    return F.when(F.size(embedding) <= BITS, short).otherwise(long)
+    return F.when(embedding.isNotNull(), F.when(F.size(embedding) <= BITS, short).otherwise(long))
 
 
 def segment(code: Column, k: Column, width: int) -> Column:
