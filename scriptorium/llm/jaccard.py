@@ -16,6 +16,8 @@ from .links import Bloom, components
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = {"n": np.cumprod(np.full(1 << 16, _BASE, np.uint64))}
+#: A token is counted if these of its bits are 0: one in four.
+COUNTED = np.uint64(3)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
@@ -34,35 +36,97 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["n"], _POWERS["inv"]
 
 
-def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles of a text, A-Z lower-cased. A text of fewer
-    words is one shingle; one without words has none."""
-    a = np.frombuffer(text.encode().translate(_LOWER), np.uint8)
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its n-word shingles, A-Z lower-cased. A text of
+    fewer words is one shingle; one without words has none."""
+    a = np.frombuffer(b"\n".join(texts).translate(_LOWER), np.uint8)
     inside = np.concatenate([[False], (a != 32) & ((a < 9) | (a > 13)), [False]])
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = turns[::2], turns[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64)
     power, inverse = _powers(len(a) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[: len(a)])])
     words = _mix((sums[end] - sums[start]) * inverse[start])
-    k = min(n, len(words))
-    out = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = _mix(out * _BASE + words[i : len(words) - k + 1 + i])
-    return np.unique(out)
-
-
-def prefix(tokens: np.ndarray, size: int, share: int, heavy: np.ndarray, order: int) -> np.ndarray:
-    """The first tokens of a set under one global order: two sets with `share`% of Jaccard similarity
-    share one of them. Order k is by a hash of its own, after which come tokens that are `heavy`."""
-    length = size - -(-share * size // 100) + 1
-    rank = _mix(tokens + np.uint64(order) * _BASE)
-    if len(heavy):
-        at = np.searchsorted(heavy, tokens)
-        often = heavy[np.minimum(at, len(heavy) - 1)] == tokens
-        return tokens[np.lexsort((rank, often))[:length]]
-    return tokens[np.argpartition(rank, length - 1)[:length]] if length < size else tokens
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    at = np.searchsorted(start, first).tolist()
+
+    def of(w: np.ndarray, k: int) -> np.ndarray:
+        out = np.full(len(w) - k + 1, k, np.uint64)
+        for i in range(k):
+            out = _mix(out * _BASE + w[i : len(w) - k + 1 + i])
+        return out
+
+    windows = of(words, n) if len(words) >= n else words[:0]
+    out = []
+    for x, y in zip(at, at[1:]):
+        if y - x < n:
+            out.append(of(words[x:y], y - x) if y > x else words[:0])
+        else:
+            t = np.sort(windows[x : y - n + 1])
+            out.append(t[np.concatenate([[True], t[1:] != t[:-1]])])
+    return out
+
+
+def prefix(tokens: np.ndarray, share: int, shared: Bloom | None, heavy: np.ndarray | None = None) -> np.ndarray:
+    """The first tokens of a set under the first order: two sets with `share`% of Jaccard similarity
+    share one of them. First come counted tokens not known to be `shared`, then those not counted, then
+    shared ones, then `heavy` ones (sorted), each by a hash."""
+    length = _length(len(tokens), share)
+    key = _mix(tokens + _BASE) >> np.uint64(2)
+    if shared is not None:
+        counted = tokens & COUNTED == 0
+        often = np.zeros(len(tokens), bool)
+        often[counted] = shared.has(tokens[counted])
+        rank = np.where(often, np.uint64(2), np.where(counted, np.uint64(0), np.uint64(1)))
+        if heavy is not None and len(heavy):
+            rank[heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens] = 3
+        key |= rank << np.uint64(62)
+    return tokens[np.argpartition(key, length - 1)[:length]]
+
+
+def signature(tokens: np.ndarray) -> list[int]:
+    """16 words and a number that bound how much two sets have in common: tokens are dealt to 256 places,
+    word 4t + k has a bit for each place of quarter k with more than t tokens, and the number counts
+    tokens beyond the fourth of a place."""
+    counts = np.bincount(_mix(tokens ^ _BASE) & np.uint64(255), minlength=256)
+    levels = np.packbits(np.stack([counts > t for t in range(4)]), axis=1, bitorder="little")
+    return [*levels.view("<i8").ravel().tolist(), int(np.maximum(counts - 4, 0).sum())]
+
+
+def most_common(a, b) -> F.col:
+    """An upper bound of the tokens that sets with signatures a and b share."""
+    bits = sum((F.bit_count(a[i].bitwiseAND(b[i])) for i in range(1, 16)), F.bit_count(a[0].bitwiseAND(b[0])))
+    return bits + F.least(a[16], b[16])
+
+
+def _length(size: int, share: int) -> int:
+    return size - -(-share * size // 100) + 1
+
+
+class Frequent:
+    """Tokens that come up `least` times or more in some stretch of a task's sets, and how often."""
+
+    def __init__(self, least: int = 8, stretch: int = 2_000_000):
+        self.least, self.stretch, self.waiting, self.held, self.sums = least, stretch, [], 0, {}
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.waiting.append(tokens)
+        self.held += len(tokens)
+        if self.held >= self.stretch:
+            self.close()
+
+    def close(self) -> None:
+        if self.waiting:
+            tokens, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+            for t, c in zip(tokens[counts >= self.least].tolist(), counts[counts >= self.least].tolist()):
+                self.sums[t] = self.sums.get(t, 0) + c
+        self.waiting, self.held = [], 0
+
+    def rows(self) -> Iterator[list[np.ndarray]]:
+        self.close()
+        items = list(self.sums.items())
+        for k in range(0, len(items), 20_000):
+            t, c = (np.array(x) for x in zip(*items[k : k + 20_000]))
+            yield [np.zeros(len(t), np.int64), t.astype(np.uint64).view(np.int64), c.astype(np.int64), np.full(len(t), 2)]
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -70,54 +134,120 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(docs: DataFrame, n: int, schema: str, rows_of, flush=None) -> DataFrame:
-    """Rows that `rows_of(id, tokens, node, new)` yields for each document; `new`: its node is met for
-    the first time in this task."""
+def _sets(docs: DataFrame, n: int, schema: str, rows_of, again: bool = False, tally=None) -> DataFrame:
+    """Rows that `rows_of(id, tokens, node)` gives for each document, as columns. Without `again`, only
+    for the first document of each node in a task. `tally()` gives a task a pair of functions: one takes
+    the sets of new nodes, one gives rows at the end."""
     names = [c.split()[0] for c in schema.split(", ")]
-    types = [{"long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}[c.split()[1]] for c in schema.split(", ")]
+    types = [{"long": pa.int64(), "array<bigint>": pa.list_(pa.int64())}[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        state: dict = {}
+        met: set[int | None] = set()
 
         def batch(columns: list[list]) -> pa.RecordBatch:
-            arrays = [pa.array(np.concatenate(c) if c and isinstance(c[0], np.ndarray) and not pa.types.is_list(t) else c, t) for c, t in zip(columns, types)]
+            arrays = [pa.array(np.concatenate(c) if isinstance(c[0], np.ndarray) and not pa.types.is_list(t) else c, t) for c, t in zip(columns, types)]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        columns, held = [[] for _ in names], 0
+        columns, held, waiting, size = [[] for _ in names], 0, [], 0
+        add, rest = tally() if tally else (None, None)
+
+        def work() -> None:
+            nonlocal held
+            for (key, _), tokens in zip(waiting, shingle_sets([t for _, t in waiting], n)):
+                node = node_of(tokens) if len(tokens) else None
+                if add and len(tokens) and node not in met:
+                    add(tokens)
+                if again or (len(tokens) and node not in met):
+                    met.add(node)
+                    rows = rows_of(key, tokens, node)
+                    if rows is not None:
+                        held += len(tokens)
+                        for c, x in zip(columns, rows):
+                            c.append(x)
+            waiting.clear()
+
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                tokens = shingles(text.as_py() or "", n)
-                node = node_of(tokens) if len(tokens) else None
-                rows = rows_of(key, tokens, node, node not in met, state)
-                met.add(node)
-                if rows is not None:
-                    for c, x in zip(columns, rows):
-                        c.append(x)
-                    held += len(tokens)
-                if held > 200_000 or len(columns[0]) > 20_000:
-                    yield batch(columns)
-                    columns, held = [[] for _ in names], 0
+                waiting.append((key, (text.as_py() or "").encode()))
+                size += len(waiting[-1][1])
+                if size > 200_000 or len(waiting) > 2000:
+                    work()
+                    size = 0
+                    if held > 200_000 or len(columns[0]) > 20_000:
+                        yield batch(columns)
+                        columns, held = [[] for _ in names], 0
+        work()
         if columns[0]:
             yield batch(columns)
-        if flush is not None:
-            yield from (batch([[x] for x in c]) for c in flush(state))
+        if rest:
+            yield from (batch([[x] for x in c]) for c in rest())
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def similar(docs: DataFrame, n: int = 4, share: int = 85, most_heavy: int = 50_000) -> DataFrame:
+def shared_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """How many tokens each two of the sets share, by products of `width` columns of their incidence."""
+    lengths = [len(x) for x in sets]
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1, width):
+        x, y = np.searchsorted(column, [first, first + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[owner[x:y], column[x:y] - first] = 1
+        out += m @ m.T
+    return out
+
+
+def verified_in_blocks(pairs: DataFrame, sets: DataFrame, share: int, most_tokens: int = 200_000) -> DataFrame:
+    """The pairs (a, b) that link, of `sets` (node, tokens in the second order). Nodes are dealt to blocks
+    by the least node that each is paired with, so the nodes of a family of like texts meet, and each
+    set is sent once a pair of blocks instead of once a pair. A block holds at most about `most_tokens`."""
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    block = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))
+    block = block.join(sets.select("node", F.size("tokens").alias("size")), "node")
+    large = block.groupBy("label").agg(F.ceil(F.sum("size") / most_tokens).alias("parts"))
+    block = cut(block.join(large, "label").select("node", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")))
+    a, b = block.toDF("a", "block_a"), block.toDF("b", "block_b")
+    both = pairs.join(a, "a").join(b, "b")
+    both = cut(both.select(F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("key"), "a", "b"))
+    needed = both.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sent = needed.join(sets, "node").select(F.col("key").alias("to"), "node", "tokens")
+
+    def verify(key, rows, members):
+        import pandas as pd
+
+        own = [np.asarray(t, np.int64) for t in members["tokens"]]
+        at = {n: i for i, n in enumerate(members["node"].tolist())}
+        i, j = rows["a"].map(at).to_numpy(np.int64), rows["b"].map(at).to_numpy(np.int64)
+        cuts = [_length(len(t), share) for t in own]
+        ok = (shared_counts([t[:k] for t, k in zip(own, cuts)])[i, j] > 0) & (shared_counts([t[len(t) - k :] for t, k in zip(own, cuts)])[i, j] > 0)
+        rows, i, j = rows[ok], i[ok], j[ok]
+        if not len(rows):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        common, size = shared_counts(own)[i, j].astype(np.int64), np.array([len(t) for t in own])
+        return rows[100 * common >= share * (size[i] + size[j] - common)][["a", "b"]]
+
+    return both.groupBy("key").cogroup(sent.groupBy("to")).applyInPandas(verify, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, most_heavy: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, links) for every document: the size of its set of n-word
     shingles, the least doc_id reachable by links of at least `share`% Jaccard similarity, and whether
     its set has a link to a different set.
 
-    Equal sets are one node. Tokens that are frequent within input partitions (the `most_heavy` most
-    frequent of them; a bound of the broadcast, and they only move back in the order) come last in the
-    first order. Nodes that share a prefix token of the first order meet in that token's group. There
-    each is first paired with one leader, the least node of the group that most of its tokens name; the
-    links found that way join most copies of a text, however many, with one pair each. Every pair of
-    a group that is still in different components is then a candidate too. Candidates must share prefix
-    tokens in the second and third order as well before their whole sets are compared.
+    Equal sets are one node. A quarter of all tokens, chosen by their hash, are counted over the input,
+    and a Bloom filter of 2**log_bits bits holds those of several nodes; the first order puts them last,
+    so passages that documents share rarely lie in a prefix (false positives only move a token back). Behind
+    them come the `most_heavy` tokens most frequent in single tasks, whatever their hash.
+    Nodes that share a prefix token of the first order meet in that token's group. There each is first
+    paired with one leader, the least node of the group that most of its tokens name; the links found
+    that way join most copies of a text, however many, with one pair each. Every pair of a group that
+    is still in different components is then a candidate too, unless its signatures show that it can't
+    be similar enough. Candidates must share prefix tokens in the
+    second and third order as well before their whole sets are compared.
 
     Null or empty text, or no word: n_shingles 0, in a component of its own. Repeated rows: equal sets.
     Null doc_id: linked like any other, but names a component only if there is no other id in it. Hashes
@@ -127,40 +257,28 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, most_heavy: int = 50_0
     prepare(spark)
     docs = docs.select("doc_id", "text")
 
-    def first_look(key, tokens, node, new, state):
-        if len(tokens) and new:
-            state.setdefault("all", []).append(tokens)
-            state["held"] = state.get("held", 0) + len(tokens)
-            if state["held"] > 2_000_000:
-                squeeze(state)
-        return [np.array([key if key is not None else 0]), np.array([node or 0]), np.array([len(tokens)]), np.array([0 if key is not None else 1])]
-
-    def squeeze(state):
-        if state.get("all"):
-            tokens, counts = np.unique(np.concatenate(state["all"]), return_counts=True)
-            sums = state.setdefault("counts", {})
-            for t, c in zip(tokens[counts >= 8].tolist(), counts[counts >= 8].tolist()):
-                sums[t] = sums.get(t, 0) + c
-            state["all"], state["held"] = [], 0
-
-    def heavy_rows(state):
-        squeeze(state)
-        items = list(state.get("counts", {}).items())
-        for k in range(0, len(items), 20_000):
-            t = np.array([x for x, _ in items[k : k + 20_000]], np.uint64).view(np.int64)
-            c = np.array([x for _, x in items[k : k + 20_000]], np.int64)
-            yield [np.zeros(len(t), np.int64), t, c, np.full(len(t), 2, np.int64)]
+    def frequent():
+        f = Frequent()
+        return f.add, f.rows
 
-    look = cut(_sets(docs, n, "doc_id long, node long, size long, kind long", first_look, heavy_rows))
-    members = look.where("kind < 2").select(F.when(F.col("kind") == 0, F.col("doc_id")).alias("doc_id"), "node", "size")
+    def member(key, tokens, node):
+        return key if key is not None else 0, node if node is not None else 0, len(tokens), int(key is None)
+
+    look = cut(_sets(docs, n, "doc_id long, node long, size long, kind long", member, again=True, tally=frequent))
+    members = look.where("kind < 2").select(F.when(F.col("kind") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("size") > 0, F.col("node")).alias("node"), "size")
     top = look.where("kind = 2").groupBy("node").agg(F.sum("size").alias("c")).orderBy(F.desc("c"), "node").limit(most_heavy)
-    heavy = np.sort(np.array([r["node"] for r in top.collect()], np.int64).view(np.uint64))
+    heavy = spark.sparkContext.broadcast(np.sort(top.select("node").toArrow()["node"].to_numpy().view(np.uint64)))
 
-    def tokens_of(key, tokens, node, new, state):
-        if not len(tokens) or not new:
-            return None
-        p = prefix(tokens, len(tokens), share, heavy, 1)
-        return [p.view(np.int64), np.full(len(p), node), np.full(len(p), len(tokens))]
+    def counted(key, tokens, node):
+        some = tokens[tokens & COUNTED == 0]
+        return (some.view(np.int64),) if len(some) else None
+
+    often = _sets(docs, n, "token long", counted).groupBy("token").count().where("count > 1")
+    often = spark.sparkContext.broadcast(Bloom.of(often, "token", log_bits).words)
+
+    def tokens_of(key, tokens, node):
+        p = prefix(tokens, share, Bloom(often.value), heavy.value)
+        return p.view(np.int64), np.full(len(p), node), np.full(len(p), len(tokens))
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by token and node: drops repeats and each token's first node, which becomes the
@@ -188,26 +306,26 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, most_heavy: int = 50_0
     chosen = votes.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
     stars = cut(chosen.select(F.col("node").alias("a"), F.col("leader").alias("b")))
 
-    def whole(key, tokens, node, new, state, bloom):
-        if not len(tokens) or not new or not bloom.has(np.array([node], np.int64).view(np.uint64))[0]:
-            return None
-        orders = [prefix(tokens, len(tokens), share, heavy if k == 2 else heavy[:0], k).view(np.int64) for k in (2, 3)]
-        return [node, tokens.view(np.int64), *orders]
+    def verified(pairs: DataFrame, blocks: bool = False) -> DataFrame:
+        """The pairs (a, b) that link. Sets come sorted in the second order; the third is its reverse."""
+        asked = spark.sparkContext.broadcast(Bloom.of(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", log_bits).words)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        bloom = Bloom.of(nodes, "node")
-        held = spark.sparkContext.broadcast(bloom.words)
+        def whole(key, tokens, node):
+            if not Bloom(asked.value).has(np.array([node], np.int64).view(np.uint64))[0]:
+                return None
+            return node, tokens[np.argsort(_mix(tokens + _BASE + _BASE))].view(np.int64)
 
-        def rows_of(key, tokens, node, new, state):
-            return whole(key, tokens, node, new, state, state.setdefault("bloom", Bloom(held.value)))
+        sets = _sets(docs, n, "node long, tokens array<bigint>", whole).dropDuplicates(["node"])
+        return verified_in_blocks(pairs, sets, share) if blocks else one_by_one(pairs, sets)
 
-        sets = _sets(docs, n, "node long, tokens array<bigint>, p2 array<bigint>, p3 array<bigint>", rows_of).dropDuplicates(["node"])
-        a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("p2").alias("a2"), F.col("p3").alias("a3"))
-        b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("p2").alias("b2"), F.col("p3").alias("b3"))
+    def one_by_one(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
+        b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+        length = {c: (F.size(c) - F.ceil(F.size(c) * share / F.lit(100)) + 1).cast("int") for c in ("ta", "tb")}
+        second = F.arrays_overlap(*(F.slice(c, 1, length[c]) for c in ("ta", "tb")))
+        third = F.arrays_overlap(*(F.slice(c, -length[c], length[c]) for c in ("ta", "tb")))
         both = F.size(F.array_intersect("ta", "tb"))
-        met = pairs.join(a, "a").join(b, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
+        met = pairs.join(a, "a").join(b, "b").where(second & third)
         return met.where(100 * both >= share * (F.size("ta") + F.size("tb") - both)).select("a", "b").distinct()
 
     links = cut(verified(stars))
@@ -219,13 +337,24 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, most_heavy: int = 50_0
     rows = rows.join(part.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     rows = cut(rows.join(mixed, "token", "left_semi"))
-    other = rows.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("other"))
+    left = spark.sparkContext.broadcast(Bloom.of(rows.select("node").distinct(), "node", log_bits).words)
+
+    def bound(key, tokens, node):
+        if not Bloom(left.value).has(np.array([node], np.int64).view(np.uint64))[0]:
+            return None
+        return node, signature(tokens)
+
+    bounds = _sets(docs, n, "node long, bound array<bigint>", bound).dropDuplicates(["node"])
+    rows = rows.join(bounds, "node").select("token", "node", "size", "component", "bound")
+    other = rows.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("other"), F.col("bound").alias("bound_b"))
     fits = (100 * F.col("size") >= share * F.col("size_b")) & (100 * F.col("size_b") >= share * F.col("size"))
+    most = most_common(F.col("bound"), F.col("bound_b"))
+    fits &= 100 * most >= share * (F.col("size") + F.col("size_b") - most)
     pairs = rows.withColumnRenamed("node", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & fits)
     pairs = pairs.select("a", "b").distinct().join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     pairs = cut(pairs)
     if pairs.limit(1).count():
-        links = cut(links.unionByName(verified(pairs)))
+        links = cut(links.unionByName(verified(pairs, blocks=True)))
         part = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     linked = members.join(part.withColumnRenamed("u", "node"), "node", "left")
     group = F.when(F.col("size") > 0, F.coalesce("component", "node"))

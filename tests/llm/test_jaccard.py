@@ -72,16 +72,55 @@ def test_near_copies_go(spark):
     assert jaccard.similar(docs.limit(0)).count() == 0
 
 
-def test_all_orders_keep_a_common_prefix_token():
+def test_prefixes_keep_a_common_token():
     import numpy as np
 
+    from scriptorium.llm.links import Bloom
+
     rng = np.random.default_rng(1)
-    for _ in range(200):
+    shared = Bloom(rng.integers(0, 2**63, 1 << 4).view(np.uint64))
+    for _ in range(500):
         size = int(rng.integers(1, 60))
         a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
         b = np.unique(np.concatenate([a[: max(1, int(len(a) * rng.uniform(0.8, 1)))], rng.integers(0, 2**63, int(rng.integers(0, 6))).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
             heavy = np.sort(rng.choice(a, len(a) // 2, replace=False))
-            for order in (1, 2, 3):
-                assert len(np.intersect1d(jaccard.prefix(a, len(a), 85, heavy, order), jaccard.prefix(b, len(b), 85, heavy, order)))
+            for more in ((shared, heavy), (shared,), (None,)):
+                assert len(np.intersect1d(jaccard.prefix(a, 85, *more), jaccard.prefix(b, 85, *more)))
+
+
+def test_signatures_bound_what_is_common(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for size in (1, 5, 60, 300, 3000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], rng.integers(0, 2**63, size // 2).astype(np.uint64)]))
+            if len(b):
+                rows.append((jaccard.signature(a), jaccard.signature(b), len(np.intersect1d(a, b)), min(len(a), len(b))))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, both int, least int")
+    for r in df.withColumn("most", jaccard.most_common(jaccard.F.col("a"), jaccard.F.col("b"))).collect():
+        assert r.both <= r.most <= r.least
+
+
+def test_blocks_verify_like_sets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 40)
+    sets = {}
+    for i in range(30):
+        keep = base[rng.random(40) < 0.93]
+        sets[i] = [int(x) for x in rng.permutation(np.concatenate([keep, rng.integers(0, 2**63, 2)]))]
+    pairs = [(i, j) for i in sets for j in sets if i < j]
+    rank = sorted(set(sum(sets.values(), [])), key=lambda x: (x * 7919) % 10007)
+    place = {x: k for k, x in enumerate(rank)}
+    rows = [(i, sorted(t, key=place.get)) for i, t in sets.items()]
+    want = sorted((i, j) for i, j in pairs if 100 * len(set(sets[i]) & set(sets[j])) >= 85 * len(set(sets[i]) | set(sets[j])))
+    p, s = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "node long, tokens array<bigint>")
+    for most in (10, 100, 10**6):
+        assert sorted(map(tuple, jaccard.verified_in_blocks(p, s, 85, most).collect())) == want
+    assert 0 < len(want) < len(pairs)
