@@ -54,30 +54,30 @@ def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     so a tree of depth n takes log2(n) of them; then each chosen leaf follows the jumps, longest first,
     and a path costs one row a node. A path scores the sum of its nodes (null counts 0); ties go to the
     lower leaf. A parent that isn't there makes its child a root; nodes that only lead round in a circle
-    are on no path.
+    are on no path. Nodes of a null tree are one tree.
     """
     own = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    first = own.join(there, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")), "left")
+    first = own.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
     everything = cut(first.select("tree", "node", F.col("n").alias("jump"), "score"))
     steps, done = [everything.where("jump IS NOT NULL")], everything.where("jump IS NULL")
     most = math.ceil(math.log2(everything.count() + 1)) + 1
     while steps[-1].limit(1).count() and len(steps) <= most:
         a = steps[-1]
         b = a.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("next"), F.col("score").alias("more"))
-        far = a.join(b, (F.col("tree") == F.col("t")) & (F.col("jump") == F.col("n")))
+        far = a.join(b, F.col("tree").eqNullSafe(F.col("t")) & (F.col("jump") == F.col("n")))
         far = cut(far.select("tree", "node", F.col("next").alias("jump"), (F.col("score") + F.col("more")).alias("score")))
         steps.append(far.where("jump IS NOT NULL"))
         done = done.unionByName(far.where("jump IS NULL"))
     parents = everything.where("jump IS NOT NULL").select(F.col("tree").alias("t"), F.col("jump").alias("n")).distinct()
-    leaves = done.join(parents, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+    leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node")))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
     paths = ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(steps))):
         hop = steps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "jump")
-        on = paths.join(hop, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")))
+        on = paths.join(hop, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
         paths = cut(paths.unionByName(on.select("tree", "leaf", "rank", F.col("jump").alias("node"), (F.col("up") + (1 << k)).alias("up"))))
     return paths
 
@@ -92,7 +92,7 @@ def conversations(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     """
     paths = branches(nodes, best)
     texts = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("body"))
-    turns = paths.join(texts, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")))
+    turns = paths.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     turns = turns.withColumn("piece", F.concat(opening(F.col("role")), F.lit(" "), F.col("body"), F.lit(" "), closing(F.col("role")), F.lit("\n")))
     order = Window.partitionBy("tree", "leaf").orderBy(F.desc("up"))
     before = F.coalesce(F.sum(F.length("piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -36,3 +36,12 @@ def test_linear_ties_and_empty(spark):
     out = read(chat.conversations(chat.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
     assert [t.text for t in out[1, 1].turns] == ["a", "a", "b", ""] and hashlib
     assert chat.conversations(spark.createDataFrame([], NODES)).count() == 0
+
+
+def test_null_conversation_stays(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")]
+    out = read(chat.conversations(chat.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    assert {k: [t.text for t in r.turns] for k, r in out.items()} == {(None, 1): ["a", "b"], (1, 1): ["c"]}
+    nodes = [(None, 0, None, "user", "x", 0.0), (None, 1, 0, "assistant", "y", 2.0), (None, 2, 0, "assistant", "z", 1.0), (5, 1, 0, "user", "own root", 0.0)]
+    out = read(chat.conversations(spark.createDataFrame(nodes, NODES), best=None))
+    assert {k: [t.text for t in r.turns] for k, r in out.items()} == {(None, 1): ["x", "y"], (None, 2): ["x", "z"], (5, 1): ["own root"]}
