@@ -124,3 +124,12 @@ def test_blocks_verify_like_sets(spark):
     for most in (10, 100, 10**6):
         assert sorted(map(tuple, jaccard.verified_in_blocks(p, s, 85, most).collect())) == want
     assert 0 < len(want) < len(pairs)
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1), "a"), (2, text(1) + " more", "b"), (2, text(2), "c"), (2, text(3), "d"), (2, text(3), "d"), (3, text(3), "e"), (4, "", "f"), (4, None, "g"), (4, text(4), "h"), (None, text(1), "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    out = jaccard.distinct_documents(docs, n=5, share=80)
+    assert out.columns == docs.columns
+    assert sorted(r.mark for r in out.collect()) == ["a", "c", "d", "f", "g", "h", "i"]
