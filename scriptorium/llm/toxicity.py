@@ -119,9 +119,9 @@ def train(texts: list[str], labels: list[int], window: int = 6, level: int = 3,
     return scorer
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_ordinary: int = 3000, most_chars: int = 20_000) -> Scorer | float:
+def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_ordinary: int = 3000) -> Scorer | float:
     """A scorer from a bounded sample of labelled rows: at most `most_toxic` and `most_ordinary` ids
-    with the least hashes, and at most `most_chars` characters of a text."""
+    with the least hashes, each with its whole text, as `score` takes it."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic").distinct()
     ids = None
     for label, most in ((1, most_toxic), (0, most_ordinary)):
@@ -129,7 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_ordin
         ids = some if ids is None else ids.union(some)
     chosen = docs.sparkSession.createDataFrame(ids.collect() or [], "id long, toxic int")
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).where("text IS NOT NULL")
-    rows = rows.select("id", F.substring("text", 1, most_chars).alias("text"), "toxic").orderBy(F.xxhash64("id"), "id", "text").limit(most_toxic + most_ordinary)
+    rows = rows.select("id", "text", "toxic").orderBy(F.xxhash64("id"), "id", "text").limit(most_toxic + most_ordinary)
     sample = rows.collect()
     return train([r["text"] for r in sample], [r["toxic"] for r in sample])
 

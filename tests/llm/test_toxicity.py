@@ -35,3 +35,11 @@ def test_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     assert 0 <= toxicity.score(docs, toxicity.learn(docs, labels)).head().toxicity <= 1
     assert toxicity.score(docs.limit(0), scorer).count() == 0
+
+
+def test_learns_from_whole_texts(spark, monkeypatch):
+    long = "plain words " * 3000 + "vilestuff"
+    docs = spark.createDataFrame([(1, long), (2, "plain")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: dict(zip(texts, labels)))
+    assert toxicity.learn(docs, labels) == {long: 1, "plain": 0}
