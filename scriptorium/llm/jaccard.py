@@ -83,19 +83,84 @@ def prefix(tokens: np.ndarray, share: int, shared: Bloom | None, heavy: np.ndarr
     return tokens[np.argpartition(key, length - 1)[:length]]
 
 
-def signature(tokens: np.ndarray) -> list[int]:
-    """16 words and a number that bound how much two sets have in common: tokens are dealt to 256 places,
-    word 4t + k has a bit for each place of quarter k with more than t tokens, and the number counts
-    tokens beyond the fourth of a place."""
-    counts = np.bincount(_mix(tokens ^ _BASE) & np.uint64(255), minlength=256)
+def sketch(tokens: np.ndarray, share: int) -> list[int]:
+    """25 longs that screen a pair of sets before the sets move.
+
+    The first 17 bound how much two sets have in common: tokens are dealt to 256 places, word 4t + k has a
+    bit for each place of quarter k with more than t tokens, and the number behind them counts tokens
+    beyond the fourth of a place. Then come the places of the prefix tokens of the second order in four
+    words, and of the third order's in four more: a pair needs a place in common in both.
+    """
+    place = _mix(tokens ^ _BASE) & np.uint64(255)
+    counts = np.bincount(place, minlength=256)
     levels = np.packbits(np.stack([counts > t for t in range(4)]), axis=1, bitorder="little")
-    return [*levels.view("<i8").ravel().tolist(), int(np.maximum(counts - 4, 0).sum())]
+    order, k = _second(tokens), _length(len(tokens), share)
+    ends = np.zeros((2, 256), bool)
+    ends[0, place[order[:k]]] = ends[1, place[order[len(tokens) - k :]]] = True
+    ends = np.packbits(ends, axis=1, bitorder="little")
+    return [*levels.view("<i8").ravel().tolist(), int(np.maximum(counts - 4, 0).sum()), *ends.view("<i8").ravel().tolist()]
+
+
+def _second(tokens: np.ndarray) -> np.ndarray:
+    """The places of a set's tokens in the second order; the third order is its reverse."""
+    return np.argsort(_mix(tokens + _BASE + _BASE))
+
+
+def screened(a, b, size, size_b, share: int) -> F.col:
+    """Whether sets with sketches a and b can be similar enough, by size, by what they can share, and by
+    prefixes in the second and third order."""
+    most = sum((F.bit_count(a[i].bitwiseAND(b[i])) for i in range(1, 16)), F.bit_count(a[0].bitwiseAND(b[0]))) + F.least(a[16], b[16])
+    met = [sum((F.bit_count(a[i].bitwiseAND(b[i])) for i in range(k + 1, k + 4)), F.bit_count(a[k].bitwiseAND(b[k]))) > 0 for k in (17, 21)]
+    return (100 * size >= share * size_b) & (100 * size_b >= share * size) & (100 * most >= share * (size + size_b - most)) & met[0] & met[1]
+
+
+def hopes(sketches: np.ndarray, sizes: np.ndarray, one: int, share: int) -> np.ndarray:
+    """`screened` for set `one` against all: the bound of what each shares with it per 1,000,000 of the
+    union, 0 where they can't be similar enough."""
+    both = np.bitwise_count(sketches & sketches[one])
+    most = both[:, :16].sum(1, dtype=np.int64) + np.minimum(sketches[:, 16], sketches[one, 16]).astype(np.int64)
+    union = sizes + sizes[one] - most
+    ok = (100 * most >= share * union) & (100 * np.minimum(sizes, sizes[one]) >= share * np.maximum(sizes, sizes[one]))
+    ok &= both[:, 17:21].any(1) & both[:, 21:].any(1)
+    return np.where(ok, np.minimum(1_000_000 * most // np.maximum(union, 1), 2_000_000), 0)
+
+
+def forest(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share: int, far: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of a group that, if all of them link, join all that can be joined: a spanning forest over its
+    components with the greatest bounds, grown from one set at a time. No more pairs than sets. `far`: only
+    sets on different sides are paired."""
+    n = len(sizes)
+    best, parent, out = np.zeros(n, np.int64), np.full(n, -1), []
+    open_ = np.ones(n, bool)
+    for _ in range(n):
+        k = int(np.argmax(np.where(open_, best, -1)))
+        if best[k] and parent[k] >= 0:
+            out.append((int(parent[k]), k))
+        open_[k] = False
+        same = open_ & (component == component[k])
+        best[same], parent[same] = 1 << 40, -1
+        if not open_.any():
+            break
+        h = hopes(sketches, sizes, k, share)
+        if far is not None:
+            h[far == far[k]] = 0
+        better = open_ & (h > best)
+        best[better], parent[better] = h[better], k
+    return out
 
 
-def most_common(a, b) -> F.col:
-    """An upper bound of the tokens that sets with signatures a and b share."""
-    bits = sum((F.bit_count(a[i].bitwiseAND(b[i])) for i in range(1, 16)), F.bit_count(a[0].bitwiseAND(b[0])))
-    return bits + F.least(a[16], b[16])
+def hopeful(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share: int, far: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """All pairs of a group in different components that the sketches don't rule out."""
+    out = []
+    for k in range(len(sizes) - 1):
+        other = np.flatnonzero(component[k + 1 :] != component[k]) + k + 1
+        if far is not None:
+            other = other[far[other] != far[k]]
+        if len(other):
+            rows = np.concatenate([[k], other])
+            h = hopes(sketches[rows], sizes[rows], 0, share)[1:]
+            out.extend((k, int(j)) for j in other[h > 0])
+    return out
 
 
 def _length(size: int, share: int) -> int:
@@ -126,7 +191,7 @@ class Frequent:
         items = list(self.sums.items())
         for k in range(0, len(items), 20_000):
             t, c = (np.array(x) for x in zip(*items[k : k + 20_000]))
-            yield [np.zeros(len(t), np.int64), t.astype(np.uint64).view(np.int64), c.astype(np.int64), np.full(len(t), 2)]
+            yield [np.zeros(len(t), np.int64), t.astype(np.uint64).view(np.int64), c.astype(np.int64), np.full(len(t), 2), [None] * len(t)]
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -135,9 +200,9 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, n: int, schema: str, rows_of, again: bool = False, tally=None) -> DataFrame:
-    """Rows that `rows_of(id, tokens, node)` gives for each document, as columns. Without `again`, only
-    for the first document of each node in a task. `tally()` gives a task a pair of functions: one takes
-    the sets of new nodes, one gives rows at the end."""
+    """Rows that `rows_of(id, tokens, node, new)` gives for each document, as columns; `new`: the task's
+    first document of this node. Without `again`, only for those. `tally()` gives a task a pair of
+    functions: one takes the sets of new nodes, one gives rows at the end."""
     names = [c.split()[0] for c in schema.split(", ")]
     types = [{"long": pa.int64(), "array<bigint>": pa.list_(pa.int64())}[c.split()[1]] for c in schema.split(", ")]
 
@@ -158,8 +223,8 @@ def _sets(docs: DataFrame, n: int, schema: str, rows_of, again: bool = False, ta
                 if add and len(tokens) and node not in met:
                     add(tokens)
                 if again or (len(tokens) and node not in met):
+                    rows = rows_of(key, tokens, node, node not in met)
                     met.add(node)
-                    rows = rows_of(key, tokens, node)
                     if rows is not None:
                         held += len(tokens)
                         for c, x in zip(columns, rows):
@@ -180,7 +245,7 @@ def _sets(docs: DataFrame, n: int, schema: str, rows_of, again: bool = False, ta
         if columns[0]:
             yield batch(columns)
         if rest:
-            yield from (batch([[x] for x in c]) for c in rest())
+            yield from (batch([[x] if isinstance(x, np.ndarray) else x for x in c]) for c in rest())
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -233,7 +298,74 @@ def verified_in_blocks(pairs: DataFrame, sets: DataFrame, share: int, most_token
     return both.groupBy("key").cogroup(sent.groupBy("to")).applyInPandas(verify, "a long, b long").distinct()
 
 
-def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, most_heavy: int = 200_000) -> DataFrame:
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each group of rows, of batches sorted by their first column. Lists of longs become
+    rows of a matrix."""
+    held: list[list[np.ndarray]] = []
+
+    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [c.flatten().to_numpy().reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy() for c in b.columns]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = columns(b)
+        ends = [*(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), b.num_rows]
+        start = 0
+        for e in ends:
+            if start == 0 and held and held[-1][0][-1] != cols[0][0]:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+            held.append([c[start:e] for c in cols])
+            if e < b.num_rows:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+            start = e
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def met_in_groups(rows: DataFrame, share: int, every: bool, piece: int = 4096) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that meet under a token and that sketches don't rule
+    out: all of them, or a spanning forest of each group. `rows`: token, node, size, component, sketch.
+
+    A group of more than `piece` rows is dealt to pieces by node, and each two pieces meet in a task of
+    their own, so no task holds more than two pieces of a group.
+    """
+    parts = partitions(rows.sparkSession)
+    large = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces")).where("pieces > 1")
+    dealt = rows.join(large, "token", "left")
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    whole = dealt.where("pieces IS NULL").select(F.col("token").alias("key"), F.lit(0).alias("side"), "node", "size", "component", "sketch")
+    split = dealt.where("pieces IS NOT NULL").withColumn("side", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    key = F.xxhash64("token", F.least("side", "with"), F.greatest("side", "with"))
+    both = whole.unionByName(split.select(key.alias("key"), "side", "node", "size", "component", "sketch"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        held = 0
+        for _, side, node, size, component, sketches in grouped(batches):
+            if (component == component[0]).all():
+                continue
+            far = side if (side != side[0]).any() else None
+            found = (hopeful if every else forest)(sketches.view(np.uint64), size.astype(np.int64), component, share, far)
+            if found:
+                ij = np.array(found)
+                out.append(np.sort(node[ij], axis=1))
+                held += len(ij)
+            if held > 50_000:
+                p = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+                out, held = [], 0
+        if out:
+            p = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    sent = both.repartition(parts, "key").sortWithinPartitions("key", "node")
+    return sent.mapInArrow(pairs, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, most_heavy: int = 200_000, piece: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id, links) for every document: the size of its set of n-word
     shingles, the least doc_id reachable by links of at least `share`% Jaccard similarity, and whether
     its set has a link to a different set.
@@ -242,15 +374,22 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
     and a Bloom filter of 2**log_bits bits holds those of several nodes; the first order puts them last,
     so passages that documents share rarely lie in a prefix (false positives only move a token back). Behind
     them come the `most_heavy` tokens most frequent in single tasks, whatever their hash.
-    Nodes that share a prefix token of the first order meet in that token's group. There each is first
-    paired with one leader, the least node of the group that most of its tokens name; the links found
-    that way join most copies of a text, however many, with one pair each. Every pair of a group that
-    is still in different components is then a candidate too, unless its signatures show that it can't
-    be similar enough. Candidates must share prefix tokens in the
-    second and third order as well before their whole sets are compared.
+    Nodes that share a prefix token of the first order meet in that token's group, as candidates. A
+    node's sketch of 25 longs intersects this with the second and third order's prefix filters and bounds what two sets
+    share, before any set moves. Three rounds find the components:
+
+    1. Each node is paired with one leader, the node of its groups with the fewest tokens of its own. The
+       links found that way join most copies of a text, however many, with one pair each.
+    2. In every group that still holds several components, a spanning forest of the pairs that the
+       sketches allow, likeliest first: at most one pair a row.
+    3. All pairs that are left: in one group, in different components, allowed by the sketches, not yet compared.
+
+    So the pairs compared are linear in the rows but for near misses: sets that look similar enough and
+    aren't. Whole sets decide. Groups beyond `piece` rows are split, see `met_in_groups`.
 
     Null or empty text, or no word: n_shingles 0, in a component of its own. Repeated rows: equal sets.
-    Null doc_id: linked like any other, but names a component only if there is no other id in it. Hashes
+    Null doc_id: linked like any other, but names a component only if there is no other id in it. Very
+    long texts are one set like others. Other columns, whatever their names, are left out. Hashes
     of tokens and sets have 64 bits. Empty table: no rows.
     """
     spark = docs.sparkSession
@@ -261,31 +400,36 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
         f = Frequent()
         return f.add, f.rows
 
-    def member(key, tokens, node):
-        return key if key is not None else 0, node if node is not None else 0, len(tokens), int(key is None)
+    def member(key, tokens, node, new):
+        screen = sketch(tokens, share) if new and len(tokens) else None
+        return key if key is not None else 0, node if node is not None else 0, len(tokens), int(key is None), screen
 
-    look = cut(_sets(docs, n, "doc_id long, node long, size long, kind long", member, again=True, tally=frequent))
+    look = cut(_sets(docs, n, "doc_id long, node long, size long, kind long, sketch array<bigint>", member, again=True, tally=frequent))
     members = look.where("kind < 2").select(F.when(F.col("kind") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("size") > 0, F.col("node")).alias("node"), "size")
+    sketches = look.where("sketch IS NOT NULL").select("node", "size", "sketch")
     top = look.where("kind = 2").groupBy("node").agg(F.sum("size").alias("c")).orderBy(F.desc("c"), "node").limit(most_heavy)
     heavy = spark.sparkContext.broadcast(np.sort(top.select("node").toArrow()["node"].to_numpy().view(np.uint64)))
 
-    def counted(key, tokens, node):
+    def counted(key, tokens, node, new):
         some = tokens[tokens & COUNTED == 0]
         return (some.view(np.int64),) if len(some) else None
 
     often = _sets(docs, n, "token long", counted).groupBy("token").count().where("count > 1")
     often = spark.sparkContext.broadcast(Bloom.of(often, "token", log_bits).words)
 
-    def tokens_of(key, tokens, node):
-        p = prefix(tokens, share, Bloom(often.value), heavy.value)
-        return p.view(np.int64), np.full(len(p), node), np.full(len(p), len(tokens))
+    def tokens_of(key, tokens, node, new):
+        shared = Bloom(often.value)
+        p = prefix(tokens, share, shared, heavy.value)
+        some = tokens[tokens & COUNTED == 0]
+        own = 1000 * int((~shared.has(some)).sum()) // max(1, len(some))
+        return p.view(np.int64), np.full(len(p), node), np.full(len(p), own)
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by token and node: drops repeats and each token's first node, which becomes the
-        leader of its others."""
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by token, own tokens and node: drops repeats and each token's first node, which
+        becomes the leader of its others."""
         token = node = leader = None
         for b in batches:
-            t, v, s = (b.column(i).to_numpy() for i in range(3))
+            t, v = b.column(0).to_numpy(), b.column(1).to_numpy()
             if not len(t):
                 continue
             fresh = np.concatenate([[t[0] != token], t[1:] != t[:-1]])
@@ -297,23 +441,20 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
                 head = np.where(which < 0, head, v[starts[np.maximum(which, 0)]])
             rows = ~again & (head != v)
             if rows.any():
-                yield pa.RecordBatch.from_arrays([pa.array(t[rows]), pa.array(v[rows]), pa.array(s[rows]), pa.array(head[rows])], names=["token", "node", "size", "leader"])
+                yield pa.RecordBatch.from_arrays([pa.array(t[rows]), pa.array(v[rows]), pa.array(head[rows])], names=["token", "node", "leader"])
             token, node, leader = t[-1], v[-1], head[-1]
 
-    spread = _sets(docs, n, "token long, node long, size long", tokens_of).repartition(partitions(spark), "token").sortWithinPartitions("token", "node")
-    shared = cut(spread.mapInArrow(groups, "token long, node long, size long, leader long"))
-    votes = shared.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
-    chosen = votes.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
-    stars = cut(chosen.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    spread = _sets(docs, n, "token long, node long, own long", tokens_of).repartition(partitions(spark), "token").sortWithinPartitions("token", "own", "node")
+    shared = cut(spread.mapInArrow(led, "token long, node long, leader long"))
 
     def verified(pairs: DataFrame, blocks: bool = False) -> DataFrame:
         """The pairs (a, b) that link. Sets come sorted in the second order; the third is its reverse."""
         asked = spark.sparkContext.broadcast(Bloom.of(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", log_bits).words)
 
-        def whole(key, tokens, node):
+        def whole(key, tokens, node, new):
             if not Bloom(asked.value).has(np.array([node], np.int64).view(np.uint64))[0]:
                 return None
-            return node, tokens[np.argsort(_mix(tokens + _BASE + _BASE))].view(np.int64)
+            return node, tokens[_second(tokens)].view(np.int64)
 
         sets = _sets(docs, n, "node long, tokens array<bigint>", whole).dropDuplicates(["node"])
         return verified_in_blocks(pairs, sets, share) if blocks else one_by_one(pairs, sets)
@@ -328,35 +469,39 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
         met = pairs.join(a, "a").join(b, "b").where(second & third)
         return met.where(100 * both >= share * (F.size("ta") + F.size("tb") - both)).select("a", "b").distinct()
 
+    def parts_of(links: DataFrame) -> DataFrame:
+        return cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))).withColumnRenamed("u", "node")
+
+    votes = shared.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
+    chosen = votes.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
+    known = cut(sketches.join(shared.select("node").unionByName(shared.select(F.col("leader").alias("node"))).distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    a = known.toDF("a", "size_a", "sketch_a")
+    b = known.toDF("b", "size_b", "sketch_b")
+    stars = chosen.select(F.col("node").alias("a"), F.col("leader").alias("b")).join(a, "a").join(b, "b")
+    stars = cut(stars.where(screened(F.col("sketch_a"), F.col("sketch_b"), F.col("size_a"), F.col("size_b"), share)).select("a", "b"))
     links = cut(verified(stars))
-    part = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    part = parts_of(links)
     # every group once more, with its leader as a row of its own
-    sizes = members.where("size > 0").groupBy("node").agg(F.first("size").alias("size"))
-    leaders = shared.select("token", F.col("leader").alias("node")).distinct().join(sizes, "node")
-    rows = shared.select("token", "node", "size").unionByName(leaders.select("token", "node", "size"))
-    rows = rows.join(part.withColumnRenamed("u", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    rows = cut(rows.join(mixed, "token", "left_semi"))
-    left = spark.sparkContext.broadcast(Bloom.of(rows.select("node").distinct(), "node", log_bits).words)
-
-    def bound(key, tokens, node):
-        if not Bloom(left.value).has(np.array([node], np.int64).view(np.uint64))[0]:
-            return None
-        return node, signature(tokens)
-
-    bounds = _sets(docs, n, "node long, bound array<bigint>", bound).dropDuplicates(["node"])
-    rows = rows.join(bounds, "node").select("token", "node", "size", "component", "bound")
-    other = rows.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("other"), F.col("bound").alias("bound_b"))
-    fits = (100 * F.col("size") >= share * F.col("size_b")) & (100 * F.col("size_b") >= share * F.col("size"))
-    most = most_common(F.col("bound"), F.col("bound_b"))
-    fits &= 100 * most >= share * (F.col("size") + F.col("size_b") - most)
-    pairs = rows.withColumnRenamed("node", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & fits)
-    pairs = pairs.select("a", "b").distinct().join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    pairs = cut(pairs)
-    if pairs.limit(1).count():
-        links = cut(links.unionByName(verified(pairs, blocks=True)))
-        part = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    linked = members.join(part.withColumnRenamed("u", "node"), "node", "left")
+    rows = shared.select("token", "node").unionByName(shared.select("token", F.col("leader").alias("node")).distinct())
+
+    def several(rows: DataFrame, part: DataFrame) -> DataFrame:
+        """Rows with their component, of the groups that hold more than one."""
+        rows = rows.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+        return rows.join(mixed, "token", "left_semi")
+
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for every in (False, True):
+        mixed = cut(several(rows, part))
+        rows = mixed.select("token", "node")
+        pairs = met_in_groups(mixed.join(known, "node").select("token", "node", "size", "component", "sketch"), share, every, piece)
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            tested = tested.unionByName(pairs)
+            new = verified(pairs, blocks=True)
+            links = cut(links.unionByName(new))
+            part = parts_of(links)
+    linked = members.join(part, "node", "left")
     group = F.when(F.col("size") > 0, F.coalesce("component", "node"))
     linked = cut(linked.select("doc_id", F.col("size").alias("n_shingles"), group.alias("group"), F.col("component").isNotNull().alias("links")))
     least = linked.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least")).withColumnRenamed("group", "g")

@@ -90,20 +90,71 @@ def test_prefixes_keep_a_common_token():
                 assert len(np.intersect1d(jaccard.prefix(a, 85, *more), jaccard.prefix(b, 85, *more)))
 
 
-def test_signatures_bound_what_is_common(spark):
+def test_sketches_never_rule_out_a_link(spark):
     import numpy as np
 
     rng = np.random.default_rng(4)
-    rows = []
+    rows, apart = [], 0
     for size in (1, 5, 60, 300, 3000):
-        for share in (0.0, 0.5, 0.9, 1.0):
+        for share in (0.0, 0.5, 0.86, 0.9, 0.95, 1.0):
             a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
-            b = np.unique(np.concatenate([a[: int(len(a) * share)], rng.integers(0, 2**63, size // 2).astype(np.uint64)]))
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], rng.integers(0, 2**63, size // 50).astype(np.uint64)]))
             if len(b):
-                rows.append((jaccard.signature(a), jaccard.signature(b), len(np.intersect1d(a, b)), min(len(a), len(b))))
-    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, both int, least int")
-    for r in df.withColumn("most", jaccard.most_common(jaccard.F.col("a"), jaccard.F.col("b"))).collect():
-        assert r.both <= r.most <= r.least
+                both = len(np.intersect1d(a, b))
+                link = 100 * both >= 85 * (len(a) + len(b) - both)
+                x, y = jaccard.sketch(a, 85), jaccard.sketch(b, 85)
+                hope = jaccard.hopes(np.array([x, y], np.int64).view(np.uint64), np.array([len(a), len(b)]), 0, 85)[1] > 0
+                assert hope or not link
+                apart += not hope
+                rows.append((x, y, len(a), len(b), bool(hope)))
+    assert apart
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, x long, y long, hope boolean")
+    c = jaccard.F.col
+    assert df.where(jaccard.screened(c("a"), c("b"), c("x"), c("y"), 85) != c("hope")).count() == 0
+
+
+def test_pieces_of_a_group_lose_no_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**63, 80).astype(np.uint64))
+    sets = []
+    for _ in range(40):
+        own = base.copy()
+        own[rng.integers(0, 80, int(rng.integers(0, 8)))] = rng.integers(0, 2**63, 1).astype(np.uint64)
+        sets.append(np.unique(own))
+    component = rng.integers(0, 12, 40)
+    hope = {(i, j) for i in range(40) for j in range(i + 1, 40) if component[i] != component[j]
+            and jaccard.hopes(np.array([jaccard.sketch(sets[i], 85), jaccard.sketch(sets[j], 85)], np.int64).view(np.uint64), np.array([len(sets[i]), len(sets[j])]), 0, 85)[1]}
+    rows = [(t, i, len(x), int(component[i]), jaccard.sketch(x, 85)) for t in (5, 6) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "token long, node long, size long, component long, sketch array<bigint>")
+
+    def joined(pairs):
+        root = list(range(12))
+        for i, j in pairs:
+            x, y = root[component[i]], root[component[j]]
+            root = [y if r == x else r for r in root]
+        return [[a == b for a in root] for b in root]
+
+    for piece in (3, 7, 4096):
+        assert {tuple(r) for r in jaccard.met_in_groups(df, 85, True, piece).collect()} == hope
+        some = [tuple(r) for r in jaccard.met_in_groups(df, 85, False, piece).collect()]
+        assert set(some) <= hope and joined(some) == joined(hope)
+    assert len(some) < 40 < len(hope)
+
+
+def test_hot_group_in_pieces(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    base, rows = [word() for _ in range(80)], []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(5)):
+            copy[rng.randrange(80)] = word()
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similar(docs, piece=10).collect())
+    assert out == brute(rows)
 
 
 def test_blocks_verify_like_sets(spark):
