@@ -114,14 +114,16 @@ def screened(a, b, size, size_b, share: int) -> F.col:
     return (100 * size >= share * size_b) & (100 * size_b >= share * size) & (100 * most >= share * (size + size_b - most)) & met[0] & met[1]
 
 
-def hopes(sketches: np.ndarray, sizes: np.ndarray, one: int, share: int) -> np.ndarray:
-    """`screened` for set `one` against all: the bound of what each shares with it per 1,000,000 of the
-    union, 0 where they can't be similar enough."""
-    both = np.bitwise_count(sketches & sketches[one])
-    most = both[:, :16].sum(1, dtype=np.int64) + np.minimum(sketches[:, 16], sketches[one, 16]).astype(np.int64)
-    union = sizes + sizes[one] - most
-    ok = (100 * most >= share * union) & (100 * np.minimum(sizes, sizes[one]) >= share * np.maximum(sizes, sizes[one]))
-    ok &= both[:, 17:21].any(1) & both[:, 21:].any(1)
+def hopes(sketches: np.ndarray, sizes: np.ndarray, rows: np.ndarray, share: int) -> np.ndarray:
+    """`screened` for the sets `rows` against all: a matrix of what each can share per 1,000,000 of the
+    union, 0 where two can't be similar enough."""
+    both = np.bitwise_count(sketches[rows][:, None] & sketches[None])
+    excess = sketches[:, 16].astype(np.int64)
+    most = both[:, :, :16].sum(2, dtype=np.int64) + np.minimum(excess[rows][:, None], excess)
+    mine = sizes[rows][:, None]
+    union = sizes + mine - most
+    ok = (100 * most >= share * union) & (100 * np.minimum(sizes, mine) >= share * np.maximum(sizes, mine))
+    ok &= both[:, :, 17:21].any(2) & both[:, :, 21:].any(2)
     return np.where(ok, np.minimum(1_000_000 * most // np.maximum(union, 1), 2_000_000), 0)
 
 
@@ -141,7 +143,7 @@ def forest(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share
         best[same], parent[same] = 1 << 40, -1
         if not open_.any():
             break
-        h = hopes(sketches, sizes, k, share)
+        h = hopes(sketches, sizes, np.array([k]), share)[0]
         if far is not None:
             h[far == far[k]] = 0
         better = open_ & (h > best)
@@ -149,18 +151,25 @@ def forest(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share
     return out
 
 
-def hopeful(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share: int, far: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """All pairs of a group in different components that the sketches don't rule out."""
-    out = []
-    for k in range(len(sizes) - 1):
-        other = np.flatnonzero(component[k + 1 :] != component[k]) + k + 1
+def hopeful(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share: int, far: np.ndarray | None = None, most: int | None = None) -> np.ndarray | None:
+    """All pairs of a group in different components that the sketches don't rule out, as two columns;
+    None if there are more than `most`. Sets of the largest component needn't be paired among themselves."""
+    names, counts = np.unique(component, return_counts=True)
+    rest = np.flatnonzero(component != names[np.argmax(counts)])
+    place = np.full(len(sizes), -1)
+    place[rest] = np.arange(len(rest))
+    out, held, step = [], 0, max(1, 40_000 // len(sizes))
+    for x in range(0, len(rest), step):
+        rows = rest[x : x + step]
+        ok = (hopes(sketches, sizes, rows, share) > 0) & (component[rows][:, None] != component) & (place < place[rows][:, None])
         if far is not None:
-            other = other[far[other] != far[k]]
-        if len(other):
-            rows = np.concatenate([[k], other])
-            h = hopes(sketches[rows], sizes[rows], 0, share)[1:]
-            out.extend((k, int(j)) for j in other[h > 0])
-    return out
+            ok &= far[rows][:, None] != far
+        i, j = np.nonzero(ok)
+        held += len(i)
+        if most is not None and held > most:
+            return None
+        out.append(np.stack([rows[i], j], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def _length(size: int, share: int) -> int:
@@ -325,47 +334,58 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def met_in_groups(rows: DataFrame, share: int, every: bool, piece: int = 4096) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that meet under a token and that sketches don't rule
-    out: all of them, or a spanning forest of each group. `rows`: token, node, size, component, sketch.
-
-    A group of more than `piece` rows is dealt to pieces by node, and each two pieces meet in a task of
-    their own, so no task holds more than two pieces of a group.
-    """
-    parts = partitions(rows.sparkSession)
+def dealt(rows: DataFrame, piece: int) -> DataFrame:
+    """(key, side, node, component) from rows (token, node, component): a group of more than `piece` rows
+    is dealt to pieces by node, and each two pieces meet under a key of their own, so no task holds more than two
+    pieces of a group."""
     large = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces")).where("pieces > 1")
-    dealt = rows.join(large, "token", "left")
+    rows = rows.join(large, "token", "left")
     own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
-    whole = dealt.where("pieces IS NULL").select(F.col("token").alias("key"), F.lit(0).alias("side"), "node", "size", "component", "sketch")
-    split = dealt.where("pieces IS NOT NULL").withColumn("side", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    whole = rows.where("pieces IS NULL").select(F.col("token").alias("key"), F.lit(0).alias("side"), "node", "component")
+    split = rows.where("pieces IS NOT NULL").withColumn("side", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     key = F.xxhash64("token", F.least("side", "with"), F.greatest("side", "with"))
-    both = whole.unionByName(split.select(key.alias("key"), "side", "node", "size", "component", "sketch"))
+    return whole.unionByName(split.select(key.alias("key"), "side", "node", "component"))
+
+
+def met_in_groups(rows: DataFrame, known: DataFrame, share: int, a_row: int | None) -> DataFrame:
+    """(a, b, more) from rows (key, side, node, component) and known (node, size, sketch): pairs of nodes
+    in different components that meet under a key and that sketches don't rule out. All of a group if they are
+    at most `a_row` times its rows or that is None; else a spanning forest of the group, and a row with the key as
+    `more`."""
+    parts = partitions(rows.sparkSession)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
+        more: list[int] = []
         held = 0
-        for _, side, node, size, component, sketches in grouped(batches):
+
+        def batch() -> pa.RecordBatch:
+            p = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            ends = [pa.array([*p[:, k].tolist(), *[None] * len(more)], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*ends, pa.array([*[None] * len(p), *more], pa.int64())], names=["a", "b", "more"])
+
+        for key, side, node, component, size, sketches in grouped(batches):
             if (component == component[0]).all():
                 continue
-            far = side if (side != side[0]).any() else None
-            found = (hopeful if every else forest)(sketches.view(np.uint64), size.astype(np.int64), component, share, far)
-            if found:
-                ij = np.array(found)
-                out.append(np.sort(node[ij], axis=1))
-                held += len(ij)
-            if held > 50_000:
-                p = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-                out, held = [], 0
+            own = sketches.view(np.uint64), size.astype(np.int64), component, share, side if (side != side[0]).any() else None
+            found = hopeful(*own, a_row * len(node) if a_row else None)
+            if found is None:
+                found = np.array(forest(*own)).reshape(-1, 2)
+                more.append(int(key[0]))
+            out.append(np.sort(node[found], axis=1))
+            held += len(found)
+            if held > 50_000 or len(more) > 10_000:
+                yield batch()
+                out, more, held = [], [], 0
         if out:
-            p = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+            yield batch()
 
-    sent = both.repartition(parts, "key").sortWithinPartitions("key", "node")
-    return sent.mapInArrow(pairs, "a long, b long").distinct()
+    sent = rows.join(known, "node").select("key", "side", "node", "component", "size", "sketch")
+    sent = sent.repartition(parts, "key").sortWithinPartitions("key", "node")
+    return sent.mapInArrow(pairs, "a long, b long, more long")
 
 
-def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, most_heavy: int = 200_000, piece: int = 4096) -> DataFrame:
+def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, most_heavy: int = 200_000, piece: int = 4096, a_row: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, links) for every document: the size of its set of n-word
     shingles, the least doc_id reachable by links of at least `share`% Jaccard similarity, and whether
     its set has a link to a different set.
@@ -380,12 +400,14 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
 
     1. Each node is paired with one leader, the node of its groups with the fewest tokens of its own. The
        links found that way join most copies of a text, however many, with one pair each.
-    2. In every group that still holds several components, a spanning forest of the pairs that the
-       sketches allow, likeliest first: at most one pair a row.
-    3. All pairs that are left: in one group, in different components, allowed by the sketches, not yet compared.
+    2. Of every group that still holds several components, the pairs across them that the sketches
+       allow. If these are more than `a_row` times the group's rows, a spanning forest of them, likeliest first.
+    3. All pairs that are left in those groups: in different components, allowed by the sketches, not
+       yet compared.
 
     So the pairs compared are linear in the rows but for near misses: sets that look similar enough and
-    aren't. Whole sets decide. Groups beyond `piece` rows are split, see `met_in_groups`.
+    aren't. Whole sets decide. Groups beyond `piece` rows are split, see `dealt`. Tokens counted in one
+    node only aren't sent: nobody meets there.
 
     Null or empty text, or no word: n_shingles 0, in a component of its own. Repeated rows: equal sets.
     Null doc_id: linked like any other, but names a component only if there is no other id in it. Very
@@ -420,9 +442,10 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
     def tokens_of(key, tokens, node, new):
         shared = Bloom(often.value)
         p = prefix(tokens, share, shared, heavy.value)
+        p = p[(p & COUNTED != 0) | shared.has(p)]
         some = tokens[tokens & COUNTED == 0]
         own = 1000 * int((~shared.has(some)).sum()) // max(1, len(some))
-        return p.view(np.int64), np.full(len(p), node), np.full(len(p), own)
+        return (p.view(np.int64), np.full(len(p), node), np.full(len(p), own)) if len(p) else None
 
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by token, own tokens and node: drops repeats and each token's first node, which
@@ -491,16 +514,18 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
         return rows.join(mixed, "token", "left_semi")
 
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for every in (False, True):
-        mixed = cut(several(rows, part))
-        rows = mixed.select("token", "node")
-        pairs = met_in_groups(mixed.join(known, "node").select("token", "node", "size", "component", "sketch"), share, every, piece)
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+    keys = dealt(several(rows, part), piece)
+    for limit in (a_row, None):
+        found = cut(met_in_groups(keys, known, share, limit))
+        pairs = cut(found.where("more IS NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         if pairs.limit(1).count():
             tested = tested.unionByName(pairs)
-            new = verified(pairs, blocks=True)
-            links = cut(links.unionByName(new))
+            links = cut(links.unionByName(verified(pairs, blocks=True)))
             part = parts_of(links)
+        more = found.where("more IS NOT NULL").select(F.col("more").alias("key")).distinct()
+        if not more.limit(1).count():
+            break
+        keys = dealt(several(rows, part), piece).join(more, "key", "left_semi")
     linked = members.join(part, "node", "left")
     group = F.when(F.col("size") > 0, F.coalesce("component", "node"))
     linked = cut(linked.select("doc_id", F.col("size").alias("n_shingles"), group.alias("group"), F.col("component").isNotNull().alias("links")))

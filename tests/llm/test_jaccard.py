@@ -103,7 +103,7 @@ def test_sketches_never_rule_out_a_link(spark):
                 both = len(np.intersect1d(a, b))
                 link = 100 * both >= 85 * (len(a) + len(b) - both)
                 x, y = jaccard.sketch(a, 85), jaccard.sketch(b, 85)
-                hope = jaccard.hopes(np.array([x, y], np.int64).view(np.uint64), np.array([len(a), len(b)]), 0, 85)[1] > 0
+                hope = jaccard.hopes(np.array([x, y], np.int64).view(np.uint64), np.array([len(a), len(b)]), np.array([0]), 85)[0, 1] > 0
                 assert hope or not link
                 apart += not hope
                 rows.append((x, y, len(a), len(b), bool(hope)))
@@ -125,9 +125,9 @@ def test_pieces_of_a_group_lose_no_pair(spark):
         sets.append(np.unique(own))
     component = rng.integers(0, 12, 40)
     hope = {(i, j) for i in range(40) for j in range(i + 1, 40) if component[i] != component[j]
-            and jaccard.hopes(np.array([jaccard.sketch(sets[i], 85), jaccard.sketch(sets[j], 85)], np.int64).view(np.uint64), np.array([len(sets[i]), len(sets[j])]), 0, 85)[1]}
-    rows = [(t, i, len(x), int(component[i]), jaccard.sketch(x, 85)) for t in (5, 6) for i, x in enumerate(sets)]
-    df = spark.createDataFrame(rows, "token long, node long, size long, component long, sketch array<bigint>")
+            and jaccard.hopes(np.array([jaccard.sketch(sets[i], 85), jaccard.sketch(sets[j], 85)], np.int64).view(np.uint64), np.array([len(sets[i]), len(sets[j])]), np.array([0]), 85)[0, 1]}
+    known = spark.createDataFrame([(i, len(x), jaccard.sketch(x, 85)) for i, x in enumerate(sets)], "node long, size long, sketch array<bigint>")
+    rows = spark.createDataFrame([(t, i, int(component[i])) for t in (5, 6) for i in range(40)], "token long, node long, component long")
 
     def joined(pairs):
         root = list(range(12))
@@ -137,10 +137,12 @@ def test_pieces_of_a_group_lose_no_pair(spark):
         return [[a == b for a in root] for b in root]
 
     for piece in (3, 7, 4096):
-        assert {tuple(r) for r in jaccard.met_in_groups(df, 85, True, piece).collect()} == hope
-        some = [tuple(r) for r in jaccard.met_in_groups(df, 85, False, piece).collect()]
+        dealt = jaccard.dealt(rows, piece)
+        assert {(r.a, r.b) for r in jaccard.met_in_groups(dealt, known, 85, None).collect()} == hope
+        out = jaccard.met_in_groups(dealt, known, 85, 1).collect()
+        some = [(r.a, r.b) for r in out if r.more is None]
         assert set(some) <= hope and joined(some) == joined(hope)
-    assert len(some) < 40 < len(hope)
+    assert len(set(some)) < 40 < len(hope) and {r.more for r in out} == {None, 5, 6}
 
 
 def test_hot_group_in_pieces(spark):
@@ -153,7 +155,7 @@ def test_hot_group_in_pieces(spark):
             copy[rng.randrange(80)] = word()
         rows.append((i, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similar(docs, piece=10).collect())
+    out = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similar(docs, piece=10, a_row=1).collect())
     assert out == brute(rows)
 
 
