@@ -70,17 +70,27 @@ def prefix(tokens: np.ndarray, share: int, shared: Bloom | None, heavy: np.ndarr
     """The first tokens of a set under the first order: two sets with `share`% of Jaccard similarity
     share one of them. First come counted tokens not known to be `shared`, then those not counted, then
     shared ones, then `heavy` ones (sorted), each by a hash."""
-    length = _length(len(tokens), share)
+    return tokens[first_order(tokens, marks(tokens, shared), heavy)[: _length(len(tokens), share)]]
+
+
+def marks(tokens: np.ndarray, shared: Bloom | None) -> np.ndarray | None:
+    """0 for counted tokens that one set alone has, 1 for those not counted, 2 for shared ones."""
+    if shared is None:
+        return None
+    out = np.ones(len(tokens), np.uint64)
+    counted = np.flatnonzero(tokens & COUNTED == 0)
+    out[counted] = 2 * shared.has(tokens[counted])
+    return out
+
+
+def first_order(tokens: np.ndarray, rank: np.ndarray | None, heavy: np.ndarray | None) -> np.ndarray:
     key = _mix(tokens + _BASE) >> np.uint64(2)
-    if shared is not None:
-        counted = tokens & COUNTED == 0
-        often = np.zeros(len(tokens), bool)
-        often[counted] = shared.has(tokens[counted])
-        rank = np.where(often, np.uint64(2), np.where(counted, np.uint64(0), np.uint64(1)))
+    if rank is not None:
         if heavy is not None and len(heavy):
+            rank = rank.copy()
             rank[heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens] = 3
         key |= rank << np.uint64(62)
-    return tokens[np.argpartition(key, length - 1)[:length]]
+    return np.argsort(key)
 
 
 def sketch(tokens: np.ndarray, share: int) -> list[int]:
@@ -127,6 +137,28 @@ def hopes(sketches: np.ndarray, sizes: np.ndarray, rows: np.ndarray, share: int)
     return np.where(ok, np.minimum(1_000_000 * most // np.maximum(union, 1), 2_000_000), 0)
 
 
+def hopeful_in_small_groups(key: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share: int, far: np.ndarray) -> np.ndarray:
+    """`hopeful` for many small groups at once, rows sorted by `key`: all pairs, as two columns. Where a group has
+    two sides in `far`, only sets on different sides are paired."""
+    fresh = np.concatenate([[True], key[1:] != key[:-1]])
+    group = np.cumsum(fresh) - 1
+    starts = np.flatnonzero(fresh)
+    two = (np.minimum.reduceat(far, starts) != np.maximum.reduceat(far, starts))[group]
+    out = []
+    for d in range(1, len(key)):
+        i = np.flatnonzero(group[d:] == group[:-d])
+        if not len(i):
+            break
+        i = i[(component[i] != component[i + d]) & (~two[i] | (far[i] != far[i + d]))]
+        small, large = np.minimum(sizes[i], sizes[i + d]), np.maximum(sizes[i], sizes[i + d])
+        i = i[100 * small >= share * large]
+        both = np.bitwise_count(sketches[i] & sketches[i + d])
+        most = both[:, :16].sum(1, dtype=np.int64) + np.minimum(sketches[i, 16], sketches[i + d, 16]).astype(np.int64)
+        ok = (100 * most >= share * (sizes[i] + sizes[i + d] - most)) & both[:, 17:21].any(1) & both[:, 21:].any(1)
+        out.append(np.stack([i[ok], i[ok] + d], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
 def forest(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share: int, far: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of a group that, if all of them link, join all that can be joined: a spanning forest over its
     components with the greatest bounds, grown from one set at a time. No more pairs than sets. `far`: only
@@ -200,7 +232,7 @@ class Frequent:
         items = list(self.sums.items())
         for k in range(0, len(items), 20_000):
             t, c = (np.array(x) for x in zip(*items[k : k + 20_000]))
-            yield [np.zeros(len(t), np.int64), t.astype(np.uint64).view(np.int64), c.astype(np.int64), np.full(len(t), 2), [None] * len(t)]
+            yield [np.zeros(len(t), np.int64), t.astype(np.uint64).view(np.int64), c.astype(np.int64), np.full(len(t), 2), np.zeros(len(t), np.int64), [None] * len(t)]
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -208,10 +240,11 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(docs: DataFrame, n: int, schema: str, rows_of, again: bool = False, tally=None) -> DataFrame:
+def _sets(docs: DataFrame, n: int, schema: str, rows_of, again: bool = False, tally=None, only=None) -> DataFrame:
     """Rows that `rows_of(id, tokens, node, new)` gives for each document, as columns; `new`: the task's
     first document of this node. Without `again`, only for those. `tally()` gives a task a pair of
-    functions: one takes the sets of new nodes, one gives rows at the end."""
+    functions: one takes the sets of new nodes, one gives rows at the end. `only`: a broadcast Bloom filter;
+    texts whose xxhash64 it doesn't hold are passed over. `id` is (doc_id, xxhash64 of the text)."""
     names = [c.split()[0] for c in schema.split(", ")]
     types = [{"long": pa.int64(), "array<bigint>": pa.list_(pa.int64())}[c.split()[1]] for c in schema.split(", ")]
 
@@ -241,8 +274,10 @@ def _sets(docs: DataFrame, n: int, schema: str, rows_of, again: bool = False, ta
             waiting.clear()
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                waiting.append((key, (text.as_py() or "").encode()))
+            if only is not None:
+                b = b.filter(pa.array(Bloom(only.value).has(b.column(2).to_numpy().view(np.uint64))))
+            for key, place, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1)):
+                waiting.append(((key, place), (text.as_py() or "").encode()))
                 size += len(waiting[-1][1])
                 if size > 200_000 or len(waiting) > 2000:
                     work()
@@ -256,32 +291,18 @@ def _sets(docs: DataFrame, n: int, schema: str, rows_of, again: bool = False, ta
         if rest:
             yield from (batch([[x] if isinstance(x, np.ndarray) else x for x in c]) for c in rest())
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def shared_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
-    """How many tokens each two of the sets share, by products of `width` columns of their incidence."""
-    lengths = [len(x) for x in sets]
-    owner = np.repeat(np.arange(len(sets)), lengths)
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for first in range(0, int(column[-1]) + 1, width):
-        x, y = np.searchsorted(column, [first, first + width])
-        m = np.zeros((len(sets), width), np.float32)
-        m[owner[x:y], column[x:y] - first] = 1
-        out += m @ m.T
-    return out
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, schema)
 
 
-def verified_in_blocks(pairs: DataFrame, sets: DataFrame, share: int, most_tokens: int = 200_000) -> DataFrame:
-    """The pairs (a, b) that link, of `sets` (node, tokens in the second order). Nodes are dealt to blocks
-    by the least node that each is paired with, so the nodes of a family of like texts meet, and each
-    set is sent once a pair of blocks instead of once a pair. A block holds at most about `most_tokens`."""
+def verified_in_blocks(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, share: int, most_tokens: int = 200_000) -> DataFrame:
+    """The pairs (a, b) that link, of `sets` (node, tokens in the second order) with `sizes` (node, size).
+    Nodes are dealt to blocks by the least node within two pairs of them, so the nodes of a family of like
+    texts meet, and each set is sent once a pair of blocks instead of once a pair. A block holds at most
+    about `most_tokens`."""
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    block = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))
-    block = block.join(sets.select("node", F.size("tokens").alias("size")), "node")
+    near = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))
+    far = ends.join(near.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("label"))
+    block = cut(far.join(sizes.select("node", "size"), "node"))
     large = block.groupBy("label").agg(F.ceil(F.sum("size") / most_tokens).alias("parts"))
     block = cut(block.join(large, "label").select("node", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")))
     a, b = block.toDF("a", "block_a"), block.toDF("b", "block_b")
@@ -293,43 +314,37 @@ def verified_in_blocks(pairs: DataFrame, sets: DataFrame, share: int, most_token
     def verify(key, rows, members):
         import pandas as pd
 
-        own = [np.asarray(t, np.int64) for t in members["tokens"]]
-        at = {n: i for i, n in enumerate(members["node"].tolist())}
-        i, j = rows["a"].map(at).to_numpy(np.int64), rows["b"].map(at).to_numpy(np.int64)
-        cuts = [_length(len(t), share) for t in own]
-        ok = (shared_counts([t[:k] for t, k in zip(own, cuts)])[i, j] > 0) & (shared_counts([t[len(t) - k :] for t, k in zip(own, cuts)])[i, j] > 0)
-        rows, i, j = rows[ok], i[ok], j[ok]
-        if not len(rows):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        common, size = shared_counts(own)[i, j].astype(np.int64), np.array([len(t) for t in own])
-        return rows[100 * common >= share * (size[i] + size[j] - common)][["a", "b"]]
+        own = {n: np.asarray(t, np.int64) for n, t in zip(members["node"].tolist(), members["tokens"])}
+        whole = {n: np.sort(t) for n, t in own.items()}
+        ok = []
+        for a, b in zip(rows["a"].tolist(), rows["b"].tolist()):
+            x, y = own[a], own[b]
+            i, j = _length(len(x), share), _length(len(y), share)
+            good = np.isin(x[:i], y[:j]).any() and np.isin(x[len(x) - i :], y[len(y) - j :]).any()
+            if good:
+                x, y = whole[a], whole[b]
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                good = 100 * common >= share * (len(x) + len(y) - common)
+            ok.append(bool(good))
+        return rows.loc[np.array(ok, bool), ["a", "b"]] if len(ok) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     return both.groupBy("key").cogroup(sent.groupBy("to")).applyInPandas(verify, "a long, b long").distinct()
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of each group of rows, of batches sorted by their first column. Lists of longs become
-    rows of a matrix."""
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by their first column, in stretches that never cut a group. Lists of longs
+    become rows of a matrix."""
     held: list[list[np.ndarray]] = []
-
-    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
-        return [c.flatten().to_numpy().reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy() for c in b.columns]
-
     for b in batches:
         if not b.num_rows:
             continue
-        cols = columns(b)
-        ends = [*(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), b.num_rows]
-        start = 0
-        for e in ends:
-            if start == 0 and held and held[-1][0][-1] != cols[0][0]:
-                yield [np.concatenate(c) for c in zip(*held)]
-                held = []
-            held.append([c[start:e] for c in cols])
-            if e < b.num_rows:
-                yield [np.concatenate(c) for c in zip(*held)]
-                held = []
-            start = e
+        cols = [c.flatten().to_numpy().reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy() for c in b.columns]
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        if last or held and held[-1][0][-1] != cols[0][0]:
+            whole = [*held, [c[:last] for c in cols]]
+            yield [np.concatenate(c) for c in zip(*whole)]
+            held = []
+        held.append([c[last:] for c in cols])
     if held:
         yield [np.concatenate(c) for c in zip(*held)]
 
@@ -349,8 +364,8 @@ def dealt(rows: DataFrame, piece: int) -> DataFrame:
 
 def met_in_groups(rows: DataFrame, known: DataFrame, share: int, a_row: int | None) -> DataFrame:
     """(a, b, more) from rows (key, side, node, component) and known (node, size, sketch): pairs of nodes
-    in different components that meet under a key and that sketches don't rule out. All of a group if they are
-    at most `a_row` times its rows or that is None; else a spanning forest of the group, and a row with the key as
+    in different components that meet under a key and that sketches don't rule out. All of a group if it has
+    at most 32 rows, they are at most `a_row` times its rows, or that is None; else a spanning forest of the group, and a row with the key as
     `more`."""
     parts = partitions(rows.sparkSession)
 
@@ -364,23 +379,35 @@ def met_in_groups(rows: DataFrame, known: DataFrame, share: int, a_row: int | No
             ends = [pa.array([*p[:, k].tolist(), *[None] * len(more)], pa.int64()) for k in (0, 1)]
             return pa.RecordBatch.from_arrays([*ends, pa.array([*[None] * len(p), *more], pa.int64())], names=["a", "b", "more"])
 
-        for key, side, node, component, size, sketches in grouped(batches):
-            if (component == component[0]).all():
-                continue
-            own = sketches.view(np.uint64), size.astype(np.int64), component, share, side if (side != side[0]).any() else None
-            found = hopeful(*own, a_row * len(node) if a_row else None)
-            if found is None:
-                found = np.array(forest(*own)).reshape(-1, 2)
-                more.append(int(key[0]))
-            out.append(np.sort(node[found], axis=1))
-            held += len(found)
+        for key, side, node, component, size, sketches in whole_groups(batches):
+            sketches, size = sketches.view(np.uint64), size.astype(np.int64)
+            ends = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
+            small = np.repeat(np.diff(ends) <= 32, np.diff(ends))
+            if small.any():
+                found = hopeful_in_small_groups(key[small], sketches[small], size[small], component[small], share, side[small])
+                out.append(np.sort(node[small][found], axis=1))
+                held += len(found)
+            for x, y in zip(ends, ends[1:]):
+                c, far = component[x:y], side[x:y]
+                if y - x <= 32 or (c == c[0]).all():
+                    continue
+                own = sketches[x:y], size[x:y], c, share, far if (far != far[0]).any() else None
+                found = hopeful(*own, a_row * (y - x) if a_row else None)
+                if found is None:
+                    found = np.array(forest(*own)).reshape(-1, 2)
+                    more.append(int(key[x]))
+                out.append(np.sort(node[x:y][found], axis=1))
+                held += len(found)
+                if held > 50_000:
+                    yield batch()
+                    out, more, held = [], [], 0
             if held > 50_000 or len(more) > 10_000:
                 yield batch()
                 out, more, held = [], [], 0
         if out:
             yield batch()
 
-    sent = rows.join(known, "node").select("key", "side", "node", "component", "size", "sketch")
+    sent = rows.join(known.select("node", "size", "sketch"), "node").select("key", "side", "node", "component", "size", "sketch")
     sent = sent.repartition(parts, "key").sortWithinPartitions("key", "node")
     return sent.mapInArrow(pairs, "a long, b long, more long")
 
@@ -423,12 +450,12 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
         return f.add, f.rows
 
     def member(key, tokens, node, new):
-        screen = sketch(tokens, share) if new and len(tokens) else None
-        return key if key is not None else 0, node if node is not None else 0, len(tokens), int(key is None), screen
+        (key, place), screen = key, sketch(tokens, share) if new and len(tokens) else None
+        return key if key is not None else 0, node if node is not None else 0, len(tokens), int(key is None), place, screen
 
-    look = cut(_sets(docs, n, "doc_id long, node long, size long, kind long, sketch array<bigint>", member, again=True, tally=frequent))
+    look = cut(_sets(docs, n, "doc_id long, node long, size long, kind long, place long, sketch array<bigint>", member, again=True, tally=frequent))
     members = look.where("kind < 2").select(F.when(F.col("kind") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("size") > 0, F.col("node")).alias("node"), "size")
-    sketches = look.where("sketch IS NOT NULL").select("node", "size", "sketch")
+    sketches = look.where("sketch IS NOT NULL").select("node", "size", "sketch", "place")
     top = look.where("kind = 2").groupBy("node").agg(F.sum("size").alias("c")).orderBy(F.desc("c"), "node").limit(most_heavy)
     heavy = spark.sparkContext.broadcast(np.sort(top.select("node").toArrow()["node"].to_numpy().view(np.uint64)))
 
@@ -440,11 +467,11 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
     often = spark.sparkContext.broadcast(Bloom.of(often, "token", log_bits).words)
 
     def tokens_of(key, tokens, node, new):
-        shared = Bloom(often.value)
-        p = prefix(tokens, share, shared, heavy.value)
-        p = p[(p & COUNTED != 0) | shared.has(p)]
-        some = tokens[tokens & COUNTED == 0]
-        own = 1000 * int((~shared.has(some)).sum()) // max(1, len(some))
+        rank = marks(tokens, Bloom(often.value))
+        lone = rank == 0
+        p = first_order(tokens, rank, heavy.value)[: _length(len(tokens), share)]
+        p = tokens[p[~lone[p]]]
+        own = 1000 * int(lone.sum()) // len(tokens)
         return (p.view(np.int64), np.full(len(p), node), np.full(len(p), own)) if len(p) else None
 
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,16 +498,16 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
     shared = cut(spread.mapInArrow(led, "token long, node long, leader long"))
 
     def verified(pairs: DataFrame, blocks: bool = False) -> DataFrame:
-        """The pairs (a, b) that link. Sets come sorted in the second order; the third is its reverse."""
-        asked = spark.sparkContext.broadcast(Bloom.of(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", log_bits).words)
+        """The pairs (a, b) that link. Sets come sorted in the second order; the third is its reverse. Only texts that
+        stand for a node of a pair are read for them."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = spark.sparkContext.broadcast(Bloom.of(known.join(nodes, "node", "left_semi"), "place", log_bits).words)
 
         def whole(key, tokens, node, new):
-            if not Bloom(asked.value).has(np.array([node], np.int64).view(np.uint64))[0]:
-                return None
             return node, tokens[_second(tokens)].view(np.int64)
 
-        sets = _sets(docs, n, "node long, tokens array<bigint>", whole).dropDuplicates(["node"])
-        return verified_in_blocks(pairs, sets, share) if blocks else one_by_one(pairs, sets)
+        sets = _sets(docs, n, "node long, tokens array<bigint>", whole, only=asked).dropDuplicates(["node"])
+        return verified_in_blocks(pairs, sets, known, share) if blocks else one_by_one(pairs, sets)
 
     def one_by_one(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
@@ -498,8 +525,8 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
     votes = shared.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
     chosen = votes.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
     known = cut(sketches.join(shared.select("node").unionByName(shared.select(F.col("leader").alias("node"))).distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    a = known.toDF("a", "size_a", "sketch_a")
-    b = known.toDF("b", "size_b", "sketch_b")
+    a = known.select("node", "size", "sketch").toDF("a", "size_a", "sketch_a")
+    b = known.select("node", "size", "sketch").toDF("b", "size_b", "sketch_b")
     stars = chosen.select(F.col("node").alias("a"), F.col("leader").alias("b")).join(a, "a").join(b, "b")
     stars = cut(stars.where(screened(F.col("sketch_a"), F.col("sketch_b"), F.col("size_a"), F.col("size_b"), share)).select("a", "b"))
     links = cut(verified(stars))
