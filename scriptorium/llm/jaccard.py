@@ -96,74 +96,77 @@ def first_order(tokens: np.ndarray, rank: np.ndarray | None, heavy: np.ndarray |
 def sketch(tokens: np.ndarray, share: int) -> list[int]:
     """25 longs that screen a pair of sets before the sets move.
 
-    The first 17 bound how much two sets have in common: tokens are dealt to 256 places, word 4t + k has a
-    bit for each place of quarter k with more than t tokens, and the number behind them counts tokens
-    beyond the fourth of a place. Then come the places of the prefix tokens of the second order in four
+    The first 17 bound how much two sets have in common: tokens are dealt to 256 places, whose counts
+    stand in four bits each, from a base that follows the set's size, and the number behind them counts tokens
+    beyond that. Then come the places of the prefix tokens of the second order in four
     words, and of the third order's in four more: a pair needs a place in common in both.
     """
     place = _mix(tokens ^ _BASE) & np.uint64(255)
-    counts = np.bincount(place, minlength=256)
-    levels = np.packbits(np.stack([counts > t for t in range(4)]), axis=1, bitorder="little")
+    counts, base = np.bincount(place, minlength=256), int(_floor(len(tokens)))
+    held = (np.clip(counts, base, base + 15) - base).astype(np.uint8)
     order, k = _second(tokens), _length(len(tokens), share)
     ends = np.zeros((2, 256), bool)
     ends[0, place[order[:k]]] = ends[1, place[order[len(tokens) - k :]]] = True
     ends = np.packbits(ends, axis=1, bitorder="little")
-    return [*levels.view("<i8").ravel().tolist(), int(np.maximum(counts - 4, 0).sum()), *ends.view("<i8").ravel().tolist()]
+    return [*(held[:128] | held[128:] << 4).view("<i8").tolist(), int(np.maximum(counts - base - 15, 0).sum()), *ends.view("<i8").ravel().tolist()]
 
 
-def _second(tokens: np.ndarray) -> np.ndarray:
-    """The places of a set's tokens in the second order; the third order is its reverse."""
-    return np.argsort(_mix(tokens + _BASE + _BASE))
+def _floor(size):
+    """The least count that a sketch tells apart: for large sets, a little under the mean."""
+    return np.clip(size // 256 - 7, 0, 240)
 
 
-def screened(a, b, size, size_b, share: int) -> F.col:
-    """Whether sets with sketches a and b can be similar enough, by size, by what they can share, and by
-    prefixes in the second and third order."""
-    most = sum((F.bit_count(a[i].bitwiseAND(b[i])) for i in range(1, 16)), F.bit_count(a[0].bitwiseAND(b[0]))) + F.least(a[16], b[16])
-    met = [sum((F.bit_count(a[i].bitwiseAND(b[i])) for i in range(k + 1, k + 4)), F.bit_count(a[k].bitwiseAND(b[k]))) > 0 for k in (17, 21)]
-    return (100 * size >= share * size_b) & (100 * size_b >= share * size) & (100 * most >= share * (size + size_b - most)) & met[0] & met[1]
+class Sketches:
+    """Sketches of several sets, ready to compare."""
 
+    def __init__(self, rows: np.ndarray, sizes: np.ndarray, share: int):
+        self.sizes, self.share, self.floor = sizes.astype(np.int64), share, _floor(sizes)
+        held = np.ascontiguousarray(rows[:, :16]).view(np.uint8)
+        self.counts = np.concatenate([held & 15, held >> 4], 1) + self.floor[:, None].astype(np.uint8)
+        self.excess, self.ends = rows[:, 16].astype(np.int64), np.ascontiguousarray(rows[:, 17:]).view(np.uint64)
 
-def hopes(sketches: np.ndarray, sizes: np.ndarray, rows: np.ndarray, share: int) -> np.ndarray:
-    """`screened` for the sets `rows` against all: a matrix of what each can share per 1,000,000 of the
-    union, 0 where two can't be similar enough."""
-    both = np.bitwise_count(sketches[rows][:, None] & sketches[None])
-    excess = sketches[:, 16].astype(np.int64)
-    most = both[:, :, :16].sum(2, dtype=np.int64) + np.minimum(excess[rows][:, None], excess)
-    mine = sizes[rows][:, None]
-    union = sizes + mine - most
-    ok = (100 * most >= share * union) & (100 * np.minimum(sizes, mine) >= share * np.maximum(sizes, mine))
-    ok &= both[:, :, 17:21].any(2) & both[:, :, 21:].any(2)
-    return np.where(ok, np.minimum(1_000_000 * most // np.maximum(union, 1), 2_000_000), 0)
+    def hopes(self, i, j) -> np.ndarray:
+        """What the sets at i and j can share per 1,000,000 of their union; 0 where they can't be similar enough, by size,
+        by what they can have in common, or by prefixes in the second and third order."""
+        a, b, share = self.sizes[i], self.sizes[j], self.share
+        most = np.minimum(self.counts[i], self.counts[j]).sum(-1, dtype=np.int64)
+        x, y = self.excess[i], self.excess[j]
+        most = np.minimum(most + np.where(self.floor[i] == self.floor[j], np.minimum(x, y), x + y), np.minimum(a, b))
+        union = a + b - most
+        both = self.ends[i] & self.ends[j]
+        ok = (100 * most >= share * union) & both[..., :4].any(-1) & both[..., 4:].any(-1)
+        return np.where(ok, 1_000_000 * most // np.maximum(union, 1), 0)
 
 
-def hopeful_in_small_groups(key: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share: int, far: np.ndarray) -> np.ndarray:
+def _second(tokens: np.ndarray) -> np.ndarray:
+    """The places of a set's tokens in the second order; the third order is its reverse."""
+    return np.argsort(_mix(tokens + _BASE + _BASE))
+
+
+def hopeful_in_small_groups(key: np.ndarray, sketches: Sketches, component: np.ndarray, far: np.ndarray) -> np.ndarray:
     """`hopeful` for many small groups at once, rows sorted by `key`: all pairs, as two columns. Where a group has
     two sides in `far`, only sets on different sides are paired."""
     fresh = np.concatenate([[True], key[1:] != key[:-1]])
     group = np.cumsum(fresh) - 1
     starts = np.flatnonzero(fresh)
     two = (np.minimum.reduceat(far, starts) != np.maximum.reduceat(far, starts))[group]
-    out = []
+    out, sizes, share = [np.zeros((0, 2), np.int64)], sketches.sizes, sketches.share
     for d in range(1, len(key)):
         i = np.flatnonzero(group[d:] == group[:-d])
         if not len(i):
             break
         i = i[(component[i] != component[i + d]) & (~two[i] | (far[i] != far[i + d]))]
-        small, large = np.minimum(sizes[i], sizes[i + d]), np.maximum(sizes[i], sizes[i + d])
-        i = i[100 * small >= share * large]
-        both = np.bitwise_count(sketches[i] & sketches[i + d])
-        most = both[:, :16].sum(1, dtype=np.int64) + np.minimum(sketches[i, 16], sketches[i + d, 16]).astype(np.int64)
-        ok = (100 * most >= share * (sizes[i] + sizes[i + d] - most)) & both[:, 17:21].any(1) & both[:, 21:].any(1)
-        out.append(np.stack([i[ok], i[ok] + d], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        i = i[100 * np.minimum(sizes[i], sizes[i + d]) >= share * np.maximum(sizes[i], sizes[i + d])]
+        i = i[sketches.hopes(i, i + d) > 0]
+        out.append(np.stack([i, i + d], 1))
+    return np.concatenate(out)
 
 
-def forest(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share: int, far: np.ndarray | None = None) -> list[tuple[int, int]]:
+def forest(sketches: Sketches, component: np.ndarray, far: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of a group that, if all of them link, join all that can be joined: a spanning forest over its
     components with the greatest bounds, grown from one set at a time. No more pairs than sets. `far`: only
     sets on different sides are paired."""
-    n = len(sizes)
+    n = len(component)
     best, parent, out = np.zeros(n, np.int64), np.full(n, -1), []
     open_ = np.ones(n, bool)
     for _ in range(n):
@@ -175,7 +178,7 @@ def forest(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share
         best[same], parent[same] = 1 << 40, -1
         if not open_.any():
             break
-        h = hopes(sketches, sizes, np.array([k]), share)[0]
+        h = sketches.hopes(k, slice(None))
         if far is not None:
             h[far == far[k]] = 0
         better = open_ & (h > best)
@@ -183,25 +186,30 @@ def forest(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share
     return out
 
 
-def hopeful(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, share: int, far: np.ndarray | None = None, most: int | None = None) -> np.ndarray | None:
-    """All pairs of a group in different components that the sketches don't rule out, as two columns;
+def hopeful(sketches: Sketches, component: np.ndarray, far: np.ndarray | None = None, most: int | None = None) -> np.ndarray | None:
+    """All pairs of a group, sorted by size, in different components that the sketches don't rule out, as two columns;
     None if there are more than `most`. Sets of the largest component needn't be paired among themselves."""
     names, counts = np.unique(component, return_counts=True)
     rest = np.flatnonzero(component != names[np.argmax(counts)])
-    place = np.full(len(sizes), -1)
+    place, sizes = np.full(len(component), -1), sketches.sizes
     place[rest] = np.arange(len(rest))
-    out, held, step = [], 0, max(1, 40_000 // len(sizes))
+    out, held, step = [np.zeros((0, 2), np.int64)], 0, max(1, min(32, 8_000 // len(component)))
     for x in range(0, len(rest), step):
         rows = rest[x : x + step]
-        ok = (hopes(sketches, sizes, rows, share) > 0) & (component[rows][:, None] != component) & (place < place[rows][:, None])
+        lo = np.searchsorted(100 * sizes, sketches.share * sizes[rows[0]])
+        hi = np.searchsorted(sketches.share * sizes, 100 * sizes[rows[-1]], "right")
+        ok = (component[rows][:, None] != component[lo:hi]) & (place[lo:hi] < place[rows][:, None])
         if far is not None:
-            ok &= far[rows][:, None] != far
-        i, j = np.nonzero(ok)
-        held += len(i)
+            ok &= far[rows][:, None] != far[lo:hi]
+        if ok.any():
+            i, j = np.nonzero(ok)
+            i, j = rows[i], j + lo
+            good = sketches.hopes(i, j) > 0
+            out.append(np.stack([i[good], j[good]], 1))
+            held += int(good.sum())
         if most is not None and held > most:
             return None
-        out.append(np.stack([rows[i], j], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return np.concatenate(out)
 
 
 def _length(size: int, share: int) -> int:
@@ -380,23 +388,23 @@ def met_in_groups(rows: DataFrame, known: DataFrame, share: int, a_row: int | No
             return pa.RecordBatch.from_arrays([*ends, pa.array([*[None] * len(p), *more], pa.int64())], names=["a", "b", "more"])
 
         for key, side, node, component, size, sketches in whole_groups(batches):
-            sketches, size = sketches.view(np.uint64), size.astype(np.int64)
             ends = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
             small = np.repeat(np.diff(ends) <= 32, np.diff(ends))
             if small.any():
-                found = hopeful_in_small_groups(key[small], sketches[small], size[small], component[small], share, side[small])
+                found = hopeful_in_small_groups(key[small], Sketches(sketches[small], size[small], share), component[small], side[small])
                 out.append(np.sort(node[small][found], axis=1))
                 held += len(found)
             for x, y in zip(ends, ends[1:]):
-                c, far = component[x:y], side[x:y]
-                if y - x <= 32 or (c == c[0]).all():
+                if y - x <= 32 or (component[x:y] == component[x]).all():
                     continue
-                own = sketches[x:y], size[x:y], c, share, far if (far != far[0]).any() else None
+                order = np.argsort(size[x:y], kind="stable") + x
+                far = side[order]
+                own = Sketches(sketches[order], size[order], share), component[order], far if (far != far[0]).any() else None
                 found = hopeful(*own, a_row * (y - x) if a_row else None)
                 if found is None:
                     found = np.array(forest(*own)).reshape(-1, 2)
                     more.append(int(key[x]))
-                out.append(np.sort(node[x:y][found], axis=1))
+                out.append(np.sort(node[order][found], axis=1))
                 held += len(found)
                 if held > 50_000:
                     yield batch()
@@ -522,13 +530,22 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
     def parts_of(links: DataFrame) -> DataFrame:
         return cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))).withColumnRenamed("u", "node")
 
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs that sketches don't rule out."""
+        for b in batches:
+            if n := b.num_rows:
+                sizes = np.concatenate([b.column(k).to_numpy() for k in (2, 3)])
+                rows = np.concatenate([b.column(k).flatten().to_numpy().reshape(n, -1) for k in (4, 5)])
+                ok = pa.array(Sketches(rows, sizes, share).hopes(np.arange(n), np.arange(n, 2 * n)) > 0)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
     votes = shared.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
     chosen = votes.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
     known = cut(sketches.join(shared.select("node").unionByName(shared.select(F.col("leader").alias("node"))).distinct(), "node", "left_semi").dropDuplicates(["node"]))
     a = known.select("node", "size", "sketch").toDF("a", "size_a", "sketch_a")
     b = known.select("node", "size", "sketch").toDF("b", "size_b", "sketch_b")
     stars = chosen.select(F.col("node").alias("a"), F.col("leader").alias("b")).join(a, "a").join(b, "b")
-    stars = cut(stars.where(screened(F.col("sketch_a"), F.col("sketch_b"), F.col("size_a"), F.col("size_b"), share)).select("a", "b"))
+    stars = cut(stars.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(screen, "a long, b long"))
     links = cut(verified(stars))
     part = parts_of(links)
     # every group once more, with its leader as a row of its own

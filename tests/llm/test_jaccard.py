@@ -90,27 +90,30 @@ def test_prefixes_keep_a_common_token():
                 assert len(np.intersect1d(jaccard.prefix(a, 85, *more), jaccard.prefix(b, 85, *more)))
 
 
-def test_sketches_never_rule_out_a_link(spark):
+def bound(a, b, share=85):
+    import numpy as np
+
+    rows, sizes = np.array([jaccard.sketch(a, share), jaccard.sketch(b, share)], np.int64), np.array([len(a), len(b)])
+    return jaccard.Sketches(rows, sizes, share).hopes(np.array([0]), np.array([1]))[0]
+
+
+def test_sketches_never_rule_out_a_link():
     import numpy as np
 
     rng = np.random.default_rng(4)
-    rows, apart = [], 0
-    for size in (1, 5, 60, 300, 3000):
-        for share in (0.0, 0.5, 0.86, 0.9, 0.95, 1.0):
+    links = apart = 0
+    for size in (1, 5, 60, 300, 1500, 2300, 4100, 9000, 20000, 90000):
+        for share in (0.0, 0.3, 0.7, 0.86, 0.87, 0.9, 0.95, 1.0):
             a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
             b = np.unique(np.concatenate([a[: int(len(a) * share)], rng.integers(0, 2**63, size // 50).astype(np.uint64)]))
             if len(b):
                 both = len(np.intersect1d(a, b))
-                link = 100 * both >= 85 * (len(a) + len(b) - both)
-                x, y = jaccard.sketch(a, 85), jaccard.sketch(b, 85)
-                hope = jaccard.hopes(np.array([x, y], np.int64).view(np.uint64), np.array([len(a), len(b)]), np.array([0]), 85)[0, 1] > 0
-                assert hope or not link
-                apart += not hope
-                rows.append((x, y, len(a), len(b), bool(hope)))
-    assert apart
-    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, x long, y long, hope boolean")
-    c = jaccard.F.col
-    assert df.where(jaccard.screened(c("a"), c("b"), c("x"), c("y"), 85) != c("hope")).count() == 0
+                hope, link = bound(a, b), 100 * both >= 85 * (len(a) + len(b) - both)
+                assert not link or hope >= 1_000_000 * both // (len(a) + len(b) - both)
+                links, apart = links + link, apart + (hope == 0)
+    other = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    assert bound(other, np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))) == 0  # large and unlike
+    assert links > 20 and apart > 20
 
 
 def test_pieces_of_a_group_lose_no_pair(spark):
@@ -125,7 +128,7 @@ def test_pieces_of_a_group_lose_no_pair(spark):
         sets.append(np.unique(own))
     component = rng.integers(0, 12, 40)
     hope = {(i, j) for i in range(40) for j in range(i + 1, 40) if component[i] != component[j]
-            and jaccard.hopes(np.array([jaccard.sketch(sets[i], 85), jaccard.sketch(sets[j], 85)], np.int64).view(np.uint64), np.array([len(sets[i]), len(sets[j])]), np.array([0]), 85)[0, 1]}
+            and bound(sets[i], sets[j])}
     known = spark.createDataFrame([(i, len(x), jaccard.sketch(x, 85)) for i, x in enumerate(sets)], "node long, size long, sketch array<bigint>")
     rows = spark.createDataFrame([(t, i, int(component[i])) for t in (5, 6) for i in range(40)], "token long, node long, component long")
 
