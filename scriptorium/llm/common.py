@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SWEPT = [0.0]
 #: A word: a run of anything but the space and the ASCII controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,9 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder: lineage ends there, and a lost executor loses
-    nothing."""
+    nothing. Shuffle files that no DataFrame can ask for any more then go: Spark drops them once the driver has collected
+    its garbage, which by itself may take it half an hour."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if time.monotonic() - _SWEPT[0] > 5:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        _SWEPT[0] = time.monotonic()
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

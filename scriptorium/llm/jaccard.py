@@ -564,8 +564,10 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
         pairs = cut(found.where("more IS NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         if pairs.limit(1).count():
             tested = tested.unionByName(pairs)
-            links = cut(links.unionByName(verified(pairs, blocks=True)))
-            part = parts_of(links)
+            new = cut(verified(pairs, blocks=True))
+            if new.limit(1).count():
+                links = links.unionByName(new)
+                part = parts_of(links)
         more = found.where("more IS NOT NULL").select(F.col("more").alias("key")).distinct()
         if not more.limit(1).count():
             break

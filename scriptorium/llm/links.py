@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not ends.groupBy("n").agg(F.sum("hangs").alias("h"), F.max("holds").alias("o")).where("h > 1 OR h > 0 AND o > 0").limit(1).count():
             break
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = hang(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hang(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hang(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         e = cut(small.where("u <> v").distinct())
