@@ -18,8 +18,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A token that may be an identifier: 12 to 64 letters and digits, with a digit.
-TOKEN = r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,63}[0-9])[A-Za-z0-9]{12,64}(?![A-Za-z0-9])"
+#: A token that may be an identifier: what stands after = or : (4 to 128 characters, marks inside), whatever it looks like; elsewhere 12 to
+#: 64 letters and digits, with a digit.
+SLOT = r"""(?<=[=:][ ]?["']?)[A-Za-z0-9][A-Za-z0-9_.+/=-]{2,126}[A-Za-z0-9=](?![A-Za-z0-9])"""
+TOKEN = SLOT + r"|(?<![A-Za-z0-9])(?=[A-Za-z]{0,63}[0-9])[A-Za-z0-9]{12,64}(?![A-Za-z0-9])"
 #: Seeds beside the fixed patterns: digests, and access key ids of a published form.
 SEEDS = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,64}$|^AKIA[0-9A-Z]{16}$"
 
@@ -87,7 +89,7 @@ def patterns_of(t: Column) -> Column:
     """The lexical patterns that a token is an instance of: the word and marks to its left, the capitals
     that it starts with, and for mixed tokens its shape."""
     own = t["match"]
-    left = F.regexp_extract(F.lower(F.substring(t["before"], -40, 40)), r"([a-z]+[^a-z0-9]{0,6})$", 1)
+    left = F.regexp_extract(F.lower(F.substring(t["before"], -40, 40)), r"(\p{L}+[^\p{L}\p{N}]{0,6})$", 1)
     start = F.regexp_extract(own, "^([A-Z]{4})[A-Z]*[0-9]", 1)
     shape = F.when(own.rlike("^[0-9]+$"), F.lit(None)).when(own.rlike("^[0-9a-f]+$"), "hex").when(own.rlike("^[0-9A-F]+$"), "HEX")
     rows = F.array(F.when(left != "", F.concat(F.lit("left "), left)), F.when(start != "", F.concat(F.lit("start "), start)), F.concat(F.lit("shape "), shape))
@@ -127,7 +129,7 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("text_key", F.md5(text)).withColumn("base", base_spans(text))
     none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
-    raw = F.when(text.rlike("[0-9]"), places(text, TOKEN)).otherwise(none)
+    raw = F.when(text.rlike("[0-9=:]"), places(text, TOKEN)).otherwise(none)
 
     def token(t: Column) -> Column:
         over = F.exists(F.col("base"), lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
@@ -154,7 +156,7 @@ def detect(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with each span that `detect` finds replaced by its kind in brackets; spans that overlap
     are replaced as one, by the first one's kind. n_chars, where there is one, follows."""
-    plain = docs.select("text").where(F.col("text").rlike("[0-9@]"))
+    plain = docs.select("text").where(F.col("text").rlike("[0-9@=:]"))
     ids = discovered(cut(scan(plain))).withColumnRenamed("text_key", "pii_key").withColumnRenamed("ids", "pii_ids")
     rows = docs.select(F.struct("*").alias("row"), "text", F.md5("text").alias("key"))
     rows = rows.join(ids, F.col("key") == F.col("pii_key"), "left")

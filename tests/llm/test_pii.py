@@ -44,10 +44,13 @@ def test_patterns_spread_from_seeds(spark):
     rows = [(i, f'text {i} has token = "{digest(i)}" in it') for i in range(30)]
     rows += [(100 + i, f"here password={digest(i)[:18]} too") for i in range(10)]
     rows += [(200 + i, f"clean words chapter{i}of{i}volumes and more") for i in range(10)] + [(300, None), (None, ""), (301, "no digits")]
-    rows += [(400 + i, f"with password=abcdefghij{i}") for i in range(3)]
+    rows += [(400 + i, f"with password=abcdefghij{i}") for i in range(3)] + [(500, "le mot password=hunter2."), (501, "a password=sk_live-77/x+y="), (502, "the password=secret")]
+    rows += [(600 + i, f"clé={digest(i + 50)[:20]}") for i in range(8)] + [(610, "la clé=azerty")]
+    rows += [(700 + i, f"note: chapter{i} time 12:30") for i in range(5)]
     out = {r.doc_id: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.listed(pii.F.col("spans")).alias("spans")).collect()}
     assert all("id:" in out[i].spans for i in [*range(30), *range(100, 110)])
-    assert all(out[i].spans == "" for i in [*range(200, 210), 300, 301, None])
+    assert [out[i].spans for i in (400, 500, 501, 502, 610)] == ["id:14:25", "id:16:23", "id:11:26", "id:13:19", "id:7:13"]
+    assert all(out[i].spans == "" for i in [*range(200, 210), 300, 301, None, *range(700, 705)])
 
 
 def test_redact(spark):
