@@ -18,8 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Makes this package importable by Python workers, and bounds the bytes of an Arrow batch."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """Makes this package importable by Python workers, bounds the bytes of an Arrow batch, and lets workers give
+    large arrays back when they are done with them."""
+    env = spark.sparkContext.environment
+    env.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", 2 << 20), ("MALLOC_TRIM_THRESHOLD_", 8 << 20), ("MALLOC_ARENA_MAX", 2), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        env.setdefault(name, str(value))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 

@@ -97,9 +97,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of all documents without strings of 400 bytes that occur elsewhere."""
-    out = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """What is left of all documents without strings of 400 bytes that occur elsewhere; n_passages: runs of 50 words or
+    more, of strings of 250 bytes that occur elsewhere."""
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), also=250, words=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
 OP5_SQL = r"""

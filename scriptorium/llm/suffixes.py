@@ -148,7 +148,7 @@ def spans_of(group: list[tuple[bytes, bytes, int, int]], shared: list[int], leng
     n = len(group)
     out: list[list[tuple[int, int]]] = [[] for _ in group]
     for i, (s, left, least, copies) in enumerate(group):
-        if copies > 1:
+        if copies > 1 and least <= len(left):
             out[i] = [(least, len(left))]
     if n <= small:
         for i in range(n):
@@ -195,12 +195,14 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeats(docs: DataFrame, length: int = 400, width: int = 100, cuts_a_part: int = 20) -> DataFrame:
-    """(text_key, spans): for each distinct text with any, the maximal spans of bytes covered by a string
-    of `length` bytes that also starts elsewhere. text_key is the text's md5 as bytes.
+def repeats(docs: DataFrame, length: int = 400, width: int = 100, cuts_a_part: int = 20, also: int | None = None) -> DataFrame:
+    """(text_key, spans, short_spans): for each distinct text with any, the spans of bytes covered by a string
+    of `length` bytes that also starts elsewhere, and those for strings of `also` bytes, a lesser number. text_key is
+    the text's md5 as bytes. Spans may overlap.
 
     1. Anchors are places chosen by content, so that equal strings of `length` bytes have one at the same
        place. Anchors whose `width` bytes occur once in the input can't lie in a repeat and go.
+       Anchors are those of the shortest strings: each longer string starts with one.
     2. Each task sorts the suffixes of its anchors (the `length` bytes from each, with the bytes back to
        the first start that it serves) and sends the sorted run, front-coded, in ranges. Equal suffixes with equal left
        contexts are one entry of the run, so a passage that a third of all documents hold is one row a
@@ -211,7 +213,8 @@ def repeats(docs: DataFrame, length: int = 400, width: int = 100, cuts_a_part: i
     """
     spark = docs.sparkSession
     prepare(spark)
-    window = length - width + 1
+    lengths = [length] if also is None else [length, also]
+    window = lengths[-1] - width + 1
     texts = docs.where("text IS NOT NULL").select("text")
 
     def found(batches: Iterator[pa.RecordBatch], met: set) -> Iterator[tuple]:
@@ -219,7 +222,7 @@ def repeats(docs: DataFrame, length: int = 400, width: int = 100, cuts_a_part: i
         for b in batches:
             for t in b.column(0):
                 data = t.as_py().encode()
-                if len(data) >= length:
+                if len(data) >= lengths[-1]:
                     key = hashlib.md5(data).digest()
                     marks = anchors(np.frombuffer(data, np.uint8), width, window) if key not in met else ((), (), (), ())
                     yield key, data, *marks, key in met
@@ -300,7 +303,7 @@ def repeats(docs: DataFrame, length: int = 400, width: int = 100, cuts_a_part: i
         coded, rows = [], []
 
         def batch() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["text_key", "first", "end"])
+            b = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3))], names=["text_key", "first", "end", "kind"])
             rows.clear()
             return b
 
@@ -309,14 +312,17 @@ def repeats(docs: DataFrame, length: int = 400, width: int = 100, cuts_a_part: i
                 if run is not None:
                     coded.append(run)
                 else:
-                    rows.append((key, 0, n))
+                    rows.extend((key, 0, n, kind) for kind, least in enumerate(lengths) if n >= least)
         group, shared = [], []
 
         def close() -> None:
-            if len(group) > 1 or group[0][1][2] > 1:
-                for (s, (*_, own)), spans in zip(group, spans_of([(s, *more[:3]) for s, more in group], shared, length)):
+            if len(group) == 1 and group[0][1][2] == 1:
+                return
+            for kind, n in enumerate(lengths):
+                members = [(s, left, max(least, n - len(s)), copies) for s, (left, least, copies, _) in group]
+                for (_, (*_, own)), spans in zip(group, spans_of(members, shared, n)):
                     for lo, hi in joined([(a, b + 1) for a, b in spans]):
-                        rows.extend((key, p - hi + 1, p - lo + length) for key, p in own)
+                        rows.extend((key, p - hi + 1, p - lo + n, kind) for key, p in own)
 
         for k, s, more in merged(coded):
             if group and k < width:
@@ -336,38 +342,46 @@ def repeats(docs: DataFrame, length: int = 400, width: int = 100, cuts_a_part: i
             yield batch()
 
     sent = texts.mapInArrow(runs, "range int, run binary, text_key binary, n long")
-    settled = sent.repartition(len(points) + 1, "range").mapInArrow(settle, "text_key binary, first long, end long")
-    return settled.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans"))
+    settled = sent.repartition(len(points) + 1, "range").mapInArrow(settle, "text_key binary, first long, end long, kind long")
+    span = F.struct("first", "end")
+    kinds = [F.collect_set(F.when(F.col("kind") == k, span)).alias(name) for k, name in enumerate(("spans", "short_spans"))]
+    return settled.groupBy("text_key").agg(*kinds)
 
 
-def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, words: int | None = None, **options) -> DataFrame:
     """`docs` plus n_bytes, n_removed, n_spans and `kept`, the bytes of the whole text that are left when
-    each byte covered by a repeated string goes. `removed` holds the maximal spans.
+    each byte covered by a repeated string goes. `removed` holds the maximal spans. n_passages: how many maximal runs of
+    repeated strings of `also` bytes have at least `words` words; null without these two.
 
-    Null text counts as empty; texts shorter than the string are whole. Copies of a text repeat each
-    other. An empty table gives no rows. Other columns pass unchanged.
+    Null text counts as empty; texts shorter than the string are whole. Very long texts are whole, too. Copies of a
+    text repeat each other. An empty table gives no rows. Other columns pass unchanged, but those of the names above
+    are replaced.
     """
-    keyed = docs.withColumn("text_key", F.unhex(F.md5("text")))
+    own = ["n_bytes", "n_removed", "n_spans", "n_passages", "removed", "kept"]
+    docs = docs.drop(*own)
+    names, at = docs.columns, docs.columns.index("text")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.md5("text")).alias("text_key"))
     found = repeats(docs, **options).withColumnRenamed("text_key", "found_key")
-    names = docs.columns
-    rows = keyed.join(found, F.col("text_key") == F.col("found_key"), "left").select(*names, "spans")
-    at, spans_at = names.index("text"), len(names)
-    own = ["n_bytes", "n_removed", "n_spans", "removed", "kept"]
+    rows = keyed.join(found, F.col("text_key") == F.col("found_key"), "left").select("row", "spans", "short_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [[] for _ in own]
-            for text, spans in zip(b.column(at).to_pylist(), b.column(spans_at).to_pylist()):
+            columns = b.column(0).flatten()
+            for text, spans, short in zip(columns[at].to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 data = (text or "").encode()
                 gone = joined([(s["first"], s["end"]) for s in spans or ()])
                 left = np.ones(len(data), bool)
                 for x, y in gone:
                     left[x:y] = False
                 kept = np.frombuffer(data, np.uint8)[left].tobytes() if gone else data
-                for c, v in zip(out, (len(data), len(data) - len(kept), len(gone), [[x, y] for x, y in gone], kept)):
+                passages = None if words is None else sum(len(data[x:y].split()) >= words for x, y in joined([(s["first"], s["end"]) for s in short or ()]))
+                for c, v in zip(out, (len(data), len(data) - len(kept), len(gone), passages, [[x, y] for x, y in gone], kept)):
                     c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:spans_at], *(pa.array(c, t) for c, t in zip(out, types))], names=[*names, *own])
+            types = [*[pa.int64()] * 4, pa.list_(pa.list_(pa.int64())), pa.binary()]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(out, types))], names=[*names, *own])
 
-    schema = StructType([*docs.schema.fields]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("removed", ArrayType(ArrayType(LongType()))).add("kept", "binary")
-    return rows.mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields])
+    for name in own[:4]:
+        schema.add(name, "long")
+    return rows.mapInArrow(run, schema.add("removed", ArrayType(ArrayType(LongType()))).add("kept", "binary"))

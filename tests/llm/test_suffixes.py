@@ -58,6 +58,33 @@ def test_passages_copies_and_odd_texts(spark):
     assert found(spark, [], 40, 20, 1) == []
 
 
+def test_two_lengths_a_hot_passage_and_clashing_names(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    hot, other = word(70), [word(34) for _ in range(5)]
+    texts = [None, "", "xy" * 30]
+    for i in range(180):
+        t = word(rng.randrange(40))
+        if i % 3 == 0:
+            t += hot[rng.randrange(8) :]
+        if i % 5 == 0:
+            t += rng.choice(other)
+        texts.append(t + word(rng.randrange(40)))
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, text_key int, spans int, n_bytes int").repartition(3)
+    out = suffixes.remove_repeats(docs, length=40, width=12, also=25, words=3).collect()
+    assert out[0].text_key == 1 and out[0].spans == 2
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == brute(texts, 40)
+    data = [(t or "").encode() for t in texts]
+    seen = {}
+    for b in data:
+        for i in range(len(b) - 24):
+            seen[b[i : i + 25]] = seen.get(b[i : i + 25], 0) + 1
+    for r in out:
+        b = data[r.doc_id]
+        spans = suffixes.joined([(i, i + 25) for i in range(len(b) - 24) if seen[b[i : i + 25]] > 1])
+        assert r.n_passages == sum(len(b[x:y].split()) >= 3 for x, y in spans)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=6), max_size=8), max_size=9))
 def test_loser_tree_merges(runs):
