@@ -20,35 +20,35 @@ from .jaccard import _BASE, _mix, _powers
 from .links import Bloom
 
 
-def anchors(a: np.ndarray, width: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(a: np.ndarray, width: int, window: int, stretch: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(places, first, last, hashes): each start of a string of width + window - 1 bytes has one anchor,
-    the first of the `window` places inside it whose `width` bytes hash least. It depends on the string
+    the first of the `window` places inside it whose `width` bytes hash least, by 40 bits. It depends on the string
     alone, so equal strings have theirs at the same distance. An anchor serves the starts first to last.
+    Very long texts go in stretches of starts.
     """
     n = len(a) - width + 1
     if n < window:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    if n - window + 1 > stretch:
+        parts = []
+        for x in range(0, n - window + 1, stretch):
+            places, first, last, h = anchors(a[x : x + stretch + window + width - 2], width, window, stretch)
+            parts.append((places + x, first + x, last + x, h))
+        return tuple(np.concatenate(c) for c in zip(*parts))
     power, inverse = _powers(len(a) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[: len(a)])])
     h = _mix((sums[width:] - sums[:-width]) * inverse[:n])
+    low = np.uint64((1 << 24) - 1)
+    key = h & ~low | np.arange(n, dtype=np.uint64)
     pad = -n % window
-    blocks = np.concatenate([h, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, window)
+    blocks = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, window)
     left = np.minimum.accumulate(blocks, 1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
     least = np.minimum(right[: n - window + 1], left[window - 1 : n])  # of the places from each start
     change = np.flatnonzero(least[1:] != least[:-1]) + 1
-    first, last = np.concatenate([[0], change]), np.concatenate([change, [len(least)]]) - 1
-    places, firsts, lasts = [], [], []
-    for x, y in zip(first.tolist(), last.tolist()):
-        at = x
-        for p in (np.flatnonzero(h[x : y + window] == least[x]) + x).tolist():
-            if p >= at and at <= y:
-                places.append(p)
-                firsts.append(at)
-                lasts.append(min(y, p))
-                at = p + 1
-    places = np.array(places)
-    return places, np.array(firsts), np.array(lasts), h[places]
+    first = np.concatenate([[0], change])
+    places = (least[first] & low).astype(np.int64)
+    return places, first, np.concatenate([change, [len(least)]]) - 1, h[places]
 
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -195,7 +195,7 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeats(docs: DataFrame, length: int = 400, width: int = 100, cuts_a_part: int = 20, also: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 400, width: int = 100, cuts_a_part: int = 20, also: int | None = None, sampled: int = 8) -> DataFrame:
     """(text_key, spans, short_spans): for each distinct text with any, the spans of bytes covered by a string
     of `length` bytes that also starts elsewhere, and those for strings of `also` bytes, a lesser number. text_key is
     the text's md5 as bytes. Spans may overlap.
@@ -206,7 +206,7 @@ def repeats(docs: DataFrame, length: int = 400, width: int = 100, cuts_a_part: i
     2. Each task sorts the suffixes of its anchors (the `length` bytes from each, with the bytes back to
        the first start that it serves) and sends the sorted run, front-coded, in ranges. Equal suffixes with equal left
        contexts are one entry of the run, so a passage that a third of all documents hold is one row a
-       task. Splitters are a bounded sample and hold fewer than `width` bytes, so strings that share
+       task. Splitters are a bounded sample from one text in `sampled`, and hold fewer than `width` bytes, so strings that share
        `width` bytes meet in one range.
     3. A tree of losers merges a range's runs. Neighbours' shared prefixes then bound groups, in which
        every start that an anchor serves is settled: see `spans_of`.
@@ -279,12 +279,13 @@ def repeats(docs: DataFrame, length: int = 400, width: int = 100, cuts_a_part: i
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Bloom(bloom.value)
         for key, data, at, _, _, h, seen in found(batches, set()):
-            some = [p for p, x, good in zip(at, h, marks.has(h) if len(h) else ()) if good and int(x) % 61 == 0]
+            some = [p for p, x, good in zip(at, h, marks.has(h) if len(h) else ()) if good and int(x) % 7 == 0]
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array([data[p : p + width // 2] for p in some], pa.binary()), pa.array([int(h_) for h_ in np.array([zlib.crc32(data[p : p + width]) for p in some])], pa.int64())], names=["cut", "draw"])
 
     parts = partitions(spark)
-    drawn = texts.mapInArrow(sample, "cut binary, draw long").orderBy("draw", "cut").limit(cuts_a_part * parts).collect()
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(sampled)) == 0)  # results don't depend on where ranges are cut
+    drawn = some.mapInArrow(sample, "cut binary, draw long").orderBy("draw", "cut").limit(cuts_a_part * parts).collect()
     points = sorted({bytes(r["cut"]) for r in drawn})
     points = sorted({points[i * len(points) // parts] for i in range(1, parts)}) if points else []
 

@@ -58,6 +58,23 @@ def test_passages_copies_and_odd_texts(spark):
     assert found(spark, [], 40, 20, 1) == []
 
 
+def test_anchors_are_the_first_least_place_of_each_start():
+    import numpy as np
+
+    rng = random.Random(2)
+    for n in (11, 12, 13, 60, 300):
+        for letters in ("a", "ab", "abcdefgh"):
+            a = np.frombuffer("".join(rng.choice(letters) for _ in range(n)).encode(), np.uint8)
+            places, first, last, h = suffixes.anchors(a, 4, 9)
+            of = {x: p for p, i, j in zip(places.tolist(), first.tolist(), last.tolist()) for x in range(i, j + 1)}
+            assert sorted(of) == list(range(max(0, n - 11))) and all(x <= p < x + 9 for x, p in of.items())
+            strings = {}
+            for x, p in of.items():
+                assert strings.setdefault(a[x : x + 12].tobytes(), p - x) == p - x
+            parts = suffixes.anchors(a, 4, 9, stretch=7)
+            assert {x: p for p, i, j in zip(*(c.tolist() for c in parts[:3])) for x in range(i, j + 1)} == of
+
+
 def test_two_lengths_a_hot_passage_and_clashing_names(spark):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
