@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # They must equal what published indexes hold.
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}"
 HAN = r"\x{4E00}-\x{9FFF}"
-ENGLISH_STOP = "a an and or of to the in on at is as by for be it with from this that".split()
-CHINESE_STOP = "的了是在与和及或但因為为以及他她它我你们们之于而"
+ENGLISH_STOP = ["a", "an", "and", "or", "of", "to", "the", "in", "on", "at", "is", "as", "by", "for", "be", "it", "with", "from", "this", "that"]
+CHINESE_STOP = ["的", "了", "是", "在", "与", "和", "及", "或", "但", "因", "為", "为", "以", "及", "他", "她", "它", "我", "你", "们", "们", "之", "于", "而"]
 KNOWN_PREFIXES = ["Category", "分类", "Data", "数据", "Project", "Property", "属性", "Help", "帮助"]
 SKIPPED_PREFIXES = ["Template:", "模板:", "File:", "文件:", "Module:", "模块:", "MediaWiki:", "Form:", "表单:"]
 NAMESPACE_DIRS = {0: "pages", 4: "project", 14: "category", 102: "pages", 3500: "data"}
@@ -34,7 +34,7 @@ def _bigrams(runs: Column) -> Column:
 
 def cjk_bigrams(text: Column) -> Column:
     """STR-03: pairs of neighbours in each run, or its only character; pairs of two stop characters go."""
-    return F.filter(_bigrams(cjk_runs(text)), lambda b: ~b.rlike(f"^[{CHINESE_STOP}]{{2}}$"))
+    return F.filter(_bigrams(cjk_runs(text)), lambda b: ~b.rlike(f"^[{''.join(CHINESE_STOP)}]{{2}}$"))
 
 
 def query_tokens(text: Column) -> Column:

@@ -14,9 +14,9 @@ BUCKETS = {
     "ancestries": ["族裔"], "backgrounds": ["背景"], "archetypes": ["变体（特征）"], "deities": ["信仰"], "locations": ["地理"], "other": ["状态"],
 }
 ITEM_GROUPS = {
-    "weapons": "特殊魔法武器 珍贵材料武器 魔兽枪".split(), "armor": "特殊魔法护甲 珍贵材料护甲 特殊魔法盾牌 珍贵材料盾牌".split(), "runes": "武器性能符文 护甲性能符文 配件符文".split(), "worn": "穿戴物品 护符 魔法刺青 植入体 圣物种子".split(),
-    "consumables": "药水 油 炼金灵药 炼金毒素 炼金炸弹 炼金食物 炼金药物 炼金弹药 其他消耗品 消耗品 茶 魔法弹药 永久炼金物品 瓶装气息 瓶装怪物 炼金工具 圈套 符箓 法术触媒 魔法圈套".split(),
-    "implements": "咒心 法杖 特殊魔杖 魔杖 魔典 天命套牌 尾声乐器".split(),
+    "weapons": ["特殊魔法武器", "珍贵材料武器", "魔兽枪"], "armor": ["特殊魔法护甲", "珍贵材料护甲", "特殊魔法盾牌", "珍贵材料盾牌"], "runes": ["武器性能符文", "护甲性能符文", "配件符文"], "worn": ["穿戴物品", "护符", "魔法刺青", "植入体", "圣物种子"],
+    "consumables": ["药水", "油", "炼金灵药", "炼金毒素", "炼金炸弹", "炼金食物", "炼金药物", "炼金弹药", "其他消耗品", "消耗品", "茶", "魔法弹药", "永久炼金物品", "瓶装气息", "瓶装怪物", "炼金工具", "圈套", "符箓", "法术触媒", "魔法圈套"],
+    "implements": ["咒心", "法杖", "特殊魔杖", "魔杖", "魔典", "天命套牌", "尾声乐器"],
 }
 ROOTS = {"arcane": "奥术", "divine": "神术", "occult": "异能", "primal": "原能"}
 SPELL_CLASSES = {"cantrips": "戏法", "focus": "聚能"}

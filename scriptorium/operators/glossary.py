@@ -12,22 +12,22 @@ from ..functions import text as T
 
 # ---- Fixed values: thresholds and word lists that decide which terms are good. ----
 STRONG = ["A_title_field", "E_infobox_field"]
-FRAGMENT_PREFIXES = "和 或 与 的 在 就 并 也 还 如同 就是 是 为 被 将 已 要 如果 即使 但 而 一 二 三 四 五 六 七 八 九 十".split()
-FRAGMENT_SUFFIXES = "的 地 得 了 着 过 而 与 和 或 之 上 下 中 内 外 时 后 前 为 是 有 会".split()
+FRAGMENT_PREFIXES = ["和", "或", "与", "的", "在", "就", "并", "也", "还", "如同", "就是", "是", "为", "被", "将", "已", "要", "如果", "即使", "但", "而", "一", "二", "三", "四", "五", "六", "七", "八", "九", "十"]
+FRAGMENT_SUFFIXES = ["的", "地", "得", "了", "着", "过", "而", "与", "和", "或", "之", "上", "下", "中", "内", "外", "时", "后", "前", "为", "是", "有", "会"]
 SENTENCE_MARKERS = r"[你我他她它们这那某]|^这个|^那个"
 SENTENCE_OPENERS = ["using ", "when ", "while ", "during ", "after ", "before ", "how to ", "what ", "where "]
 ARTIFACT = r"</?\w+>|<!--|-->|&\w+;"
 ACTION = "启动|触发|效果|反应|要求|频率|豁免|持续|范围|目标"
-FRAGMENT_STARTERS = "也就是 来自 位于 关于 对于 随后 所有 每个 一个 一只 一种 一位 一名 并且 然后 然而 就是 该 其 此 即".split()
-JUNK = "你 我 他 她 它 他们 她们 它们 我们 你们 这 那 这个 那个 这些 那些 是 有 会 可 得 的".split()
-AFTER_FROM = {"从": "容此而不来未小前后今旁速事业军", "由": "于此衷来"}
-AFTER_LIKE = "果此今何同意是若期许一其芒常故愿"
-GENERIC_TAILS = "能力 动作 效果 地点 生物 术语 法术 技能 状态 物品 符文 武器 护甲 区域 环境 位置 世界 位面 名字 名称 身份 种类 类型 人物 角色 数据 信息 特征 特性 能力值 点数 可能性 结果 选择 方式 方法 过程 时间 空间".split()
-BOOK_CODES = "CRB APG GMC GNG LOCG LOWG LOIL LOTGB LOAG LOPSG LOME LOAP ROE SOT AOE FOP AV KM AON DC PC HP XP AC TV EC".split()
-CONTENT_STOP = "a an the of in on at to for and or by with from as is was be been".split()
-END_PARTICLES, START_FRAGMENTS = "中 等 啊 吧 呀 哟 呢 嘛".split(), "之 其 一 某 此".split()
+FRAGMENT_STARTERS = ["也就是", "来自", "位于", "关于", "对于", "随后", "所有", "每个", "一个", "一只", "一种", "一位", "一名", "并且", "然后", "然而", "就是", "该", "其", "此", "即"]
+JUNK = ["你", "我", "他", "她", "它", "他们", "她们", "它们", "我们", "你们", "这", "那", "这个", "那个", "这些", "那些", "是", "有", "会", "可", "得", "的"]
+AFTER_FROM = {"从": ["容", "此", "而", "不", "来", "未", "小", "前", "后", "今", "旁", "速", "事", "业", "军"], "由": ["于", "此", "衷", "来"]}
+AFTER_LIKE = ["果", "此", "今", "何", "同", "意", "是", "若", "期", "许", "一", "其", "芒", "常", "故", "愿"]
+GENERIC_TAILS = ["能力", "动作", "效果", "地点", "生物", "术语", "法术", "技能", "状态", "物品", "符文", "武器", "护甲", "区域", "环境", "位置", "世界", "位面", "名字", "名称", "身份", "种类", "类型", "人物", "角色", "数据", "信息", "特征", "特性", "能力值", "点数", "可能性", "结果", "选择", "方式", "方法", "过程", "时间", "空间"]
+BOOK_CODES = ["CRB", "APG", "GMC", "GNG", "LOCG", "LOWG", "LOIL", "LOTGB", "LOAG", "LOPSG", "LOME", "LOAP", "ROE", "SOT", "AOE", "FOP", "AV", "KM", "AON", "DC", "PC", "HP", "XP", "AC", "TV", "EC"]
+CONTENT_STOP = ["a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or", "by", "with", "from", "as", "is", "was", "be", "been"]
+END_PARTICLES, START_FRAGMENTS = ["中", "等", "啊", "吧", "呀", "哟", "呢", "嘛"], ["之", "其", "一", "某", "此"]
 NOTE_STARTS, NOTES = ["例如", "比如", "请"], ["译者注", "译注", "注：", "编按", "按："]
-VERB_PREFIXES = {"把": "握戏柄手守持", "使": "节者用馆命徒团役唤劲", "让": "步位与给", "令": "人牌箭", "给": "予养"}
+VERB_PREFIXES = {"把": ["握", "戏", "柄", "手", "守", "持"], "使": ["节", "者", "用", "馆", "命", "徒", "团", "役", "唤", "劲"], "让": ["步", "位", "与", "给"], "令": ["人", "牌", "箭"], "给": ["予", "养"]}
 STRAY_PREFIXES = ["之", "其", "由"]
 ENGLISH = r"[A-Za-z][A-Za-z0-9'’,\- ]{1,60}[A-Za-z0-9]"
 
@@ -126,8 +126,8 @@ def supplement(stats: DataFrame, known: DataFrame) -> DataFrame:
     return confident(stats).where(F.length("zh") <= 8).withColumn("low", F.lower("en")).join(have, "low", "left_anti").drop("low").orderBy(F.lower("en"))
 
 
-LEADING_NOISE = "依照 除非 虽然 但是 而且 因此 所以 如果 即使 这个 那个 这些 那些 一个 一只 一位 一名 北部 南部 东部 西部 然后 并且 它会 他们 她们 我们 你们 此外 另外 首先 其次 最后".split()
-BAD_STARTS = [*LEADING_NOISE, *"是指 代表 表示 指的是 形如 形似 意味 来自 生长 位于 专门 可以 应当 是否 是相对 或说 或以 或脚 不过 发该 通常 必须 使用 将会 当与 当你 当他 当她 当它 当这 过欺".split()]
+LEADING_NOISE = ["依照", "除非", "虽然", "但是", "而且", "因此", "所以", "如果", "即使", "这个", "那个", "这些", "那些", "一个", "一只", "一位", "一名", "北部", "南部", "东部", "西部", "然后", "并且", "它会", "他们", "她们", "我们", "你们", "此外", "另外", "首先", "其次", "最后"]
+BAD_STARTS = [*LEADING_NOISE, *["是指", "代表", "表示", "指的是", "形如", "形似", "意味", "来自", "生长", "位于", "专门", "可以", "应当", "是否", "是相对", "或说", "或以", "或脚", "不过", "发该", "通常", "必须", "使用", "将会", "当与", "当你", "当他", "当她", "当它", "当这", "过欺"]]
 
 
 def trimmed(zh: Column) -> Column:
@@ -264,7 +264,7 @@ def strip_name_title(zh: Column) -> Column:
 
 def strip_named(zh: Column) -> Column:
     """GLO-10"""
-    return F.regexp_replace(zh, rf"^(?:如(?![{AFTER_LIKE}])|名为|叫做|名叫|称为|称作|又名|又称)(?=[{T.HAN}]{{2,}})", "")
+    return F.regexp_replace(zh, rf"^(?:如(?![{"".join(AFTER_LIKE)}])|名为|叫做|名叫|称为|称作|又名|又称)(?=[{T.HAN}]{{2,}})", "")
 
 
 def clean_key(en: Column) -> Column:

@@ -106,10 +106,12 @@ def postings(items: DataFrame) -> DataFrame:
 
 
 def posting_rows(items: DataFrame) -> DataFrame:
-    """(kind, token, id): the index without lists, for corpora in which a token's list would not fit one
+    """(kind, bucket, token, id): the index without lists, for corpora in which a token's list would not fit one
     row. Search reads this form."""
     words = items.select("id", F.lit("w").alias("kind"), F.explode(F.array_distinct(T.latin_words(F.col("text")))).alias("token"))
-    return words.unionByName(items.select("id", F.lit("b").alias("kind"), F.explode(F.array_distinct(T.cjk_bigrams(F.col("text")))).alias("token")))
+    pairs = items.select("id", F.lit("b").alias("kind"), F.explode(F.array_distinct(T.cjk_bigrams(F.col("text")))).alias("token"))
+    both = words.withColumn("bucket", T.word_bucket(F.col("token"))).unionByName(pairs.withColumn("bucket", T.bigram_bucket(F.col("token"))))
+    return both.select("kind", "bucket", "token", "id")
 
 
 @dataclass
@@ -128,7 +130,7 @@ def parse_query(text: str) -> Query:
 def expanded(rows: DataFrame, word: str, most_keys: int = 200, most_ids: int = 5000) -> DataFrame:
     """SET-04, SRT-09: ids of a word and of the words it starts, in order, until `most_keys` of them, or
     until `most_ids` ids are there before the next."""
-    own = rows.where((F.col("kind") == "w") & F.col("token").startswith(word))
+    own = rows.where((F.col("kind") == "w") & (F.col("bucket") == T.word_bucket(F.lit(word))) & F.col("token").startswith(word))
     longer = own.where(F.col("token") != word).select("token").distinct().orderBy("token").limit(most_keys)
     keys = longer.withColumn("rank", F.row_number().over(Window.orderBy("token")))
     keys = keys.unionByName(rows.sparkSession.createDataFrame([(word, 0)], "token string, rank int"))
@@ -148,7 +150,7 @@ def search(items: DataFrame, rows: DataFrame, text: str, limit: int | None = 50)
     spark: SparkSession = items.sparkSession
     if not q.cjk and not q.latin:
         return rank(items.limit(0), text).withColumn("total", F.lit(0).cast("long"))
-    lists = [rows.where((F.col("kind") == "b") & (F.col("token") == t)).select("id").distinct() for t in q.cjk]
+    lists = [rows.where((F.col("kind") == "b") & (F.col("bucket") == T.bigram_bucket(F.lit(t))) & (F.col("token") == t)).select("id").distinct() for t in q.cjk]
     lists += [expanded(rows, w) for w in q.latin]
     tagged = [x.withColumn("list", F.lit(i)) for i, x in enumerate(lists)]
     hits = tagged[0]
@@ -212,14 +214,13 @@ class Engine:
     def write(self, path: str) -> None:
         """SNK-04 to SNK-07: titles in one table, postings by kind and bucket."""
         self.items.write.parquet(f"{path}/titles")
-        bucket = F.when(F.col("kind") == "b", T.bigram_bucket(F.col("token"))).otherwise(T.word_bucket(F.col("token")))
-        rows = self.rows.withColumn("bucket", bucket)
-        rows.repartition("kind", "bucket", F.pmod(F.xxhash64("token"), F.lit(8))).sortWithinPartitions("token", "id").write.partitionBy("kind", "bucket").parquet(f"{path}/postings")
+        self.rows.repartition("kind", "bucket", F.pmod(F.xxhash64("token"), F.lit(8))).sortWithinPartitions("token", "id").write.partitionBy("kind", "bucket").parquet(f"{path}/postings")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Engine:
         """SRC-23, SRC-24: a query's literal buckets prune the folders that are read."""
-        return cls(spark.read.parquet(f"{path}/titles"), spark.read.parquet(f"{path}/postings"))
+        rows = spark.read.schema("token string, id long, kind string, bucket string").parquet(f"{path}/postings")
+        return cls(spark.read.parquet(f"{path}/titles"), rows)
 
     def search(self, text: str, limit: int | None = 50) -> DataFrame:
         """RNK-09: a larger limit shows more."""

@@ -59,6 +59,8 @@ def test_index_round_trip_and_aliases(spark, tmp_path):
     engine.write(str(tmp_path / "index"))
     again = search.Engine.read(spark, str(tmp_path / "index"))
     assert [r.title for r in again.search("Fireball").collect()] == ["火球术"] == [r.title for r in engine.search("fire").collect()]
+    plan = again.search("Fireball 火球")._jdf.queryExecution().toString()
+    assert "(bucket" in plan.split("PartitionFilters: [", 1)[1] and "= f)" in plan and "= w)" in plan
     assert [r.title for r in again.search("AC").collect()] == ["AC"] and again.search("!").count() == 0
     assert search.manifest(items, search.postings(items)).head().entries == 3
     assert search.best_match(again.search("AC")).count() == 1 and search.by_type(again.search("AC")).head().n == 1

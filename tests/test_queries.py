@@ -36,13 +36,13 @@ def test_redirect_chase_takes_every_order(spark, tmp_path):
                 return seen[-1], t in seen, len(seen) - 1
             seen.append(t)
 
-    out = {r.start: (r.final, r.cycle, r.hops) for r in QUERIES["redirect_chase_all"](spark, str(tmp_path)).collect()}
+    out = {r.start: (r.final, r.cycle, r.hops) for r in QUERIES["redirect_chase"](spark, str(tmp_path)).collect()}
     assert out == {k: chased(k) for k in keys}
 
 
 def test_highlights_whole_pages(spark, tmp_path):
     html = "<p>x</p>" * 100 + "the end & more"
     spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    r = QUERIES["highlighted_pages"](spark, str(tmp_path)).head()
+    r = QUERIES["highlighted"](spark, str(tmp_path)).head()
     assert r.marked == html.replace("the", "<mark>the</mark>")
     assert r.escaped == html.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
