@@ -634,3 +634,6 @@ def scalar_functions(spark, sf_dir):
         "p_partkey", T.content_address(F.sha1("p_name"), F.lit("png")).alias("path"), T.short_key(F.col("p_brand")).alias("key"), T.parts(F.col("p_type")).alias("parts"),
         T.to_int(F.col("p_name")).alias("number"), F.lower(T.normal_title(F.col("p_name"))).alias("normal"), T.megabytes(F.col("p_retailprice") * 1000).alias("mb"),
     )
+
+
+from . import round_trips  # noqa: E402, F401  registers its queries here

@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` as a checkpoint in spark.checkpoint.dir; a local session without one uses a temporary
-    folder."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from spark.checkpoint.dir; a local session without one uses a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` as a checkpoint in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint()
