@@ -58,6 +58,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """A stored table of a row a language or source, to be broadcast if it has at most `most` rows."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 
 BITS = 64
 
@@ -29,7 +29,7 @@ def segment(code: Column, k: Column, width: int) -> Column:
     return F.call_function("shiftrightunsigned", code, (k * width).cast("int")).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, width: int | None = None) -> DataFrame:
     """(query_id, neighbor_id, hamming, rank): for each query the k rows of other ids with the least
     Hamming distance, ties by id. vectors and queries: id, code (64 bits).
 
@@ -38,6 +38,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     code only where its nearest segment is found first, and closes the queries whose kth verified
     distance is covered. Equal codes are one entry with their k + 1 lowest ids, for they tie in distance,
     so a vector with a third of all rows costs what any other does. At radius `width` all is covered.
+    Segments have `width` bits, by default 8 or 16, whichever has about as many values as there are codes or fewer. The
+    result doesn't depend on it. Recall over codes is 1; how well signs stand for the vectors isn't this operator's.
 
     Null code: neither found nor asked. A repeated id counts once for each different code. Fewer than k
     other ids: all of them. Empty table: no rows.
@@ -46,11 +48,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ranked = own.withColumn("at", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("at") <= k + 1)
     entries = cut(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     n = entries.count()
-    width = 8 if n < 4096 else 16
+    width = width or (8 if n.bit_length() <= 12 else 16)
     m = BITS // width
     parts = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda s: F.struct(s.alias("seg"), segment(F.col("code"), s, width).alias("value")))
     table = cut(entries.select(F.col("code").alias("c"), F.size("ids").alias("n"), F.explode(parts).alias("p")).select("c", "n", "p.seg", "p.value"))
-    asked = cut(queries.where("code IS NOT NULL").select("code").distinct())
+    asked = cut(queries.where("code IS NOT NULL").select("code").distinct().repartition(partitions(vectors.sparkSession), "code"))
     need = min(k + 1, entries.select(F.sum(F.size("ids"))).head()[0] or 0)
     open_, found = asked, None
     for r in range(width + 1):

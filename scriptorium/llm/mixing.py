@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, partitions
+from .common import cut, n_words, partitions, small
 
 
 def targets(sources: DataFrame, share: tuple[int, int], most: int, weights: tuple[int, ...]) -> DataFrame:
@@ -52,9 +52,9 @@ def mix(docs: DataFrame, share: tuple[int, int] = (3, 2), most: int = 2, weights
     plan = targets(sources, share, most, weights).withColumnRenamed("source", "s")
     everything = F.sum("rows").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ranges = sources.select(F.col("source").alias("r"), F.ceil(F.col("rows") * 4.0 * partitions(spark) / everything).alias("ranges"))
-    plan = plan.join(ranges, F.col("s").eqNullSafe(F.col("r"))).drop("r")
+    plan = cut(plan.join(ranges, F.col("s").eqNullSafe(F.col("r"))).drop("r"))
     part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(1 << 32))
-    dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("part", part)
+    dealt = rows.join(small(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("part", part)
     sums = dealt.groupBy("source", "part").agg(F.sum("size").alias("held"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(F.col("source").alias("b"), F.col("part").alias("p"), F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))

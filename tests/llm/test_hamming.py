@@ -33,3 +33,14 @@ def test_signs(spark):
     rows = [([1.0, -1.0, 0.0, None, 2.0],), (None,), ([float("nan")] * 2,), ([0.0] * 64 + [1.0],), ([-1.0] + [0.0] * 63 + [2.0],)]
     got = [r.c for r in spark.createDataFrame(rows, "e array<float>").select(hamming.signs(hamming.F.col("e")).alias("c")).collect()]
     assert got[0] == 0b10001 and got[1] is None and got[3] == 1 and got[4] == 1
+
+
+def test_every_width_gives_the_same_beyond_4096_codes(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.getrandbits(64) - 2**63) for i in range(4600)]
+    rows += [(5000 + i, rows[i][1] ^ (1 << i % 60) ^ (1 << 61)) for i in range(60)]
+    asked = [rows[i] for i in range(0, 60, 20)]
+    df = lambda x: spark.createDataFrame(x, "id long, code long")
+    want = brute(rows, asked, 4)
+    for width in (None, 8):
+        assert sorted(map(tuple, hamming.search(df(rows), df(asked), 4, width).collect())) == want
