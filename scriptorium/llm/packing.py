@@ -21,6 +21,16 @@ _SPLIT = re.compile(f" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^{_S}{_L}{_N}]
 _RARE = re.compile("[^\n\x20-\x7e\xa1-\xff]")
 
 
+class _Known(dict):
+    """The ids of words; one that isn't there yet is made by `make`."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, s: str) -> bytes:
+        return self.make(s)
+
+
 class Tokens:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with the ids of words remembered.
 
@@ -32,7 +42,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.words, self.known, self.parts = words, {}, {}
+        self.words, self.known, self.parts = words, _Known(self.chunk), {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         self.shown = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
@@ -65,11 +75,7 @@ class Tokens:
         simple = "  " not in text and " \n" not in text and "\n\n" not in text and text[-1] not in " \n" and text[0] not in " \n"
         if not simple or _RARE.search(text) or any(s in text for s in self.special):
             return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
-        known, chunk = self.known, self.chunk
-        out = []
-        for s in f"\n{text}".replace("\n", " \n").split(" ")[1:]:
-            found = known.get(s)
-            out.append(chunk(s) if found is None else found)
+        out = map(self.known.__getitem__, f"\n{text}".replace("\n", " \n").split(" ")[1:])
         return b"".join(out)[len(self.part("\n")):]
 
 
