@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -50,7 +50,7 @@ class Tokens:
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def part(self, s: str) -> bytes:
         found = self.parts.get(s)
