@@ -27,7 +27,6 @@ class Scorer:
 
     def __init__(self, ordinary: bytes, toxic: bytes, window: int, level: int):
         self.ordinary, self.toxic, self.window, self.level, self.weights = ordinary, toxic, window, level, None
-        self.common = frozenset(ordinary.split(b" "))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "pair"}
@@ -37,7 +36,7 @@ class Scorer:
             import zstandard
 
             pair = []
-            for content in (self.ordinary, self.toxic):
+            for content in (self.ordinary, self.ordinary + self.toxic):
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=self.level)
                 pair.append(zstandard.ZstdCompressor(dict_data=d, level=self.level, write_content_size=False, write_checksum=False, write_dict_id=False))
@@ -45,10 +44,10 @@ class Scorer:
         return self.pair
 
     def gains(self, text: str) -> np.ndarray:
-        """For each window of the whole text, the bytes that the toxic dictionary saves. Words that the
-        ordinary dictionary holds as they are tell nothing and only add noise, so windows go without."""
+        """For each window of the whole text, the bytes that the toxic dictionary saves. It stands behind the
+        ordinary one, so words that both know cost the same and don't drown the difference."""
         ordinary, toxic = (c.compress for c in self.compressors())
-        w, n = [x for x in words(text) if x not in self.common], self.window
+        w, n = words(text), self.window
         out = []
         for i in range(0, len(w), n):
             b = b" %b " % b" ".join(w[i : i + n])
@@ -57,8 +56,8 @@ class Scorer:
 
     def features(self, text: str) -> np.ndarray:
         g = np.sort(self.gains(text))[::-1]
-        over = [float((g >= k).sum()) for k in (2, 3, 4, 5)]
-        return np.array([1.0, min(g[0], 12), min(g[:2].sum(), 20), *np.log1p(over), np.log1p(len(g)), over[1] / len(g), over[2] / len(g)])
+        over = [float((g >= k).sum()) for k in (1, 2, 3, 4, 5, 6)]
+        return np.array([1.0, min(g[0], 16), min(g[:2].sum(), 30), *np.log1p(over), np.log1p(len(g)), over[1] / len(g), over[3] / len(g), g.mean()])
 
     def calibrate(self, texts: list[str], labels: list[int], steps: int = 30) -> None:
         """Logistic regression on the windows' gains, by Newton's method; it sets the threshold."""
@@ -76,18 +75,26 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(((self.features(text) - mean) / deviation) @ w, -30, 30))))
 
 
-def train(texts: list[str], labels: list[int], window: int = 6, level: int = 3, size: int = 64 << 10, distinct: float = 5.0) -> Scorer | float:
-    """Dictionaries and calibration from labelled texts; a constant score if one label is missing or
-    texts are too few for a dictionary.
-
-    The ordinary dictionary is trained on ordinary texts, less words that stand out in toxic ones, for
-    ordinary texts quote some of them. The toxic one holds the same and, nearest to
-    the window, the words of toxic texts whose share of toxic texts stands out by `distinct` deviations;
-    windows of ordinary words then compress alike with both, and a gain is due to toxic words. The
-    same texts calibrate the score. Copies count once.
-    """
+def dictionary(samples: list[bytes], size: int, **options) -> bytes:
+    """A dictionary of at most `size` bytes that zstandard trains on `samples`; their end where they are too few."""
     import zstandard
 
+    try:
+        content = zstandard.train_dictionary(size, samples, **options).as_bytes()
+    except zstandard.ZstdError:
+        content = b""
+    return content or b" ".join(samples)[-size:]
+
+
+def train(texts: list[str], labels: list[int], window: int = 6, level: int = 3, size: int = 64 << 10, toxic_size: int = 8 << 10, distinct: float = 5.0) -> Scorer | float:
+    """Two trained dictionaries and the calibration, from labelled texts; a constant score if one label is missing.
+
+    Toxic texts are mostly ordinary words, which would fill a dictionary trained on them as they are. So
+    the toxic dictionary is trained on what stands out in each of them: words of four bytes or more whose
+    share of toxic texts is `distinct` deviations above that of ordinary ones. The ordinary dictionary is
+    trained on ordinary texts without these words, for such texts quote some. The same texts calibrate
+    the score. Copies count once.
+    """
     seen = dict(zip(texts, labels))
     texts, labels = list(seen), list(seen.values())
     if not texts or sum(labels) in (0, len(labels)):
@@ -96,25 +103,17 @@ def train(texts: list[str], labels: list[int], window: int = 6, level: int = 3,
     for t, y in seen.items():
         (toxic if y else ordinary).update(set(words(t)))
     n, m = sum(labels), len(labels) - sum(labels)
+    least = min(distinct, 0.2 * np.sqrt(n + m))
 
-    def stands_out(w: bytes) -> float:
+    def stands_out(w: bytes) -> bool:
         a, b = toxic[w], ordinary[w]
         p = (a + b) / (n + m)
-        return (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
+        return a / n - b / m >= least * np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
 
-    limit = min(distinct, 0.2 * np.sqrt(n + m))
-    chosen = sorted((w for w in toxic if toxic[w] > 1 and stands_out(w) >= limit), key=lambda w: (-stands_out(w), w))
-    out = set(chosen[:2000])
-    plain = [b" ".join(w for w in words(t) if w not in out) for t, y in seen.items() if not y]
-    try:
-        content = zstandard.train_dictionary(size, plain).as_bytes()
-    except zstandard.ZstdError:
-        content = b" ".join(plain)[-size:]
-    bad = bytearray(content)
-    for w in reversed(chosen[:2000]):  # the most telling words last, nearest to the window
-        for place in range(3):  # zstandard indexes every third place of a dictionary
-            bad += b" " * ((place - len(bad)) % 3) + b" " + w + b" "
-    scorer = Scorer(content, bytes(bad), window, level)
+    telling = {w for w in toxic if toxic[w] > 1 and len(w) >= 4 and stands_out(w)}
+    plain = [b" ".join(w for w in words(t) if w not in telling) for t, y in seen.items() if not y]
+    bad = [b" %b " % b" ".join(k) for t, y in seen.items() if y and (k := [w for w in words(t) if w in telling])]
+    scorer = Scorer(dictionary(plain, size), dictionary(bad, toxic_size, k=32, d=6), window, level)
     scorer.calibrate(texts, labels)
     return scorer
 

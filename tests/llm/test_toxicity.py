@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import zstandard
 
 from scriptorium.llm import queries, toxicity
 
@@ -26,6 +27,20 @@ def test_toxic_words_save_bytes():
     assert scorer.score(new) > 0.5 > scorer.score(" ".join(word() for _ in range(60)))
 
 
+def test_gains_are_lengths_of_whole_windows():
+    plain = [f"the quiet river number{i} runs past the old mill and the quiet field" for i in range(60)]
+    scorer = toxicity.train(plain + [f"the quiet river vilestuff{i % 3} runs" for i in range(30)], [0] * 60 + [1] * 30, window=4)
+    assert b"vilestuff" in scorer.toxic and b"vilestuff" not in scorer.ordinary
+
+    def length(content, window):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, level=3, write_content_size=False, write_dict_id=False).compress(window))
+
+    windows = [b" the quiet river vilestuff1 ", b" runs past "]
+    expected = [length(scorer.ordinary, w) - length(scorer.ordinary + scorer.toxic, w) for w in windows]
+    assert list(scorer.gains("The quiet river, vilestuff1 runs past!")) == expected and expected[0] > 0
+
+
 def test_odd_rows(spark):
     scorer = toxicity.train(["plain words here"] * 3 + ["bad words"], [0, 0, 0, 1])
     docs = spark.createDataFrame([(1, None, 9), (2, "", 9), (None, "x " * 30000, 9), (2, "x", 9)], "doc_id long, text string, toxicity int")
