@@ -29,7 +29,7 @@ def test_toxic_words_save_bytes():
 
 def test_gains_are_lengths_of_whole_windows():
     plain = [f"the quiet river number{i} runs past the old mill and the quiet field" for i in range(60)]
-    scorer = toxicity.train(plain + [f"the quiet river vilestuff{i % 3} runs" for i in range(30)], [0] * 60 + [1] * 30, window=4)
+    scorer = toxicity.train(plain + [f"the quiet river vilestuff{i % 3} runs past{i}" for i in range(30)], [0] * 60 + [1] * 30, window=4)
     assert b"vilestuff" in scorer.toxic and b"vilestuff" not in scorer.ordinary
 
     def length(content, window):
