@@ -97,7 +97,7 @@ def dead_stubs(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """REN-08: (target, url, label) for dead targets: by a rule (target, url, label), by the image's name for
     `.png.html`, else a search for the page's name."""
     name = F.regexp_replace(F.substring_index("target", "/", -1), r"(?i)(\.png)?\.html$", "")
-    j = targets.join(F.broadcast(rules.select("target", F.col("url").alias("_u"), F.col("label").alias("_l"))), "target", "left")
+    j = targets.join(rules.select("target", F.col("url").alias("_u"), F.col("label").alias("_l")), "target", "left")
     where = F.when(F.col("target").endswith(".png.html"), F.concat(name, F.lit(" ["), F.substring_index("target", "/", 1), F.lit("]"))).otherwise(name)
     return j.select("target", F.coalesce("_u", F.concat(F.lit("../search.html?q="), T.percent(name))).alias("url"), F.coalesce("_l", where).alias("label"))
 
@@ -106,7 +106,7 @@ def nav_audit(targets: DataFrame, pages: DataFrame) -> DataFrame:
     """JOI-25, JOI-26: `targets` (path) plus state: missing, redirect, list or article, from pages (path, size,
     is_redirect, n_links)."""
     j = targets.join(pages, "path", "left")
-    state = F.when(F.col("size").isNull(), "missing").when("is_redirect", "redirect").when(F.col("n_links") * 60 > F.col("size"), "list").otherwise("article")
+    state = F.when(F.col("size").isNull(), "missing").when(F.col("is_redirect"), "redirect").when(F.col("n_links") * 60 > F.col("size"), "list").otherwise("article")
     return j.select("path", state.alias("state"))
 
 
