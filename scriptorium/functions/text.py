@@ -14,6 +14,8 @@ KNOWN_PREFIXES = ["Category", "分类", "Data", "数据", "Project", "Property",
 SKIPPED_PREFIXES = ["Template:", "模板:", "File:", "文件:", "Module:", "模块:", "MediaWiki:", "Form:", "表单:"]
 NAMESPACE_DIRS = {0: "pages", 4: "project", 14: "category", 102: "pages", 3500: "data"}
 LEVELS = [("0-1", 0, 1), ("2-5", 2, 5), ("6-10", 6, 10), ("11-15", 11, 15), ("16-20", 16, 20)]
+FORM_TAGS = ["big", "small", "sup", "sub", "u", "i", "b", "br", "font", "span", "div"]
+EDGE_MARKS = " \t\"'`’‘“”「」《》『』()（）[]{}：:；;,，.。·•*～~—-_/\\"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
@@ -182,22 +184,25 @@ def han_count(text: Column) -> Column:
 
 
 def precleaned(wikitext: Column) -> Column:
-    """STR-15: no file links, the labels of external links, no tags and comments."""
-    out = F.regexp_replace(wikitext, r"(?i)\[\[(?:File|Image|文件|图片):[^\]]*\]\]", " ")
-    out = F.regexp_replace(out, r"\[https?://\S+\s+([^\]]+)\]", "$1")
-    return F.regexp_replace(out, r"(?s)<!--.*?-->|<[^>]+>", " ")
+    """STR-15: no file links, the labels of external links, no comments and tags of mere form."""
+    out = F.regexp_replace(wikitext, r"(?i)\[\[(?:File|文件|图像|Image):[^\]]*\]\]", "")
+    out = F.regexp_replace(out, r"(?U)\[https?://\S+\s+([^\]]+)\]", "$1")
+    return F.regexp_replace(out, rf"(?is)</?(?:{'|'.join(FORM_TAGS)})(?:\s[^>]*)?/?>|<!--.*?-->", " ")
+
+
+def link_targets(text: Column) -> Column:
+    """Links as the titles that they lead to."""
+    return F.regexp_replace(text, r"\[\[([^|\]]+)(?:\|[^\]]*)?\]\]", "$1")
 
 
 def normal_english(text: Column) -> Column:
     """STR-17"""
-    out = F.regexp_replace(F.replace(text, F.lit("’"), F.lit("'")), r"(?U)\s+", " ")
-    return F.regexp_replace(F.regexp_replace(out, r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1"), r"^[ ,.;:'\-]+|[ ,.;:'\-]+$", "")
+    return F.btrim(F.replace(collapsed(text), F.lit("’"), F.lit("'")), F.lit(EDGE_MARKS))
 
 
 def normal_chinese(text: Column) -> Column:
     """STR-17"""
-    out = F.regexp_replace(F.replace(text, F.lit("'''"), F.lit("")), r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1")
-    return F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", " "), r"^[ ，,。.·：:；;]+|[ ，,。.·：:；;]+$", "")
+    return F.trim(F.btrim(F.btrim(collapsed(link_targets(text)), F.lit(EDGE_MARKS)), F.lit("'")))
 
 
 def highlighted(text: Column, terms: list[str], lead: int = 36, back: int = 12) -> Column:

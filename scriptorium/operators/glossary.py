@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from ..functions import text as T
+from .search import numbered
 
 # ---- Fixed values: thresholds and word lists that decide which terms are good. ----
 STRONG = ["A_title_field", "E_infobox_field"]
@@ -29,7 +30,9 @@ END_PARTICLES, START_FRAGMENTS = ["中", "等", "啊", "吧", "呀", "哟", "呢
 NOTE_STARTS, NOTES = ["例如", "比如", "请"], ["译者注", "译注", "注：", "编按", "按："]
 VERB_PREFIXES = {"把": ["握", "戏", "柄", "手", "守", "持"], "使": ["节", "者", "用", "馆", "命", "徒", "团", "役", "唤", "劲"], "让": ["步", "位", "与", "给"], "令": ["人", "牌", "箭"], "给": ["予", "养"]}
 STRAY_PREFIXES = ["之", "其", "由"]
-ENGLISH = r"[A-Za-z][A-Za-z0-9'’,\- ]{1,60}[A-Za-z0-9]"
+ENGLISH = r"[A-Za-z][A-Za-z0-9'’ \-]{1,78}[A-Za-z0-9]"
+CHINESE = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}"
+NOISE_CODES = ["AON", "DC", "PC", "HP", "XP", "AC", "CRB", "APG", "GMC", "GNG", "LOCG", "LOWG", "LOIL", "LOTGB", "LOAG", "LOPSG", "LOME", "LOAP", "ROE", "SOT", "KM", "TV", "EC", "AoA", "FoP", "AV"]
 
 
 def _any(c: Column, test: Callable[[Column, str], Column], values: list[str]) -> Column:
@@ -78,31 +81,38 @@ def split_mixed(s: Column) -> Column:
     return F.when(ok & ~short, F.struct(joined_zh.alias("zh"), joined_en.alias("en")))
 
 
+def is_noise(en: Column, zh: Column) -> Column:
+    """FLT-14, FLT-15: a code, a number or too little English; no Chinese, or a sentence."""
+    code = en.rlike(rf"(?U)^(?:{'|'.join(NOISE_CODES)})\b|^DC\s*\d+$|^\d+$|^[A-Z]{{2,5}}\s*\d+$")
+    return code | (F.length(en) < 3) | ~en.rlike("[A-Za-z]{3,}") | (zh == "") | ((F.length(zh) >= 10) & zh.rlike("[，。；：、！？]"))
+
+
 def extract_pairs(pages: DataFrame) -> DataFrame:
-    """EXT-01 to EXT-07: (pageid, tag, en, zh) from wikitext, by title field, bold text, brackets both
-    ways, infobox fields, and language templates."""
-    raw, clean = F.col("wikitext"), T.precleaned(F.col("wikitext"))
+    """EXT-01 to EXT-07: (pageid, pos, tag, en, zh) from wikitext, by title field, bold text, brackets both
+    ways, infobox fields, and language templates; noise is left out. Bold tags are gone before their pattern
+    is tried, as in the original rules, so C_html_bold stands only where a tag survives the cleaning."""
+    clean = T.precleaned(F.col("wikitext"))
+    pair = lambda tag, zh, en: F.struct(F.lit(tag).alias("tag"), F.struct(zh.alias("zh"), en.alias("en")).alias("p"))
 
-    def mixed(pattern: str, tag: str, source: Column = raw) -> Column:
-        return F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(tag).alias("tag"), split_mixed(x).alias("p")))
+    def mixed(pattern: str, tag: str) -> Column:
+        return F.transform(F.regexp_extract_all(clean, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(tag).alias("tag"), split_mixed(x).alias("p")))
 
     def both(pattern: str, zh: int, en: int, tag: str) -> Column:
         rows = F.arrays_zip(F.regexp_extract_all(clean, F.lit(pattern), F.lit(zh)).alias("zh"), F.regexp_extract_all(clean, F.lit(pattern), F.lit(en)).alias("en"))
-        return F.transform(rows, lambda r: F.struct(F.lit(tag).alias("tag"), F.struct(r["zh"].alias("zh"), r["en"].alias("en")).alias("p")))
+        return F.transform(rows, lambda r: pair(tag, r["zh"], r["en"]))
 
-    zh_field = F.nullif(F.regexp_extract(clean, r"(?i)\|\s*(?:中文名|name|名称|中文)\s*=\s*([^\n|]+)", 1), F.lit(""))
-    infobox = F.transform(
-        F.regexp_extract_all(clean, F.lit(r"(?i)\|\s*(?:英文名|英文|eng|english[_ ]?name|orig(?:inal)?[_ ]?name|en[_ ]?name)\s*=\s*([^\n|]+)"), F.lit(1)),
-        lambda x: F.struct(F.lit("E_infobox_field").alias("tag"), F.struct(T.stripped(F.coalesce(zh_field, F.col("title"))).alias("zh"), x.alias("en")).alias("p")),
-    )
+    zh_field = F.regexp_extract_all(clean, F.lit(r"(?i)\|\s*(?:中文名|name|名称|中文)\s*=\s*([^\n|]+)"), F.lit(1))
+    zh_pick = T.stripped(T.link_targets(F.coalesce(F.try_element_at(zh_field, F.lit(1)), F.col("title"))))
+    fields = F.regexp_extract_all(clean, F.lit(r"(?i)\|\s*(?:英文名|英文|eng|english[_ ]?name|orig(?:inal)?[_ ]?name|en[_ ]?name)\s*=\s*([^\n|]+)"), F.lit(1))
+    infobox = F.transform(F.when(zh_pick.rlike(f"[{CHINESE}]"), fields).otherwise(F.array().cast("array<string>")), lambda x: pair("E_infobox_field", zh_pick, T.stripped(T.link_targets(x))))
     pairs = F.concat(
-        mixed(r"(?i)\|\s*title\s*=\s*([^\n|]+)", "A_title_field", clean), mixed(r"'''([^'\n]{2,120})'''", "B_triple_bold", clean), mixed(r"(?i)<b>([^<\n]{2,120})</b>", "C_html_bold", clean),
-        both(rf"([{T.HAN}]{{2,12}})\s*[（(]\s*({ENGLISH})\s*[)）]", 1, 2, "D_paren"), both(rf"({ENGLISH})\s*[（(]\s*([{T.HAN}]{{2,12}})\s*[)）]", 2, 1, "D_paren_inv"),
-        infobox, both(rf"([{T.HAN}]{{1,12}})[^{T.HAN}{{}}]{{0,18}}(?i:\{{\{{\s*lang\s*\|\s*en\s*\|\s*([^}}|]+)\}}\}})", 1, 2, "F_lang"),
+        mixed(r"(?i)\|\s*title\s*=\s*([^\n|]+)", "A_title_field"), mixed(r"'''([^'\n]{2,120})'''", "B_triple_bold"), mixed(r"(?i)<b>([^<\n]{2,120})</b>", "C_html_bold"),
+        both(rf"([{CHINESE}]{{2,12}})\s*[（(]\s*({ENGLISH})\s*[)）]", 1, 2, "D_paren_ZHopenEN"), both(rf"({ENGLISH})\s*[（(]\s*([{CHINESE}]{{2,12}})\s*[)）]", 2, 1, "D_paren_ENopenZH"),
+        infobox, both(rf"([{CHINESE}]{{2,15}})\s{{0,28}}(?i:\{{\{{\s*lang\s*\|\s*en\s*\|\s*([^}}|]+)\}}\}})", 1, 2, "F_lang_template"),
     )
     rows = pages.select("pageid", F.posexplode(F.filter(pairs, lambda x: x["p"].isNotNull())).alias("pos", "x"))
-    out = rows.select("pageid", "pos", "x.tag", T.normal_english(F.col("x.p.en")).alias("en"), T.normal_chinese(F.col("x.p.zh")).alias("zh"))
-    return out.where((F.length("en") >= 2) & (F.length("zh") >= 1) & ~((F.length("zh") >= 10) & F.col("zh").rlike("[，。；：！？]")))
+    out = rows.select("pageid", "pos", "x.tag", T.normal_english(F.col("x.p.en")).alias("en"), trimmed(T.normal_chinese(F.col("x.p.zh"))).alias("zh"))
+    return out.where(~is_noise(F.col("en"), F.col("zh")))
 
 
 def term_stats(pairs: DataFrame) -> DataFrame:
@@ -391,5 +401,6 @@ GLOSSARY = TY.StructType().add("en", "string").add("value", TY.ArrayType(TY.Stri
 
 
 def ranked_terms(stats: DataFrame) -> DataFrame:
-    """SRT-07: by count, then term."""
-    return stats.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "en")))
+    """SRT-07: by count, then term; ranks come from ranges of both, so no task sorts all terms."""
+    span = F.struct((-F.col("count")).alias("k"), F.substring("en", 1, 3).alias("start"))
+    return numbered(stats.withColumn("span", span), "en").withColumn("rank", (F.col("id") + 1).cast("int")).drop("span", "id")

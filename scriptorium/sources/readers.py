@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from pyspark.sql.types import StructType
 
 from . import schemas
+from .shared import file_system
 
 
 def parsed_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -120,7 +120,9 @@ class ContinuedSource(DataSource):
 
 
 def _answer(folder: str, name: str) -> tuple[list[tuple], str | None]:
-    doc = json.loads(Path(folder, f"{name}.json").read_text())
+    files, base = file_system(folder)
+    with files.open_input_stream(f"{base}/{name}.json") as f:
+        doc = json.loads(f.read())
     fields = ("pageid", "ns", "title", "ts", "type")
     return [tuple(r.get(f) for f in fields) for r in doc.get("rows", [])], doc.get("continue")
 
@@ -149,7 +151,8 @@ class _ContinuedStream(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         name = start["next"]
-        if not name or not Path(self.folder, f"{name}.json").exists():
+        files, base = file_system(self.folder)
+        if not name or not files.get_file_info(f"{base}/{name}.json").is_file:
             return iter([]), start
         rows, following = _answer(self.folder, name)
         return iter(rows), {"next": following or ""}

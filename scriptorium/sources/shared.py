@@ -28,3 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` as a checkpoint in the shared folder."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def file_system(path: str):
+    """(file system, path in it) of a path with or without a scheme, for what Spark has no writer for. Local
+    paths are for folders that all machines see."""
+    from pyarrow import fs
+
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import file_system
+
 
 def pages(parsed: DataFrame, path: str) -> None:
     """SNK-01: pages as Parquet, by the first byte of the id's digest; the committer makes it atomic."""
@@ -29,23 +32,24 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def files(rows: DataFrame, root: str) -> None:
-    """SNK-09, SNK-18: one file a row (path, content), written by the tasks through Hadoop's file system,
-    each under a temporary name first."""
+    """SNK-09, SNK-18: one file a row (path, content), written by the tasks to the file system that `root`
+    names, each under a name of its own first, so tries of one task don't meet. Rows without a path or content
+    are left out; of several with one path any stays."""
     def write(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
+        target, base = file_system(root)
         done = 0
         for df in part:
             for path, content in zip(df["path"], df["content"]):
-                target = os.path.join(root, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target + ".part", "w", encoding="utf-8") as f:
-                    f.write(content)
-                os.replace(target + ".part", target)
+                name = f"{base}/{path}"
+                target.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                own = f"{name}.{uuid.uuid4().hex}.part"
+                with target.open_output_stream(own) as f:
+                    f.write(content.encode())
+                target.move(own, name)
                 done += 1
         yield pd.DataFrame({"n": [done]})
 
-    rows.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    rows.select("path", "content").where("path IS NOT NULL AND content IS NOT NULL").mapInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
 def redirect_stubs(edges: DataFrame) -> DataFrame:
