@@ -91,7 +91,7 @@ def extract_pairs(pages: DataFrame) -> DataFrame:
     """EXT-01 to EXT-07: (pageid, pos, tag, en, zh) from wikitext, by title field, bold text, brackets both
     ways, infobox fields, and language templates; noise is left out. Bold tags are gone before their pattern
     is tried, as in the original rules, so C_html_bold stands only where a tag survives the cleaning."""
-    clean = T.precleaned(F.col("wikitext"))
+    pages, clean = pages.withColumn("_clean", T.precleaned(F.col("wikitext"))), F.col("_clean")  # once a page, not once a pattern
     pair = lambda tag, zh, en: F.struct(F.lit(tag).alias("tag"), F.struct(zh.alias("zh"), en.alias("en")).alias("p"))
 
     def mixed(pattern: str, tag: str) -> Column:
@@ -102,7 +102,8 @@ def extract_pairs(pages: DataFrame) -> DataFrame:
         return F.transform(rows, lambda r: pair(tag, r["zh"], r["en"]))
 
     zh_field = F.regexp_extract_all(clean, F.lit(r"(?i)\|\s*(?:中文名|name|名称|中文)\s*=\s*([^\n|]+)"), F.lit(1))
-    zh_pick = T.stripped(T.link_targets(F.coalesce(F.try_element_at(zh_field, F.lit(1)), F.col("title"))))
+    pages = pages.withColumn("_zh", T.stripped(T.link_targets(F.coalesce(F.try_element_at(zh_field, F.lit(1)), F.col("title")))))
+    zh_pick = F.col("_zh")
     fields = F.regexp_extract_all(clean, F.lit(r"(?i)\|\s*(?:英文名|英文|eng|english[_ ]?name|orig(?:inal)?[_ ]?name|en[_ ]?name)\s*=\s*([^\n|]+)"), F.lit(1))
     infobox = F.transform(F.when(zh_pick.rlike(f"[{CHINESE}]"), fields).otherwise(F.array().cast("array<string>")), lambda x: pair("E_infobox_field", zh_pick, T.stripped(T.link_targets(x))))
     pairs = F.concat(
