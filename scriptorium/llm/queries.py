@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, hamming, jaccard, langid, mixing, packing, pii, quality, suffixes, toxicity
+from . import chat, common, digests, hamming, jaccard, langid, mixing, packing, pii, quality, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,6 +151,38 @@ SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken FROM e
 """
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents and of their edited texts, and how near they are."""
+    return digests.beside_next(table(spark, sf_dir, "documents"))
+
+
+def _bytes(text: str) -> str:
+    """SQL: the list of a text's bytes, and four zeros."""
+    return f"list_concat(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT), [0, 0, 0, 0])"
+
+
+_TRIPLETS = "list_concat({})".format(", ".join(
+    f"list_transform(range(1, len(b) - 3), lambda x: ((b[x] * {digests.FACTORS[0]} + b[x + {i}] * {digests.FACTORS[1]} + b[x + {j}] * {digests.FACTORS[2]} + {k * digests.STEP % 2**32}) % 4294967296) // 16777216)"
+    for k, (i, j) in enumerate(digests.PLACES)
+))
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, len(coalesce(text, ''))::BIGINT AS n, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS docs FROM documents),
+e AS (SELECT a.*, left(a.text, a.n - a.n // 4) || left(b.text, a.n // 4) AS edited FROM d a JOIN d b ON b.i = a.i % a.docs + 1),
+v AS (SELECT i, 0 AS v, {_bytes('text')} AS b FROM e UNION ALL SELECT i, 1, {_bytes('edited')} FROM e),
+t AS (SELECT i, v, unnest({_TRIPLETS}) AS bucket FROM v WHERE len(b) > 4),
+c AS (SELECT i, v, bucket, count(*) AS c FROM t GROUP BY ALL),
+a AS (SELECT i, v, bucket, coalesce(c, 0) AS c FROM v CROSS JOIN (SELECT unnest(range(256)) AS bucket) LEFT JOIN c USING (i, v, bucket)),
+l AS (SELECT i, v, list(c ORDER BY bucket) AS cs, list(c ORDER BY c) AS up FROM a GROUP BY i, v),
+q AS (SELECT i, v, list_transform(cs, lambda x: (x > up[64])::INT + (x > up[128])::INT + (x > up[192])::INT) AS q,
+        len(b) - 4 AS bytes FROM l JOIN v USING (i, v)),
+f AS (SELECT i, v, q, CASE WHEN bytes = 0 THEN 0 ELSE 8 * len(bin(bytes)) + (bytes * 16 // (1 << len(bin(bytes)))) % 8 END AS size FROM q),
+g AS (SELECT i, v, q, size, printf('%04x', size) || array_to_string(list_transform(range(1, 129), lambda x: substr('0123456789abcdef', 4 * q[2 * x - 1] + q[2 * x] + 1, 1)), '') AS shown FROM f)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, o.shown AS fingerprint, x.shown AS edited_fingerprint,
+       1 - least({digests.LIMIT}, list_sum(list_transform(range(1, 257), lambda k: abs(o.q[k] - x.q[k]))) + abs(o.size - x.size)) / {digests.LIMIT}.0 AS near_edited,
+       1 - least({digests.LIMIT}, list_sum(list_transform(range(1, 257), lambda k: abs(o.q[k] - y.q[k]))) + abs(o.size - y.size)) / {digests.LIMIT}.0 AS near_next
+FROM e JOIN g o ON o.i = e.i AND o.v = 0 JOIN g x ON x.i = e.i AND x.v = 1 JOIN g y ON y.i = e.i % e.docs + 1 AND y.v = 0
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat_formatting": op2_chat_formatting,
@@ -162,6 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_top_k_search": op10_top_k_search,
+    "op11_fingerprints": op11_fingerprints,
 }
 
-SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_mixing": OP8_SQL, "op10_top_k_search": OP10_SQL}
+SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_mixing": OP8_SQL, "op10_top_k_search": OP10_SQL, "op11_fingerprints": OP11_SQL}
