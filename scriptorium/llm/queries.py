@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, digests, hamming, jaccard, langid, mixing, packing, pii, quality, suffixes, toxicity
+from . import alignment, chat, common, digests, hamming, jaccard, langid, mixing, packing, pii, quality, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,6 +183,11 @@ SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, o.shown AS f
 FROM e JOIN g o ON o.i = e.i AND o.v = 0 JOIN g x ON x.i = e.i AND x.v = 1 JOIN g y ON y.i = e.i % e.docs + 1 AND y.v = 0
 """
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of all documents under a byte-level vocabulary and one of pieces."""
+    return alignment.align(table(spark, sf_dir, "documents"), common.tokenizer_path(), common.tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat_formatting": op2_chat_formatting,
@@ -195,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_top_k_search": op10_top_k_search,
     "op11_fingerprints": op11_fingerprints,
+    "op13_alignment": op13_alignment,
 }
 
 SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_mixing": OP8_SQL, "op10_top_k_search": OP10_SQL, "op11_fingerprints": OP11_SQL}
