@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, common, digests, hamming, jaccard, langid, mixing, packing, pii, quality, suffixes, toxicity
+from . import alignment, chat, common, digests, hamming, jaccard, langid, mixing, packing, pii, quality, suffixes, toxicity, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,6 +183,33 @@ SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, o.shown AS f
 FROM e JOIN g o ON o.i = e.i AND o.v = 0 JOIN g x ON x.i = e.i AND x.v = 1 JOIN g y ON y.i = e.i % e.docs + 1 AND y.v = 0
 """
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some with a letter lost, grouped by spelling."""
+    counts = variants.word_counts(table(spark, sf_dir, "documents"), variants.one_letter_lost)
+    return variants.variants(common.stored(counts.where("n >= 3"), "words"))
+
+
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+OP12_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n FROM r WHERE len(run) >= 5 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT)),
+        lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM u CROSS JOIN crc),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+l AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1))::INT AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM l a JOIN l b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT l.word, w.word, w.n FROM l JOIN w ON l.rest = w.word
+  UNION SELECT w.word, l.word, l.n FROM l JOIN w ON l.rest = w.word),
+b AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM p
+      QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM w LEFT JOIN b USING (word)),
+t(word, last) AS (SELECT word, word FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.last AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word JOIN f g ON g.word = t.last WHERE g.form IS NULL
+"""
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, groups and links of all documents under a byte-level vocabulary and one of pieces."""
     return alignment.align(table(spark, sf_dir, "documents"), common.tokenizer_path(), common.tokenizer_path("piece_bpe_32k.model"))
@@ -200,7 +227,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_top_k_search": op10_top_k_search,
     "op11_fingerprints": op11_fingerprints,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_alignment": op13_alignment,
 }
 
-SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_mixing": OP8_SQL, "op10_top_k_search": OP10_SQL, "op11_fingerprints": OP11_SQL}
+SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_mixing": OP8_SQL, "op10_top_k_search": OP10_SQL, "op11_fingerprints": OP11_SQL, "op12_spelling_variants": OP12_SQL}
