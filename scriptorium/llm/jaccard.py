@@ -584,11 +584,11 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` without near copies: of each component, one row, the least by doc_id. Rows are
     told apart by doc_id and text, so unlike texts under one doc_id each have a component of their own.
     Documents without words and rows without id stay; of rows that repeat doc_id and text, one stays."""
-    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
-    keyed = docs.withColumn("_row", row)
-    found = similar(keyed.select(F.col("_row").alias("doc_id"), "text"), **options)
-    found = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    ids = keyed.where("_row IS NOT NULL").select("_row", "doc_id").distinct()
-    least = ids.join(found, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
-    one = keyed.join(least.select("first._row"), "_row", "left_semi").dropDuplicates(["_row"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", "text", node.alias("node"))
+    found = similar(keyed.select(F.col("node").alias("doc_id"), "text"), **options)
+    found = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "component_id").distinct()
+    ids = keyed.where("node IS NOT NULL").select("node", "doc_id").distinct()
+    least = ids.join(found, "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    one = keyed.select("row", "node").join(least.select("first.node"), "node", "left_semi").dropDuplicates(["node"])
+    return one.select(*(F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))

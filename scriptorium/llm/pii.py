@@ -26,21 +26,56 @@ TOKEN = SLOT + r"|(?<![A-Za-z0-9])(?=[A-Za-z]{0,63}[0-9])[A-Za-z0-9]{12,64}(?![A
 SEEDS = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,64}$|^AKIA[0-9A-Z]{16}$"
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+BLOCK = 64
+
+
+def _blocks(values: Column) -> Column:
+    """An array's values, BLOCK at a time."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda j: F.slice(values, j * BLOCK + 1, F.lit(BLOCK)))
+
+
+def before_each(values: Column, combine, start: Column, levels: int = 3) -> Column:
+    """For each number of an array, `start` and those before it combined (added, say). Blocks are combined, and their results
+    so again, so the work grows with the length: BLOCK steps a number and level at most (but the top level's with its square)."""
+    def inside(a: Column, first: Column) -> Column:
+        return F.transform(a, lambda _, i: F.aggregate(F.slice(a, F.lit(1), i), first, combine))
+
+    if not levels:
+        return inside(values, start)
+
+    def outer(v: Column) -> Column:
+        def of(parts: Column) -> Column:
+            whole = F.transform(parts, lambda x: F.aggregate(x, start, combine))
+            return F.flatten(F.zip_with(parts, before_each(whole, combine, start, levels - 1), inside))
+
+        return _let(_blocks(v), of)
+
+    return _let(values, lambda v: F.when(F.size(v) <= BLOCK, inside(v, start)).otherwise(outer(v)))
+
+
 def places(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match, before>> of the leftmost non-overlapping matches, in code points.
     The text splits into what lies before, between and after them."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("before"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,match:string,before:string>>").alias("out"))
+    rows = _let(found, lambda f: F.arrays_zip(F.slice(gaps, F.lit(1), F.size(f)).alias("before"), f.alias("match")))
 
-    def step(acc: Column, r: Column) -> Column:
-        begin = acc["at"] + F.length(r["before"])
-        end = begin + F.length(r["match"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), r["match"].alias("match"), r["before"].alias("before")))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")), one).alias("out"))
+    def placed(rows: Column) -> Column:
+        def of(at: Column) -> Column:
+            def one(r: Column, i: Column) -> Column:
+                start = F.get(at, i) + F.length(r["before"])
+                return F.struct(start.alias("start"), (start + F.length(r["match"])).alias("end"), r["match"].alias("match"), r["before"].alias("before"))
 
-    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
-    return F.coalesce(F.aggregate(rows, start, step, lambda a: a["out"]), none)
+            return F.transform(rows, one)
+
+        lengths = F.transform(rows, lambda r: F.length(r["before"]) + F.length(r["match"]))
+        return _let(before_each(lengths, lambda x, y: x + y, F.lit(0)), of)
+
+    return _let(rows, placed)
 
 
 def luhn(digits: Column) -> Column:
@@ -153,6 +188,27 @@ def detect(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("ids", none))).alias("spans"))
 
 
+def replaced(text: Column, spans: Column, names: Column) -> Column:
+    """`text` with its spans (start, kind, end), in order, replaced by their kinds' names; spans that overlap as one, by the first
+    one's. A block of spans takes its own stretch of the text, so long texts aren't read again for each span."""
+    def of(spans: Column) -> Column:
+        done = before_each(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y), F.lit(0))
+        apart = F.filter(F.transform(F.arrays_zip(spans.alias("s"), done.alias("done")), lambda z: F.struct(z["done"].alias("from"), z["s"]["start"].alias("to"), z["s"]["kind"].alias("kind"))), lambda z: z["to"] >= z["from"])
+
+        def block(part: Column) -> Column:
+            at, end = F.element_at(part, 1)["from"], F.element_at(part, -1)["to"]
+
+            def cut_from(stretch: Column) -> Column:
+                return F.array_join(F.transform(part, lambda z: F.concat(F.substring(stretch, z["from"] - at + 1, z["to"] - z["from"]), F.element_at(names, z["kind"] + 1))), "")
+
+            return _let(F.substring(text, at + 1, end - at), cut_from)
+
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(_let(apart, _blocks), block), ""), F.substring(text, last + 1, F.length(text)))
+
+    return _let(spans, of)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with each span that `detect` finds replaced by its kind in brackets; spans that overlap
     are replaced as one, by the first one's kind. n_chars, where there is one, follows."""
@@ -163,15 +219,7 @@ def redact(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     spans = F.array_sort(F.concat(base_spans(F.col("text")), F.coalesce("pii_ids", none)))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in [*PATTERNS, "id"]])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        tag = F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
-        apart = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], tag)).otherwise(acc["out"]).alias("out"))
-
-    whole = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    text = F.when(F.size(spans) > 0, whole).otherwise(F.col("text"))
+    text = F.when(F.size(spans) > 0, replaced(F.col("text"), spans, names)).otherwise(F.col("text"))
     out = rows.select("row", text.alias("text"))
     changed = {"text": F.col("text"), "n_chars": F.length("text")}
     return out.select(*(changed[f.name].cast(f.dataType).alias(f.name) if f.name in changed else F.col("row")[f.name].alias(f.name) for f in docs.schema))

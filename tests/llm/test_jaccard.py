@@ -189,3 +189,10 @@ def test_unlike_texts_under_one_id_stay(spark):
     out = jaccard.distinct_documents(docs, n=5, share=80)
     assert out.columns == docs.columns
     assert sorted(r.mark for r in out.collect()) == ["a", "c", "d", "f", "g", "h", "i"]
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d e f g", 77, 1, "x"), (2, "a b c d e f g", 88, 2, "y"), (None, "a b c d e f g", 99, 3, "z"), (4, "q r s t u v", 11, 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, node long, row string")
+    got = {tuple(r) for r in jaccard.distinct_documents(docs, n=5, share=80).collect()}
+    assert got == {rows[0], rows[2], rows[3]}

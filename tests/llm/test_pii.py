@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from scriptorium.llm import pii
 
 PLAIN = {
@@ -62,3 +64,38 @@ def test_redact(spark):
 
 def test_empty_table(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_matches_take_seconds(spark):
+    import time
+
+    n = 100_000
+    text = " ".join(f"a{i}@b.cc" for i in range(n))
+    docs = spark.createDataFrame([(1, text, 5)], "doc_id long, text string, n_chars long")
+    began = time.time()
+    spans = docs.select(pii.base_spans(docs["text"]).alias("s")).head().s
+    assert len(spans) == n and all(text[s.start : s.end] == f"a{i}@b.cc" for i, s in enumerate(spans))
+    out = docs.select(pii.replaced(docs["text"], pii.base_spans(docs["text"]), F.array(F.lit("[E]"))).alias("t")).head().t
+    assert out == " ".join(["[E]"] * n)
+    assert time.time() - began < 60
+
+
+def test_replaced_equals_plain_code(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(60):
+        text = "".join(rng.choice("abé日 ") for _ in range(rng.randint(0, 900)))
+        spans = sorted({(a, rng.randint(0, 1), min(len(text), a + rng.randint(1, 9))) for a in (rng.randrange(len(text)) for _ in range(rng.choice([0, 1, 5, 200]) if text else 0))})
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,kind:int,end:int>>")
+    names = F.array(F.lit("[A]"), F.lit("[B]"))
+    got = {r.i: r.t for r in df.where(F.size("spans") > 0).select("i", pii.replaced(df["text"], df["spans"], names).alias("t")).collect()}
+    for i, text, spans in rows:
+        if spans:
+            at, want = 0, ""
+            for start, k, end in spans:
+                if start >= at:
+                    want += text[at:start] + ("[A]", "[B]")[k]
+                at = max(at, end)
+            assert got[i] == want + text[at:]
