@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,45 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _WIDE = re.compile(r"  | \n|\n\n|\n |[^\S \n]")
 
 
+class Rows:
+    """Short arrays of 64-bit numbers, one behind the other."""
+
+    def __init__(self):
+        self.flat, self.at, self.long, self.n, self.used = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0, 0
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), np.int64)])
+
+    def extend(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat = self._room(self.flat, self.used + len(flat))
+        self.at, self.long = self._room(self.at, self.n + len(lengths)), self._room(self.long, self.n + len(lengths))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.at[self.n : self.n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.long[self.n : self.n + len(lengths)] = lengths
+        self.used, self.n = self.used + len(flat), self.n + len(lengths)
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        """The arrays of the given rows, in that order, as one."""
+        lengths = self.long[rows]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.at[rows] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Numbered(dict):
+    """Numbers from 0, given out as keys are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     """Groups of a text's ids under tokenizers A (byte-level, a JSON file) and B (pieces with byte fallback, a model file).
 
     Both encode a space and the text. A group is the tokens between two bytes at which tokens of both end. Texts are cut into
     chunks at places where tokens of both always end, and the groups of chunks are remembered, as numbers of distinct groups.
-    Any text whose chunks don't give their own bytes goes through both tokenizers whole.
+    Any text with a chunk that doesn't give its own bytes goes through both tokenizers whole.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -44,16 +78,18 @@ class Encoder:
         if any(_MARK in p.lstrip(_MARK) or "\n" in p for p in pieces):
             raise ValueError("a piece goes on behind the end of a word or line")
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.blank = self.b.piece_to_id(_MARK)
+        self.long_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)], np.int64)
+        self.long_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}  # chunks
-        self.shown: list[bytes] = []  # their groups, written out
-        self.numbers: list[np.ndarray] = []  # their groups' numbers
-        self.sizes: list[tuple[int, int]] = []  # their tokens of A and B
-        self.group_of: dict[bytes, int] = {}
-        self.pairs: list[np.ndarray] = []  # of each group, its distinct pairs of ids, A's above B's 32 bits
+        self.known = _Numbered()  # chunks
+        self.asked = 0  # chunks that have been encoded
+        self.numbers = Rows()  # their groups' numbers
+        self.sizes = Rows()  # their tokens of A and of B; -1 where the ids give other bytes
+        self.group_of: dict[tuple, int] = {}
+        self.named: list[bytes] = []  # groups, written out
+        self.pairs = Rows()  # their distinct pairs of ids, A's above B's 32 bits
 
     def chunks(self, text: str) -> list[str]:
         """Chunks of a space and the text. One that is a space and a word comes without its space."""
@@ -61,73 +97,99 @@ class Encoder:
             return text.replace("\n", " \n").split(" ")
         return [c[1:] if c[0] == " " and c[1:2].strip() else c for c in _CUT.split(f" {text}")]
 
-    def groups(self, text: str, ids_a: list[int], ids_b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """None if the ids don't give the text's bytes."""
-        of_a, of_b, data = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b], text.encode()
-        if b"".join(of_a) != data or b"".join(of_b) != data:
+    def cuts(self, text: str) -> tuple[np.ndarray, ...] | None:
+        """Of a text that starts with a space: ids of A and of B, the bytes at which tokens of both end, and how many tokens of
+        each end up to there. None if the ids don't give the text's bytes."""
+        ids_a, ids_b, data = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:]), text.encode()
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != data or b"".join(map(self.bytes_b.__getitem__, ids_b)) != data:
             return None
-        ends_a, ends_b = np.cumsum([len(x) for x in of_a]), np.cumsum([len(x) for x in of_b])
-        cut = np.intersect1d(ends_a, ends_b)
-        at_a, at_b = np.searchsorted(ends_a, cut, "right").tolist(), np.searchsorted(ends_b, cut, "right").tolist()
-        return [(ids_a[i:k], ids_b[j:m]) for i, k, j, m in zip([0, *at_a], at_a, [0, *at_b], at_b)]
-
-    def number(self, group: tuple[list[int], list[int]]) -> tuple[int, bytes]:
-        """A group's number, and the group written out."""
-        shown = (",".join(map(str, group[0])) + "|" + ",".join(map(str, group[1]))).encode()
-        found = self.group_of.get(shown)
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.long_a[ids_a]), np.cumsum(self.long_b[ids_b])
+        cut = ends_a[np.isin(ends_a, ends_b, assume_unique=True, kind="sort")]
+        return ids_a, ids_b, cut, np.searchsorted(ends_a, cut, "right"), np.searchsorted(ends_b, cut, "right")
+
+    def numbered(self, ids_a: np.ndarray, ids_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+        """The numbers of groups that end at the given tokens."""
+        from_a, from_b = np.concatenate([[0], at_a[:-1]]), np.concatenate([[0], at_b[:-1]])
+        single = (at_a - from_a == 1) & (at_b - from_b == 1)
+        out, before = np.zeros(len(at_a), np.int64), len(self.named)
+        pairs, place = np.unique(ids_a[from_a[single]] << 32 | ids_b[from_b[single]], return_inverse=True)
+        out[single] = np.array([self.number((p >> 32,), (p & 0xFFFFFFFF,)) for p in pairs.tolist()], np.int64)[place]
+        a, b = ids_a.tolist(), ids_b.tolist()
+        several = np.flatnonzero(~single)
+        edges = zip(*(x[several].tolist() for x in (from_a, at_a, from_b, at_b)))
+        out[several] = [self.number(tuple(a[i:k]), tuple(b[j:m])) for i, k, j, m in edges]
+        if new := list(islice(reversed(self.group_of), len(self.named) - before))[::-1]:
+            found = [distinct_pairs(*group)[0] for group in new]
+            self.pairs.extend(np.concatenate(found), np.array([len(x) for x in found]))
+        return out
+
+    def number(self, a: tuple[int, ...], b: tuple[int, ...]) -> int:
+        """A group's number."""
+        found = self.group_of.get((a, b))
         if found is None:
-            found = self.group_of[shown] = len(self.pairs)
-            self.pairs.append(distinct_pairs(*group)[0])
-        return found, shown
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes chunks that aren't known; one whose ids give other bytes gets -1."""
-        texts = [c if c[:1].strip() == "" else f" {c}" for c in chunks]
-        found_a = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        found_b = self.b.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1)
-        for chunk, text, a, b in zip(chunks, texts, found_a, found_b):
-            b = b if text[:1] == " " else b[1:] if b[:1] == [self.blank] else [*b, 0]
-            groups = self.groups(text, a.ids, b)
-            if groups is None:
-                self.known[chunk] = -1
-                continue
-            self.known[chunk] = len(self.shown)
-            numbers, shown = zip(*map(self.number, groups))
-            self.shown.append(b";".join(shown))
-            self.numbers.append(np.array(numbers, np.int64))
-            self.sizes.append((len(a.ids), len(b)))
-
-    def whole(self, text: str) -> tuple[np.ndarray, bytes, int, int] | None:
-        """A text's groups' numbers, the groups written out, and its tokens of A and B, without chunks."""
-        ids_a, ids_b = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text)
-        groups = self.groups(f" {text}", ids_a, ids_b)
-        if groups is None:
-            return None
-        numbers, shown = zip(*map(self.number, groups))
-        return np.array(numbers, np.int64), b";".join(shown), len(ids_a), len(ids_b)
+            found = self.group_of[a, b] = len(self.named)
+            self.named.append((",".join(map(str, a)) + "|" + ",".join(map(str, b))).encode())
+        return found
+
+    def learn(self) -> None:
+        """Encodes the chunks that have been asked for since, many as one text; white space at the end of one would run on."""
+        chunks = list(islice(reversed(self.known), len(self.known) - self.asked))[::-1]
+        self.asked = len(self.known)
+        first = 0
+        for k in range(len(chunks) + 1):
+            odd = k < len(chunks) and (_MARK in chunks[k] or not chunks[k][-1].strip())
+            if odd or k == len(chunks) or k - first == 500:
+                if k > first:
+                    self._learn(chunks[first:k])
+                first = k
+            if odd:
+                self._odd()
+                first = k + 1
+
+    def _odd(self) -> None:
+        self.numbers.extend(np.zeros(0, np.int64), np.zeros(1, np.int64))
+        self.sizes.extend(np.full(2, -1), np.full(1, 2))
+
+    def _learn(self, chunks: list[str]) -> None:
+        texts = [f" {c}" if c[0].strip() else c for c in chunks]
+        found = self.cuts(" x" + "".join(texts))
+        ends = np.cumsum([2, *(len(t.encode()) for t in texts)])
+        if found is None or not np.isin(ends, found[2]).all():
+            if len(chunks) == 1:
+                self._odd()
+            else:  # look for the chunk in halves
+                self._learn(chunks[: len(chunks) // 2])
+                self._learn(chunks[len(chunks) // 2 :])
+            return
+        ids_a, ids_b, cut, at_a, at_b = found
+        place = np.searchsorted(cut, ends)
+        self.numbers.extend(self.numbered(ids_a, ids_b, at_a, at_b)[place[0] + 1 :], np.diff(place))
+        self.sizes.extend(np.stack([np.diff(at_a[place]), np.diff(at_b[place])], 1).ravel(), np.full(len(chunks), 2))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, str] | None]:
         """For each text its distinct groups' numbers, how often each comes up, its tokens of A and B, and the digest of its groups.
         None for an empty text, and for one whose tokens don't give its bytes."""
-        parts = [self.chunks(t) if t else [] for t in texts]
         known = self.known
-        if new := {c for p in parts for c in p if c not in known}:
-            self.learn(list(new))
-        for text, p in zip(texts, parts):
-            at = list(map(known.__getitem__, p))
-            if not p:
+        parts = [np.array(list(map(known.__getitem__, self.chunks(t))), np.int64) if t else None for t in texts]
+        self.learn()
+        for text, at in zip(texts, parts):
+            if at is None:
                 yield None
-            elif -1 in at:
-                found = self.whole(text)
-                yield None if found is None else (*np.unique(found[0], return_counts=True), found[2], found[3], hashlib.sha256(found[1]).hexdigest())
+                continue
+            n_a, n_b = self.sizes.take(at).reshape(-1, 2).T
+            if (n_a < 0).any():
+                found = self.cuts(f" {text}")
+                if found is None:
+                    yield None
+                    continue
+                n_a, n_b = len(found[0]), len(found[1])
+                numbers = self.numbered(found[0], found[1], found[3], found[4])
             else:
-                chunk, times = np.unique(np.array(at, np.int64), return_counts=True)
-                listed = chunk.tolist()
-                numbers = [self.numbers[c] for c in listed]
-                groups, place = np.unique(np.concatenate(numbers), return_inverse=True)
-                occurs = np.bincount(place, np.repeat(times, [len(n) for n in numbers])).astype(np.int64)
-                n_a, n_b = np.array([self.sizes[c] for c in listed]).T @ times
-                yield groups, occurs, int(n_a), int(n_b), hashlib.sha256(b";".join(map(self.shown.__getitem__, at))).hexdigest()
+                n_a, n_b = int(n_a.sum()), int(n_b.sum())
+                numbers = self.numbers.take(at)
+            shown = b";".join(map(self.named.__getitem__, numbers.tolist()))
+            yield (*np.unique(numbers, return_counts=True), n_a, n_b, hashlib.sha256(shown).hexdigest())
 
 
 def distinct_pairs(ids_a, ids_b) -> tuple[np.ndarray, np.ndarray]:
@@ -185,9 +247,8 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             used = np.flatnonzero(seen).tolist()
-            shown = list(encoder.group_of)
             for k in range(0, len(used), 20_000):
-                part = [shown[i] for i in used[k : k + 20_000]]
+                part = [encoder.named[i] for i in used[k : k + 20_000]]
                 keys = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in part]
                 sides = [[np.array(x.split(b",")).astype("<u4").tobytes() for x in s.split(b"|")] for s in part]
                 yield out(1, len(part), block=[base + blocks] * len(part), number=used[k : k + 20_000], key=keys, ids_a=[s[0] for s in sides], ids_b=[s[1] for s in sides])
@@ -203,10 +264,10 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
                             ready.append((0, 0, 0, "", b"", b""))
                             continue
                         groups, occurs, n_a, n_b, digest = found
-                        if len(seen) < len(encoder.pairs):
-                            seen = np.concatenate([seen, np.zeros(2 * len(encoder.pairs) - len(seen), bool)])
+                        if len(seen) < len(encoder.named):
+                            seen = np.concatenate([seen, np.zeros(2 * len(encoder.named) - len(seen), bool)])
                         seen[groups] = True
-                        every = np.unique(np.concatenate([encoder.pairs[g] for g in groups.tolist()]))
+                        every = np.unique(encoder.pairs.take(groups))
                         held.append(every)
                         waiting += len(every)
                         ready.append((n_a, n_b, int(occurs.sum()), digest, np.diff(groups, prepend=0).astype("<u4").tobytes(), occurs.astype("<u4").tobytes()))
@@ -219,10 +280,10 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
                         merged()
                         if len(pairs) > 1 << 20:
                             yield from linked()
-                    if np.count_nonzero(seen) >= most_groups or len(encoder.known) > 2 * most_groups:
+                    if np.count_nonzero(seen) >= most_groups or len(encoder.known) > 3 * most_groups:
                         yield from dictionary()
                         blocks, seen = blocks + 1, seen[:0]
-                        if len(encoder.known) > 2 * most_groups:
+                        if len(encoder.known) > 3 * most_groups:
                             encoder.clear()
                     texts, total, first = [], 0, k
                 if k < b.num_rows:

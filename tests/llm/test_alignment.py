@@ -67,7 +67,7 @@ def _encoder(cache={}):
     return cache.setdefault("e", alignment.Encoder(A, B))
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab'st \n\t.,!1é\xa0\x85\x1c²漢\r▁ <|>"), max_size=30))
 def test_chunks_give_what_whole_texts_give(text):
     encoder, want = _encoder(), plain(text)
