@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from ..functions import text as T
+from . import phrases
 from .search import numbered
 
 # ---- Fixed values: thresholds and word lists that decide which terms are good. ----
@@ -87,10 +88,11 @@ def is_noise(en: Column, zh: Column) -> Column:
     return code | (F.length(en) < 3) | ~en.rlike("[A-Za-z]{3,}") | (zh == "") | ((F.length(zh) >= 10) & zh.rlike("[，。；：、！？]"))
 
 
-def extract_pairs(pages: DataFrame) -> DataFrame:
-    """EXT-01 to EXT-07: (pageid, pos, tag, en, zh) from wikitext, by title field, bold text, brackets both
+def extract_pairs(pages: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """EXT-01 to EXT-07, STR-19: (pageid, pos, tag, en, zh) from wikitext, by title field, bold text, brackets both
     ways, infobox fields, and language templates; noise is left out. Bold tags are gone before their pattern
-    is tried, as in the original rules, so C_html_bold stands only where a tag survives the cleaning."""
+    is tried, as in the original rules, so C_html_bold stands only where a tag survives the cleaning. With a lexicon (`phrases.lexicon`)
+    long renderings are cut to the phrase that they end in."""
     pages, clean = pages.withColumn("_clean", T.precleaned(F.col("wikitext"))), F.col("_clean")  # once a page, not once a pattern
     pair = lambda tag, zh, en: F.struct(F.lit(tag).alias("tag"), F.struct(zh.alias("zh"), en.alias("en")).alias("p"))
 
@@ -113,6 +115,8 @@ def extract_pairs(pages: DataFrame) -> DataFrame:
     )
     rows = pages.select("pageid", F.posexplode(F.filter(pairs, lambda x: x["p"].isNotNull())).alias("pos", "x"))
     out = rows.select("pageid", "pos", "x.tag", T.normal_english(F.col("x.p.en")).alias("en"), trimmed(T.normal_chinese(F.col("x.p.zh"))).alias("zh"))
+    if words is not None:
+        out = phrases.trimmed(out, "zh", words)
     return out.where(~is_noise(F.col("en"), F.col("zh")))
 
 
