@@ -636,4 +636,4 @@ def scalar_functions(spark, sf_dir):
     )
 
 
-from . import phrase_queries, round_trips, site_queries, term_queries  # noqa: E402, F401  register their queries here
+from . import block_queries, phrase_queries, round_trips, site_queries, term_queries  # noqa: E402, F401  register their queries here
