@@ -20,7 +20,7 @@ SENTENCE_MARKERS = r"[你我他她它们这那某]|^这个|^那个"
 SENTENCE_OPENERS = ["using ", "when ", "while ", "during ", "after ", "before ", "how to ", "what ", "where "]
 ARTIFACT = r"</?\w+>|<!--|-->|&\w+;"
 ACTION = "启动|触发|效果|反应|要求|频率|豁免|持续|范围|目标"
-FRAGMENT_STARTERS = ["也就是", "来自", "位于", "关于", "对于", "随后", "所有", "每个", "一个", "一只", "一种", "一位", "一名", "并且", "然后", "然而", "就是", "该", "其", "此", "即"]
+FRAGMENT_STARTERS = ["该", "其", "此", "来自", "位于", "关于", "对于", "随后", "所有", "每个", "一个", "一只", "一种", "一位", "一名", "并且", "然后", "然而", "即", "也就是", "就是"]
 JUNK = ["你", "我", "他", "她", "它", "他们", "她们", "它们", "我们", "你们", "这", "那", "这个", "那个", "这些", "那些", "是", "有", "会", "可", "得", "的"]
 AFTER_FROM = {"从": ["容", "此", "而", "不", "来", "未", "小", "前", "后", "今", "旁", "速", "事", "业", "军"], "由": ["于", "此", "衷", "来"]}
 AFTER_LIKE = ["果", "此", "今", "何", "同", "意", "是", "若", "期", "许", "一", "其", "芒", "常", "故", "愿"]
@@ -142,7 +142,7 @@ def supplement(stats: DataFrame, known: DataFrame) -> DataFrame:
 
 
 LEADING_NOISE = ["依照", "除非", "虽然", "但是", "而且", "因此", "所以", "如果", "即使", "这个", "那个", "这些", "那些", "一个", "一只", "一位", "一名", "北部", "南部", "东部", "西部", "然后", "并且", "它会", "他们", "她们", "我们", "你们", "此外", "另外", "首先", "其次", "最后"]
-BAD_STARTS = [*LEADING_NOISE, *["是指", "代表", "表示", "指的是", "形如", "形似", "意味", "来自", "生长", "位于", "专门", "可以", "应当", "是否", "是相对", "或说", "或以", "或脚", "不过", "发该", "通常", "必须", "使用", "将会", "当与", "当你", "当他", "当她", "当它", "当这", "过欺"]]
+BAD_STARTS = [*LEADING_NOISE, "是指", "代表", "表示", "指的是", "形如", "形似", "意味", "来自", "生长", "位于", "专门", "可以", "应当", "是否", "是相对", "或说", "或以", "或脚", "不过", "发该", "通常", "必须", "使用", "将会", "当与", "当你", "当他", "当她", "当它", "当这", "过欺"]
 
 
 def trimmed(zh: Column) -> Column:
@@ -181,46 +181,43 @@ def candidates(en: Column, zh: Column, count: Column, alternatives: Column) -> C
     return F.when(chinese_candidate(zh, en), F.array_distinct(F.transform(rows, lambda r: r["zh"]))).otherwise(F.array().cast("array<string>"))
 
 
-MERGED = "en string, value array<string>, is_list boolean, action string"
+MERGED = "struct<en:string,value:array<string>,is_list:boolean,action:string>"
 
 
 def merge(glossary: DataFrame, stats: DataFrame) -> DataFrame:
     """GLO-02, JOI-11, AGG-19: (en, value, is_list, action). glossary: en, value array<string>, is_list, pos; stats: en,
     zh, count, sources, alternatives, pos.
 
-    Mined terms with the same letters in any case see what the ones before them did, so such a group,
-    which is a few rows, is folded as one. Others of the glossary stay as they are.
+    Mined terms with the same letters in any case see what the ones before them did, so such a group, which is a few rows, is
+    folded in order of pos: glossary first (its first term is the one that mined terms meet), then mined terms. A value that is made
+    a list has the mined renderings first, then those it had, in order.
     """
     wiki = stats.withColumn("cands", F.when(english_candidate(F.col("en")), candidates(F.col("en"), F.col("zh"), F.col("count"), F.col("alternatives"))))
     strong = (F.col("count") >= 8) | ((F.col("count") >= 3) & F.arrays_overlap("sources", F.array(*map(F.lit, STRONG))))
-    a = glossary.select(F.lower("en").alias("low"), F.lit(0).alias("side"), "pos", "en", "value", "is_list", F.lit(True).alias("strong"))
-    b = wiki.select(F.lower("en").alias("low"), F.lit(1).alias("side"), "pos", "en", F.col("cands").alias("value"), F.lit(False).alias("is_list"), strong.alias("strong"))
-
-    def fold(key, group):
-        import pandas as pd
-
-        rows, at = [], None
-        for r in group.sort_values(["side", "pos"]).itertuples():
-            value = None if r.value is None else list(r.value)
-            if r.side == 0:
-                rows.append([r.en, value, bool(r.is_list), "kept"])
-                at = 0
-            elif value is None or not value:
-                rows.append([r.en, None, False, "skipped_bad_en" if value is None else "skipped_bad_zh"])
-            elif at is None:
-                rows.append([r.en, value, len(value) > 1, "added_list" if len(value) > 1 else "added_scalar"])
-                at = len(rows) - 1
-            elif set(rows[at][1]) & set(value):
-                rows.append([r.en, None, False, "same"])
-            elif not r.strong:
-                rows.append([r.en, None, False, "skipped_low_quality"])
-            elif len(value) == 1:
-                rows[at][1:] = [value, False, "overwritten"]
-            else:
-                rows[at][1:] = [value + sorted(set(rows[at][1]) - set(value)), True, "made_list"]
-        return pd.DataFrame(rows, columns=["en", "value", "is_list", "action"])
-
-    return a.unionByName(b).groupBy("low").applyInPandas(fold, MERGED)
+    a = glossary.select(F.lower("en").alias("low"), F.struct(F.lit(0).alias("side"), F.col("pos").cast("long").alias("pos"), "en", "value", "is_list", F.lit(True).alias("strong")).alias("r"))
+    b = wiki.select(F.lower("en").alias("low"), F.struct(F.lit(1).alias("side"), F.col("pos").cast("long").alias("pos"), "en", F.col("cands").alias("value"), F.lit(False).alias("is_list"), strong.alias("strong")).alias("r"))
+    rows = a.unionByName(b).groupBy("low").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<{MERGED}>").alias("out"))
+
+    def entry(en: Column, value: Column, is_list: Column, action: Column) -> Column:
+        return F.struct(en.alias("en"), value.cast("array<string>").alias("value"), is_list.alias("is_list"), action.alias("action"))
+
+    def step(acc: Column, r: Column) -> Column:
+        at, out, value = acc["at"], acc["out"], r["value"]
+        known = F.get(out, at)
+        several = F.size(value) > 1
+        skip = F.when(value.isNull(), "skipped_bad_en").when(F.size(value) == 0, "skipped_bad_zh")
+        skip = F.when(r["side"] == 0, None).otherwise(skip.when((at >= 0) & F.arrays_overlap(known["value"], value), "same").when((at >= 0) & ~r["strong"], "skipped_low_quality"))
+        added = F.when(r["side"] == 0, entry(r["en"], value, F.coalesce(r["is_list"], F.lit(False)), F.lit("kept")))
+        added = added.when(skip.isNotNull(), entry(r["en"], F.lit(None), F.lit(False), skip)).otherwise(entry(r["en"], value, several, F.when(several, "added_list").otherwise("added_scalar")))
+        put = F.when(several, F.concat(value, F.array_sort(F.array_except(known["value"], value)))).otherwise(value)
+        changed = entry(known["en"], put, several, F.when(several, "made_list").otherwise("overwritten"))
+        replaces = (r["side"] == 1) & skip.isNull() & (at >= 0)
+        more = F.when(replaces, F.transform(out, lambda x, i: F.when(i == at, changed).otherwise(x))).otherwise(F.concat(out, F.array(added)))
+        now = F.when((at < 0) & skip.isNull(), F.size(out)).otherwise(at)
+        return F.struct(now.alias("at"), more.alias("out"))
+
+    return rows.select(F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("m")).select("m.*")
 
 
 def diff_terms(wiki: DataFrame, user: DataFrame) -> tuple[DataFrame, DataFrame]:

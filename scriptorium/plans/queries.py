@@ -636,4 +636,4 @@ def scalar_functions(spark, sf_dir):
     )
 
 
-from . import block_queries, phrase_queries, render_queries, round_trips, site_queries, stream_queries, term_queries  # noqa: E402, F401  register their queries here
+from . import block_queries, glossary_queries, phrase_queries, render_queries, round_trips, site_queries, stream_queries, term_queries  # noqa: E402, F401  register their queries here
