@@ -90,14 +90,16 @@ def fit(texts: list[str], labels: list[str], margin: float = 0.2, steps: int = 1
     return Model(langs, codes, w, trust * codes.shape[1] / max(trust.sum(), 1e-9), margin)
 
 
-def train(rows: DataFrame, per_lang: int = 400, most_langs: int = 200, most_chars: int = 4000) -> Model | None:
-    """A model from rows of (id, text, lang): of the `most_langs` languages with most rows, about
-    `per_lang` rows each with the least hashes of id, and of each row a stretch of `most_chars`
-    characters from a hashed place. The sample is bounded by these parameters."""
+def train(rows: DataFrame, per_lang: int = 400, most_langs: int = 4000, most_chars: int = 4000, most_texts: int = 8000) -> Model | None:
+    """A model from rows of (id, text, lang): of each language about `per_lang` rows with the least hashes of id, fewer where
+    `most_texts` in all would not do for that, and of each row a stretch of `most_chars` characters from a hashed place. The
+    sample is bounded by these parameters: 8,000 texts are 400 MB of features in the driver. Of more than `most_langs`
+    languages those with most rows are learned; the others have no codeword, and their texts get the most alike of these."""
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(most_langs, most_texts // 2)).collect()
     if not sizes:
         return None
+    per_lang = min(per_lang, most_texts // (2 * len(sizes)))
     rate = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, 2.0 * per_lang / r["count"]))])
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     start = (F.pmod(F.crc32(F.col("id").cast("string")), F.lit(1 << 20)) / float(1 << 20) * F.greatest(F.lit(0), F.length("text") - most_chars)).cast("int")

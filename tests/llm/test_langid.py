@@ -29,3 +29,39 @@ def test_odd_rows(spark):
     assert [r.lang_pred for r in langid.identify(docs.where("doc_id = 4"), only).collect()] == ["xx", "xx"]
     assert langid.train(docs.selectExpr("doc_id AS id", "text", "cast(null AS string) AS lang")) is None
     assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_decoding_by_hand():
+    import math
+
+    langs = ["de", "en", "es", "fr", "it", "nl", "pt"]
+    rng = np.random.default_rng(3)
+    words = {l: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for l in langs}
+    text = lambda l: " ".join(rng.choice(words[l], 25))
+    labels = [l for l in langs for _ in range(12)]
+    model = langid.fit([text(l) for l in labels], labels)
+    new = [text(l) for l in langs] + [" ".join([text("de"), text("en")])]
+    x = langid.features(new)
+    number, score, odd = model.decode(x)
+    for i in range(len(new)):
+        bits = [sum(float(a) * float(b) for a, b in zip(x[i], model.weights[:-1, k])) + float(model.weights[-1, k]) for k in range(model.codes.shape[1])]
+        loss = [sum(math.log1p(math.exp(-b * c)) * t for b, c, t in zip(bits, code.tolist(), model.trust.tolist())) for code in model.codes]
+        p = [math.exp(min(loss) - v) for v in loss]
+        p = sorted((v / sum(p), k) for k, v in enumerate(p))
+        assert number[i] == p[-1][1] and abs(score[i] - p[-1][0]) < 1e-3
+        assert bool(odd[i]) == (p[-1][0] - p[-2][0] < model.margin)
+    assert [model.langs[k] for k in number[:-1]] == langs
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(i, f"word{i % 7} number{i % 11} of language l{i % 30}", f"l{i % 30:02d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    taken = []
+    fit, langid.fit = langid.fit, lambda texts, labels: taken.append(labels)
+    try:
+        langid.train(docs, per_lang=400, most_texts=120)
+        langid.train(docs, per_lang=400, most_langs=5)
+    finally:
+        langid.fit = fit
+    assert len(taken[0]) <= 120 and len(set(taken[0])) > 20
+    assert set(taken[1]) == {"l00", "l01", "l02", "l03", "l04"}
