@@ -37,9 +37,8 @@ def glossary(spark: SparkSession, path: str) -> DataFrame:
     """SRC-06: (en, value array<string>, is_list, pos) of a JSON object of strings or lists of them, in
     the object's order."""
     text = spark.read.text(path, wholetext=True)
-    keys = F.json_object_keys("value")
-    rows = text.select(F.posexplode(keys).alias("pos", "en"), F.from_json("value", "map<string,string>").alias("m"))
-    raw = F.element_at("m", F.col("en"))
+    rows = text.select(F.posexplode(F.from_json("value", "map<string,string>")).alias("pos", "en", "raw"))
+    raw = F.col("raw")
     value = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.array(raw))
     return rows.select("en", value.alias("value"), raw.startswith("[").alias("is_list"), F.col("pos").cast("long").alias("pos"))
 

@@ -40,7 +40,8 @@ def test_equals_a_fold_in_order(spark):
         zh, *others = rng.sample(terms, rng.choice([1, 3, 3]))
         count = rng.choice([1, 3, 5, 8, 20])
         stats.append((rng.choice(names) + rng.choice(["", " bolt", " wall", f" {i}"]), zh, count, rng.choice([["A_title_field"], ["D_paren"]]), {o: rng.randint(1, max(1, count)) for o in others}, i))
-    stats.append(("Alone", "火球", 3, ["D_paren"], {}, 99))
+    stats += [("Alone", "火球", 3, ["D_paren"], {}, 99), ("TWIN", "火球", 20, ["D_paren"], {"巨龙": 10, "法师": 12}, 100)]
+    base.append(("Twin", ["雪山"], False, 9))
     got = G.merge(spark.createDataFrame(base, BASE), spark.createDataFrame(stats, STATS)).collect()
     assert sorted(str([r.en, r.value, r.is_list, r.action]) for r in got) == plain(base, stats)
     assert {r.action for r in got} >= {"kept", "same", "made_list", "overwritten", "added_list", "added_scalar", "skipped_low_quality"}
