@@ -89,33 +89,6 @@ def md5_bucket_hist(spark, sf_dir):
     return words.groupBy(T.bigram_bucket(F.col("token")).alias("bucket")).agg(F.count(F.lit(1)).alias("tokens"))
 
 
-CJK_TEXTS = ["火球术 Fireball 法", "法师的护甲", "治疗和巨龙", "挥砍", "的了", "a", "㐀丂 mixed 文字abc汉"]
-
-
-@query(
-    "WITH t(i, s) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(CJK_TEXTS)) + rf"""),
-    r AS (SELECT i, unnest(regexp_extract_all(s, '([{T.CJK}]+)', 1)) AS run FROM t),
-    b AS (SELECT i, unnest(CASE WHEN len(run) = 1 THEN [run] ELSE list_transform(range(1, len(run)), lambda k: run[k:k+1]) END) AS gram FROM r)
-    SELECT i, gram, md5(gram)[1:2] AS bucket, count(*)::BIGINT AS n FROM b WHERE NOT regexp_matches(gram, '^[{''.join(T.CHINESE_STOP)}]{{2}}$') GROUP BY ALL"""
-)
-def cjk_bigrams(spark, sf_dir):
-    """STR-01 to STR-03, STR-05"""
-    rows = spark.createDataFrame(list(enumerate(CJK_TEXTS)), "i int, s string")
-    grams = rows.select("i", F.explode(T.cjk_bigrams(F.col("s"))).alias("gram"))
-    return grams.groupBy("i", "gram").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", T.bigram_bucket(F.col("gram")))
-
-
-@query(
-    "WITH t(i, s) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(CJK_TEXTS)) + rf""")
-    SELECT i, list_transform(list_filter(regexp_extract_all(s, '([A-Za-z0-9][A-Za-z0-9_''-]*)', 1), lambda x: len(x) >= 2), lambda x: lower(x)) AS latin,
-           flatten(list_transform(regexp_extract_all(s, '([{T.CJK}]+)', 1), lambda r: CASE WHEN len(r) = 1 THEN [r] ELSE list_transform(range(1, len(r)), lambda k: r[k:k+1]) END)) AS cjk FROM t"""
-)
-def parse_query(spark, sf_dir):
-    """STR-07"""
-    rows = spark.createDataFrame(list(enumerate(CJK_TEXTS)), "i int, s string")
-    return rows.select("i", T.query_tokens(F.col("s")).alias("q")).select("i", "q.latin", "q.cjk")
-
-
 def _search_sql(text: str, words: list[str], limit: int) -> str:
     lists = ", ".join(
         f"l{i} AS (SELECT DISTINCT id FROM posts WHERE token = '{w}' OR token IN (SELECT token FROM k{i} WHERE r <= 200 AND before < 5000))" for i, w in enumerate(words)
@@ -194,20 +167,6 @@ def safe_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.safe_title(F.col("url")).alias("safe"), T.is_external(F.col("url")).alias("external"))
 
 
-HREF_TITLES = [(0, "Data:A b/c"), (3500, "Data:Spells-Fireball.json"), (14, "分类:武器"), (0, "a+b?~*"), (102, "plain")]
-
-
-@query(
-    "WITH t(ns, title) AS (VALUES " + ", ".join(f"({n}, '{t}')" for n, t in HREF_TITLES) + r"""),
-    b AS (SELECT *, CASE WHEN split_part(title, ':', 1) IN (""" + ", ".join(f"'{p}'" for p in T.KNOWN_PREFIXES) + r""") AND contains(title, ':') THEN regexp_replace(title, '^[^:]*:', '') ELSE title END AS bare FROM t)
-    SELECT title, bare, CASE ns WHEN 4 THEN 'project' WHEN 14 THEN 'category' WHEN 3500 THEN 'data' ELSE 'pages' END || '/' || url_encode(regexp_replace(replace(replace(bare, ':', '_'), '/', '__'), '[*?"<>|]', '', 'g')) || '.html' AS href FROM b"""
-)
-def page_hrefs(spark, sf_dir):
-    """PRJ-02, PRJ-03, STR-32"""
-    rows = spark.createDataFrame(HREF_TITLES, "ns int, title string")
-    return rows.select("title", T.bare_title(F.col("title")).alias("bare"), T.page_href(F.col("ns"), F.col("title")).alias("href"))
-
-
 # ---- pages and links ----
 
 _TEXT_SQL = "html"
@@ -336,23 +295,6 @@ def redirect_chase(spark, sf_dir):
     return out.select(F.col("start").cast("long"), F.col("final").cast("long"), "cycle", "hops")
 
 
-HOPS = [("v1.0.0", "v1.0.1", "u1", 10.5), ("v1.0.1", "v1.1.0", "u2", 275.25), ("v1.1.0", "v2.0.0", "u3", None), ("v0.9.0", "v0.9.9", "u0", 1.0)]
-
-
-@query("SELECT ['u1', 'u2', 'u3'] AS steps, 3 AS n_steps, 285.75::DOUBLE AS size_mb")
-def version_chain(spark, sf_dir):
-    """GRF-04, AGG-23, PRJ-28"""
-    return graph.version_chain(spark.createDataFrame(HOPS, "from_version string, to_version string, url string, size_mb double"), "v1.0.0", "v2.0.0")
-
-
-@query("WITH t(a, b) AS (VALUES ('v0.3.22', 'v0.3.30'), ('v0.10.0', 'v0.9.9'), ('1.0.0', 'v1.0.0'), ('x', 'v1.0.0')) SELECT a, b, CASE WHEN a = 'x' THEN NULL ELSE sign(list_sum(list_transform([1, 2, 3], lambda i: sign(split_part(ltrim(a, 'v'), '.', i)::INT - split_part(ltrim(b, 'v'), '.', i)::INT) * [100, 10, 1][i])))::INT END AS compared FROM t")
-def semver_compare(spark, sf_dir):
-    """PRJ-23, FLT-29"""
-    rows = spark.createDataFrame([("v0.3.22", "v0.3.30"), ("v0.10.0", "v0.9.9"), ("1.0.0", "v1.0.0"), ("x", "v1.0.0")], "a string, b string")
-    a, b = T.semver(F.col("a")), T.semver(F.col("b"))
-    return rows.select("a", "b", F.when(a > b, 1).when(a < b, -1).when(a == b, 0).alias("compared"))
-
-
 # ---- tables ----
 
 @query("""WITH f AS (SELECT 'brand' AS facet, p_brand AS value FROM part UNION ALL SELECT 'level', CASE WHEN p_size < 0 THEN NULL WHEN p_size <= 1 THEN '0-1' WHEN p_size <= 5 THEN '2-5' WHEN p_size <= 10 THEN '6-10' WHEN p_size <= 15 THEN '11-15' WHEN p_size <= 20 THEN '16-20' ELSE '21+' END FROM part
@@ -549,78 +491,6 @@ def suffix_selfjoin(spark, sf_dir):
     return G.suffix_copies(table(spark, sf_dir, "part").select(F.col("p_name").alias("en"), F.col("p_brand").alias("zh")).distinct())
 
 
-TERMS = [
-    ("Fireball", "启动——火球术"), ("Old Dragon of the North Wind", "巨龙"), ("Healing Word Spell", "法术"), ("Book", "》书卷《"), ("Her", "她"), ("NoHan", "abc"), ("Alert", "警戒中等"), ("GMC", "游戏书"), ("Ref<b>", "引用"), ("Mixed", "火Ball球"),
-    ("From Hill", "从山丘上来"), ("Calm", "从容不迫"), ("Goddess Sun", "女神萨恩莱"), ("Named One", "名为阿尔法"), ("If", "如果这样"), ("Trigger Zone", "触发安全地带"), ("All Beasts", "所有的野兽"), ("North Wind", "巨龙"), ("12. [[ Antler", "鹿角"), ("Antler", "鹿角小屋"), ("See Note", "例如火球"), ("Use It", "使飞行"), ("User", "使者"),
-]
-
-
-def _terms_sql() -> str:
-    return "t(pos, en, zh) AS (VALUES " + ", ".join(f"({i}, '{e}', '{z}')" for i, (e, z) in enumerate(TERMS)) + ")"
-
-
-def _terms(spark) -> DataFrame:
-    return spark.createDataFrame([(i, e, z) for i, (e, z) in enumerate(TERMS)], "pos long, en string, zh string")
-
-
-@query()
-def glossary_clean(spark, sf_dir):
-    """GLO-03 to GLO-12, GLO-18"""
-    rows = _terms(spark).select("en", F.array("zh").alias("value"), F.lit(False).alias("is_list"), "pos")
-    return G.clean(rows).select("en", F.element_at("value", 1).alias("zh"))
-
-
-@query(
-    f"WITH {_terms_sql()}" + rf""", s AS (SELECT *, list_filter(string_split_regex(lower(trim(en)), '[ -]'), lambda x: regexp_matches(x, '^[a-z]+$') AND x NOT IN ({", ".join(f"'{w}'" for w in G.CONTENT_STOP)})) AS w, len(regexp_replace(zh, '[^\x{{4E00}}-\x{{9FFF}}]', '', 'g')) AS han FROM t),
-    f AS (SELECT en, zh, 'T2_short_zh' AS "check" FROM s WHERE len(w) >= 3 AND han <= len(w) // 2 UNION ALL SELECT en, zh, 'T3_generic_tail' FROM s WHERE len(w) >= 2 AND zh IN ({", ".join(f"'{w}'" for w in G.GENERIC_TAILS)})
-     UNION ALL SELECT en, zh, 'F1_fragment' FROM s WHERE len(zh) >= 2 AND ((regexp_matches(zh, '[{"".join(G.END_PARTICLES)}]$') AND han >= 3) OR (regexp_matches(zh, '^[{"".join(G.START_FRAGMENTS)}]') AND len(regexp_replace(zh[2:], '[^\x{{4E00}}-\x{{9FFF}}]', '', 'g')) >= 2))
-     UNION ALL SELECT en, zh, 'F2_note' FROM s WHERE regexp_matches(zh, '^({"|".join(G.NOTE_STARTS)})|{"|".join(G.NOTES)}') UNION ALL SELECT en, zh, 'X1_book_code' FROM s WHERE regexp_replace(en, '[^A-Za-z]', '', 'g') IN ({", ".join(f"'{w}'" for w in G.BOOK_CODES)})
-     UNION ALL SELECT en, zh, 'X2_artifact' FROM s WHERE regexp_matches(en || chr(10) || zh, '</?\w+>|<!--|-->|&\w+;|\{{\{{|\}}\}}|\[\[|\]\]|\|\|') UNION ALL SELECT en, zh, 'X3_english' FROM s WHERE regexp_matches(zh, '[A-Za-z]{{3,}}')
-     UNION ALL SELECT DISTINCT a.en, a.zh, 'T1_suffix' FROM t a JOIN t b ON a.zh = b.zh AND suffix(lower(a.en), ' ' || lower(b.en)))
-    SELECT * FROM f"""
-)
-def glossary_checks(spark, sf_dir):
-    """GLO-13, STR-26, STR-27"""
-    return G.checks(_terms(spark).select("en", "zh"))
-
-
-@query()
-def glossary_verify(spark, sf_dir):
-    """GLO-15, GLO-16"""
-    return G.correspondence(_terms(spark).select("en", "zh"))
-
-
-@query()
-def glossary_merge(spark, sf_dir):
-    """GLO-01, GLO-02, FLT-18 to FLT-20"""
-    base = spark.createDataFrame([("Fireball", ["火焰球"], False, 0), ("Dragon", ["龙"], False, 1), ("Wind", ["风"], False, 2)], G.GLOSSARY)
-    stats = spark.createDataFrame(
-        [("fireball", "火球术", 9, ["B_triple_bold"], {"火球": 4}, 0), ("Dragon", "巨龙", 2, ["D_paren"], {}, 1), ("WIND", "风", 8, ["D_paren"], {}, 2), ("Sword", "长剑", 1, ["D_paren"], {"剑": 1}, 3), ("sword", "长剑", 3, ["A_title_field"], {}, 4), ("when it falls", "落下", 5, ["D_paren"], {}, 5), ("Bad", "的", 5, ["D_paren"], {}, 6)],
-        "en string, zh string, count long, sources array<string>, alternatives map<string,bigint>, pos long",
-    )
-    return G.merge(base, stats)
-
-
-WIKITEXT = [
-    (1, "火球术", "|title=Aeon Stone 光阴石\n'''火球术 Fireball''' and <b>火球术 Fireball</b>"), (2, "法师", "这里有火球术（Fireball）和 Magic Missile（魔法飞弹）"),
-    (3, "巨龙", "{{info\n|英文名=Dragon\n|中文名=巨龙\n}} 红龙 {{lang|en|Red Dragon}}"), (4, "空", "nothing here"),
-]
-
-
-@query()
-def term_pairs(spark, sf_dir):
-    """EXT-01 to EXT-07, STR-15 to STR-17"""
-    rows = spark.createDataFrame(WIKITEXT, "pageid long, title string, wikitext string")
-    return G.extract_pairs(rows).drop("pos")
-
-
-@query()
-def inline_wikitext(spark, sf_dir):
-    """STR-10, STR-11"""
-    rows = spark.createDataFrame([(1, "[[A|b]] {{tooltip|x|y {{c|z}}}} [[B]]"), (2, None), (3, "plain")], "i int, s string")
-    return rows.select("i", H.rendered_inline(F.col("s")).alias("html"))
-
-
 @query("SELECT page_id, regexp_replace(html, '(?i)the|and', '<mark>\\0</mark>', 'g') AS marked, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
 def highlighted(spark, sf_dir):
     """STR-20, STR-21"""

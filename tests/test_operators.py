@@ -132,17 +132,20 @@ def test_key_cleanup(spark):
 
 
 def test_merge(spark):
-    from scriptorium.plans.queries import glossary_merge
-
-    out = {r.en: (r.value, r.is_list, r.action) for r in glossary_merge(spark, "").collect() if r.value}
+    base = spark.createDataFrame([("Fireball", ["火焰球"], False, 0), ("Dragon", ["龙"], False, 1), ("Wind", ["风"], False, 2)], G.GLOSSARY)
+    stats = [("fireball", "火球术", 9, ["B_triple_bold"], {"火球": 4}, 0), ("Dragon", "巨龙", 2, ["D_paren"], {}, 1), ("WIND", "风", 8, ["D_paren"], {}, 2), ("Sword", "长剑", 1, ["D_paren"], {"剑": 1}, 3), ("sword", "长剑", 3, ["A_title_field"], {}, 4), ("when it falls", "落下", 5, ["D_paren"], {}, 5), ("Bad", "的", 5, ["D_paren"], {}, 6)]
+    stats = spark.createDataFrame(stats, "en string, zh string, count long, sources array<string>, alternatives map<string,bigint>, pos long")
+    out = {r.en: (r.value, r.is_list, r.action) for r in G.merge(base, stats).collect() if r.value}
     assert out["Fireball"] == (["火球术", "火球", "火焰球"], True, "made_list")
     assert out["Dragon"] == (["龙"], False, "kept") and out["Wind"] == (["风"], False, "kept") and out["Sword"] == (["长剑"], False, "added_scalar")
 
 
 def test_extraction(spark):
-    from scriptorium.plans.queries import term_pairs
-
-    got = {(r.tag, r.en, r.zh) for r in term_pairs(spark, "").collect()}
+    wikitext = [
+        (1, "火球术", "|title=Aeon Stone 光阴石\n'''火球术 Fireball''' and <b>火球术 Fireball</b>"), (2, "法师", "这里有火球术（Fireball）和 Magic Missile（魔法飞弹）"),
+        (3, "巨龙", "{{info\n|英文名=Dragon\n|中文名=巨龙\n}} 红龙 {{lang|en|Red Dragon}}"), (4, "空", "nothing here"),
+    ]
+    got = {(r.tag, r.en, r.zh) for r in G.extract_pairs(spark.createDataFrame(wikitext, "pageid long, title string, wikitext string")).collect()}
     assert {("A_title_field", "Aeon Stone", "光阴石"), ("B_triple_bold", "Fireball", "火球术"), ("D_paren_ZHopenEN", "Fireball", "这里有火球术"), ("D_paren_ENopenZH", "Magic Missile", "魔法飞弹"), ("E_infobox_field", "Dragon", "巨龙"), ("F_lang_template", "Red Dragon", "红龙")} == got
     assert not any(t == "C_html_bold" for t, _, _ in got)
 
