@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -14,69 +17,81 @@ from .common import prepare
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
-# The splitting rule of the byte-level vocabularies for characters below U+0100. The order of
-# alternatives matters only between the last two.
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_SPLIT = re.compile(f" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+# Characters beyond those for which single spaces and newlines are sure to end a token.
 _RARE = re.compile("[^\n\x20-\x7e\xa1-\xff]")
 
 
-class _Known(dict):
-    """The ids of words; one that isn't there yet is made by `make`."""
+class _Numbered(dict):
+    """Numbers from 0, given out as words are first asked for."""
 
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, s: str) -> bytes:
-        return self.make(s)
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 class Tokens:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with the ids of words remembered.
 
     A text is cut at single spaces and newlines, where the vocabulary's own splitting rule always
-    cuts; any text outside that simple shape goes through the library whole.
+    cuts; any text outside that simple shape goes through the library whole. Words that aren't known yet are
+    encoded many at a time, as one text.
     """
 
     def __init__(self, path: str, words: int = 1_000_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
-        self.words, self.known, self.parts = words, _Known(self.chunk), {}
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(printable)]
-        self.shown = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
+        self.words, self.known, self.ids = words, _Numbered(), []
         self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+        # an entry has a character a byte
+        self.long = np.array([len(s) for s, _ in sorted(self.whole.get_vocab().items(), key=lambda x: x[1])], np.int64)
+        self.newline = len(self.packed(self.library("\n")))
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def part(self, s: str) -> bytes:
-        found = self.parts.get(s)
-        if found is None:
-            if len(self.parts) >= self.words:
-                self.parts.clear()
-            tokens = self.whole.model.tokenize(s.encode().decode("latin1").translate(self.shown))
-            found = self.parts[s] = self.packed([t.id for t in tokens])
-        return found
-
-    def chunk(self, s: str) -> bytes:
-        """s without its leading space, or with a leading newline that stands alone."""
-        found = b"".join(map(self.part, _SPLIT.findall(s if s[:1] == "\n" else f" {s}")))
+    def library(self, text: str) -> list[int]:
+        return self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self) -> None:
+        """The ids of the words that have been asked for since. A word stands without its leading space, or with a leading
+        newline that stands alone."""
+        new = list(islice(reversed(self.known), len(self.known) - len(self.ids)))[::-1]
+        for k in range(0, len(new), 500):
+            chunks = [w if w[:1] == "\n" else f" {w}" for w in new[k : k + 500]]
+            ids = np.array(self.library("".join(chunks)), "<u4")
+            ends, stops = np.cumsum(self.long[ids]), np.cumsum([len(c.encode()) for c in chunks])
+            at = np.searchsorted(ends, stops)
+            if len(ends) and ends[-1] == stops[-1] and (ends[at] == stops).all():
+                data, edges = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+                self.ids += [data[i:j] for i, j in zip(edges, edges[1:])]
+            else:
+                self.ids += [self.packed(self.library(c)) for c in chunks]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Of each text, in order. Give a bounded number of characters at a time."""
         if len(self.known) >= self.words:
-            self.known.clear()
-        self.known[s] = found
-        return found
+            self.known, self.ids = _Numbered(), []
+        asked, special = self.known.__getitem__, self.special
+        parts: list[list[int] | None] = []
+        for text in texts:
+            simple = text and "  " not in text and " \n" not in text and "\n\n" not in text and text[-1] not in " \n" and text[0] not in " \n"
+            if not simple or _RARE.search(text) or any(s in text for s in special):
+                parts.append(None)
+            else:
+                parts.append(list(map(asked, f"\n{text}".replace("\n", " \n").split(" ")[1:])))
+        self.learn()
+        of = self.ids.__getitem__
+        for text, p in zip(texts, parts):
+            if p is None:
+                yield self.packed(self.whole.encode(text, add_special_tokens=False).ids) if text else b""
+            else:
+                yield b"".join(map(of, p))[self.newline :]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        simple = "  " not in text and " \n" not in text and "\n\n" not in text and text[-1] not in " \n" and text[0] not in " \n"
-        if not simple or _RARE.search(text) or any(s in text for s in self.special):
-            return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
-        out = map(self.known.__getitem__, f"\n{text}".replace("\n", " \n").split(" ")[1:])
-        return b"".join(out)[len(self.part("\n")):]
+        return next(self.encode_all([text]))
 
 
 class OpenWindows:
@@ -131,6 +146,19 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int,
 _TOKENS: dict[str, Tokens] = {}
 
 
+def encoded(tokens: Tokens, b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple]:
+    """(id, token ids) of a batch's rows, of about `most` characters at a time."""
+    keys, texts, total = [], [], 0
+    for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+        keys.append(key)
+        texts.append(text.as_py() or "")
+        total += len(texts[-1])
+        if total > most:
+            yield from zip(keys, tokens.encode_all(texts))
+            keys, texts, total = [], [], 0
+    yield from zip(keys, tokens.encode_all(texts))
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_tokens: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in windows of at most `window` tokens, packed best fit decreasing.
 
@@ -178,8 +206,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, b
 
         for b in batches:
             id_type = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = tokens.encode(text.as_py() or "") + end
+            for key, ids in encoded(tokens, b):
+                ids += end
                 total, step = len(ids) // 4, 4 * window
                 for k in range(0, len(ids), step):
                     piece = ids[k : k + step]
