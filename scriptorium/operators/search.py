@@ -48,6 +48,18 @@ def type_code(title, categories, is_stub):
     return F.coalesce(own, F.when(is_stub, "U").otherwise(first_match(categories, TYPE_RULES, "O")))
 
 
+def resolved_type(code, k, href):
+    """PRJ-19: the name of a type's code if it has one; else, of data pages, the type of the name that their file starts with; else other."""
+    out = F.lit(None).cast("string")
+    for known, name in TYPE_NAMES.items():
+        out = F.when(code == known, name).otherwise(out)
+    file = F.substring_index(F.coalesce(T.percent_decoded(href), href), "/", -1)
+    own = F.lit(None).cast("string")
+    for head, known in DATA_TYPES.items():
+        own = F.when(F.substring_index(file, "-", 1) == head, TYPE_NAMES[known]).otherwise(own)
+    return F.coalesce(out, F.when(k == "d", own), F.lit("other"))
+
+
 def english_name(title, body, k):
     """PRJ-11: the Latin words behind the title that a page's text starts with."""
     rest = F.ltrim(F.substring(body, F.length(title) + 1, F.length(body)))

@@ -83,6 +83,14 @@ def pager(current: int, pages: int, around: int = 2) -> list[int | None]:
     return out
 
 
+def pager_numbers(current: Column, pages: Column, around: int = 2) -> Column:
+    """WIN-07 as a column: an array of page numbers, null for a gap."""
+    near = F.filter(F.sequence(current - around, current + around), lambda p: (p >= 1) & (p <= pages))
+    shown = F.array_sort(F.array_distinct(F.concat(F.array(F.least(F.lit(1), pages)), near, F.array(pages))))
+    gap = F.array(F.lit(None).cast("int"))
+    return F.flatten(F.transform(shown, lambda p, i: F.when((i > 0) & (p - F.get(shown, i - 1) > 1), F.concat(gap, F.array(p))).otherwise(F.array(p))))
+
+
 def counter(df: DataFrame, matches: Column, number_: int, size: int) -> DataFrame:
     """AGG-24, AGG-25: one row: total, matched, pages, lo, hi."""
     out = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(matches).alias("matched"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import glossary as G
-from ..operators import graph
+from ..operators import graph, search, tables
 from .queries import SQL, query, table
 
 LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "火水风土的暗剑盾和龙巨法术师士兵城了山川林石金，银铁"
@@ -143,25 +143,74 @@ def glossary_checks(spark, sf_dir):
     return G.checks(shaped(spark, sf_dir).select("en", "zh"))
 
 
+
+
 _VERBS = " OR ".join(f"regexp_matches(zh, '^{p}[^{''.join(ok)}]')" for p, ok in G.VERB_PREFIXES.items())
 
 
-@query(rf"""WITH {_SHAPED},
-s AS (SELECT en, zh, list_filter(list_transform(string_split_regex(lower(trim(regexp_replace(en, '[（(][^）)]*[）)]?', ' ', 'g'))), '[ -]'), lambda x: regexp_replace(x, '^[^a-z]+|[^a-z]+$', '', 'g')),
-    lambda x: regexp_matches(x, '^[a-z]+$') AND x NOT IN ({", ".join(f"'{w}'" for w in G.CONTENT_STOP)})) AS w, len(regexp_extract_all(zh, '[一-鿿]')) AS han FROM t),
-k AS (SELECT DISTINCT lower(en) AS tail, zh FROM t),
-u AS (SELECT en, zh, han, w, unnest(range(1, len(w))) AS n FROM s WHERE len(w) >= 3 AND NOT regexp_matches(en, '[(（]') AND han < len(w) * 1.5),
-c AS (SELECT DISTINCT u.en, u.zh FROM u JOIN k ON k.zh = u.zh AND k.tail = array_to_string(w[len(w) - n + 1:], ' '))
-SELECT s.en, s.zh, CASE WHEN han = 0 THEN 'R0_no_cjk' WHEN c.en IS NOT NULL THEN 'R1_truncated'
+def _reasons(source: str, p: str) -> str:
+    """GLO-15 in SQL: the relations that end in {p}v (en, zh, reason), of distinct rows (en, zh) of a relation."""
+    return rf"""
+{p}s AS (SELECT en, zh, list_filter(list_transform(string_split_regex(lower(trim(regexp_replace(en, '[（(][^）)]*[）)]?', ' ', 'g'))), '[ -]'), lambda x: regexp_replace(x, '^[^a-z]+|[^a-z]+$', '', 'g')),
+    lambda x: regexp_matches(x, '^[a-z]+$') AND x NOT IN ({", ".join(f"'{w}'" for w in G.CONTENT_STOP)})) AS w, len(regexp_extract_all(zh, '[一-鿿]')) AS han FROM (SELECT DISTINCT en, zh FROM {source})),
+{p}k AS (SELECT DISTINCT lower(en) AS tail, zh FROM {source}),
+{p}u AS (SELECT en, zh, han, w, unnest(range(1, len(w))) AS n FROM {p}s WHERE len(w) >= 3 AND NOT regexp_matches(en, '[(（]') AND han < len(w) * 1.5),
+{p}c AS (SELECT DISTINCT u.en, u.zh FROM {p}u u JOIN {p}k k ON k.zh = u.zh AND k.tail = array_to_string(w[len(w) - n + 1:], ' ')),
+{p}v AS (SELECT s.en, s.zh, CASE WHEN han = 0 THEN 'R0_no_cjk' WHEN c.en IS NOT NULL THEN 'R1_truncated'
   WHEN len(string_split(s.en, ',')) < 3 AND ((len(w) >= 4 AND han < 3) OR (len(w) >= 6 AND han < 4)) THEN 'R2_too_short' WHEN len(w) >= 2 AND s.zh IN ({", ".join(f"'{w}'" for w in G.GENERIC_TAILS)}) THEN 'R3_generic_tail'
-  WHEN {" OR ".join(f"starts_with(s.zh, '{p}')" for p in G.STRAY_PREFIXES)} THEN 'R4_fragment_prefix' WHEN regexp_matches(s.zh, '[A-Za-z]{{2,}}') THEN 'R5_stray_english'
-  WHEN len(w) <= 1 AND ({_VERBS.replace('(zh', '(s.zh')}) THEN 'R7_verb_prefix' END AS reason
-FROM s LEFT JOIN c ON c.en = s.en AND c.zh = s.zh""")
+  WHEN {" OR ".join(f"starts_with(s.zh, '{x}')" for x in G.STRAY_PREFIXES)} THEN 'R4_fragment_prefix' WHEN regexp_matches(s.zh, '[A-Za-z]{{2,}}') THEN 'R5_stray_english'
+  WHEN len(w) <= 1 AND ({_VERBS.replace('(zh', '(s.zh')}) THEN 'R7_verb_prefix' END AS reason FROM {p}s s LEFT JOIN {p}c c ON c.en = s.en AND c.zh = s.zh)"""
+
+
+@query(f"WITH {_SHAPED}, {_reasons('t', '')} SELECT en, zh, reason FROM v")
 def glossary_verify(spark, sf_dir):
     """GLO-15: words in all shapes, and the first rule that each fails."""
     return G.correspondence(shaped(spark, sf_dir).select("en", "zh"))
 
 
+@query(f"""WITH {_MINED}, {_SHAPED}, {_reasons('t', 'e')},
+d AS (SELECT v.en, v.zh, c.zh AS new, c.en AS other, c.count FROM ev v JOIN c ON lower(c.en) = lower(v.en) WHERE reason IS NOT NULL AND c.count >= 2 AND len(regexp_extract_all(c.zh, '[一-鿿]')) > len(regexp_extract_all(v.zh, '[一-鿿]'))),
+h AS (SELECT en, new AS zh FROM d), {_reasons('h', 'z')},
+i AS (SELECT d.en, first(d.new ORDER BY d.other <> d.en, d.count DESC, d.new) AS new FROM d JOIN zv ON zv.en = d.en AND zv.zh = d.new WHERE zv.reason IS NULL GROUP BY d.en)
+SELECT v.en, v.zh, CASE WHEN new IS NULL THEN 'delete' ELSE 'replace' END AS decision, new AS new_zh FROM ev v LEFT JOIN i ON i.en = v.en WHERE reason IS NOT NULL""")
+def replaced_terms(spark, sf_dir):
+    """GLO-16, JOI-15: what becomes of each entry that fails a rule: a mined rendering, or nothing."""
+    failed = G.correspondence(shaped(spark, sf_dir).select("en", "zh")).where("reason IS NOT NULL")
+    wiki = mined(spark, sf_dir).groupBy("en", "zh").agg(F.count(F.lit(1)).alias("count"))
+    return G.replaced(failed, wiki)
+
+
+@query(f"""WITH {_SHAPED}, b AS (SELECT DISTINCT en FROM t WHERE regexp_matches(en || chr(10) || zh, '</?\\w+>|<!--|-->|&\\w+;|\\{{\\{{|\\}}\\}}|\\[\\[|\\]\\]|\\|\\|') OR regexp_matches(zh, '[A-Za-z]{{3,}}'))
+SELECT en, zh FROM t WHERE en NOT IN (SELECT en FROM b)""")
+def validated_terms(spark, sf_dir):
+    """GLO-14, UDF-06: entries without those that fail the checks that were chosen for deletion."""
+    return G.validated(shaped(spark, sf_dir).select("en", "zh"), ["X2_artifact", "X3_english"]).select("en", "zh")
+
+
+@query("""WITH o AS (SELECT o_orderkey, (o_custkey % 60 + 1)::INT AS pages, (o_orderkey % (o_custkey % 60 + 1) + 1)::INT AS now FROM orders),
+s AS (SELECT *, list_sort(list_distinct(list_concat([1, pages], list_filter(range(now - 2, now + 3), lambda p: p >= 1 AND p <= pages)))) AS shown FROM o)
+SELECT o_orderkey, array_to_string(list_transform(range(1, len(shown) + 1), lambda i: CASE WHEN i > 1 AND shown[i] - coalesce(shown[i - 1], 0) > 1 THEN '… ' ELSE '' END || shown[i]), ' ') AS pager FROM s""")
+def pager_lists(spark, sf_dir):
+    """WIN-07: the numbers of a pager, for a page and a number of pages made of each order's keys."""
+    pages = (F.col("o_custkey") % 60 + 1).cast("int")
+    now = (F.col("o_orderkey") % pages + 1).cast("int")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", tables.pager_numbers(now, pages).alias("p"))
+    return rows.select("o_orderkey", F.array_join("p", " ", "…").alias("pager"))
+
+
+@query("""WITH p AS (SELECT p_partkey, ['S', 'F', 'C', 'zz', ''][p_partkey % 5 + 1] AS code, CASE WHEN p_partkey % 2 = 0 THEN 'd' ELSE 'p' END AS k,
+  'data/' || ['Spells', 'Items', 'Feats', 'Traits', 'x'][p_partkey % 7 % 5 + 1] || '-' || replace(p_name, ' ', '%20') || '.json.html' AS href FROM part)
+SELECT p_partkey, CASE code WHEN 'S' THEN 'spell' WHEN 'F' THEN 'feat' WHEN 'C' THEN 'creature' ELSE CASE WHEN k = 'd' THEN CASE regexp_extract(href, '^data/([^-]*)-', 1)
+  WHEN 'Spells' THEN 'spell' WHEN 'Items' THEN 'item' WHEN 'Feats' THEN 'feat' WHEN 'Traits' THEN 'trait' ELSE 'other' END ELSE 'other' END END AS type FROM p""")
+def resolved_types(spark, sf_dir):
+    """PRJ-19: the type of each part as an entry: by its code, else by its data file's name."""
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    href = F.concat(F.lit("data/"), pick(["Spells", "Items", "Feats", "Traits", "x"], k % 7 % 5), F.lit("-"), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit(".json.html"))
+    kind = F.when(k % 2 == 0, "d").otherwise("p")
+    return table(spark, sf_dir, "part").select("p_partkey", search.resolved_type(pick(["S", "F", "C", "zz", ""], k % 5), kind, href).alias("type"))
+
+
 @query(f"""WITH m AS ({SQL['merged_terms']}) SELECT action, count(*)::BIGINT AS n FROM m GROUP BY action""")
 def glossary_merge(spark, sf_dir):
     """GLO-02, AGG-19: how many terms the merge added, changed, kept and left out."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
+from ..operators import snapshots
 from ..sources import files, listing
 from ..sources.shared import new_path
 from ..streaming import progress, refresh, throttle
@@ -122,3 +123,16 @@ def phase_progress(spark, sf_dir):
     distinct = spark.read.parquet(out).select("user_id", "event_type").distinct().observe(count, F.count(F.lit(1)).alias("rows"))
     distinct.write.parquet(f"{out}-distinct")
     return streamed.unionByName(spark.createDataFrame([("written", count.get["rows"], 0)], progress.SCHEMA))
+
+
+@query("""WITH o AS (SELECT c_name AS path, c_mktsegment AS content FROM customer WHERE c_custkey % 5 <> 0),
+n AS (SELECT c_name AS path, CASE WHEN c_custkey % 7 = 0 THEN upper(c_name) ELSE c_mktsegment END AS content FROM customer WHERE c_custkey % 3 <> 0),
+d AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.content <> n.content THEN 'modified' END AS change, n.content FROM o FULL JOIN n ON o.path = n.path)
+SELECT path, change, CASE WHEN change <> 'removed' THEN strlen(content)::BIGINT END AS bytes, CASE WHEN change <> 'removed' THEN sha256(content) END AS sha256 FROM d WHERE change IS NOT NULL""")
+def patch_folder(spark, sf_dir):
+    """SNK-13, JOI-18: what changed between two snapshots of the customers, written as a patch of files with a manifest."""
+    c = table(spark, sf_dir, "customer")
+    old = c.where("c_custkey % 5 <> 0").select(F.col("c_name").alias("path"), F.col("c_mktsegment").alias("content"))
+    new = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("path"), F.when(F.col("c_custkey") % 7 == 0, F.upper("c_name")).otherwise(F.col("c_mktsegment")).alias("content"))
+    delta = snapshots.diff(old, new, value="content").select("path", "change")
+    return files.write_patch(delta, new, new_path(spark, "patch"))
