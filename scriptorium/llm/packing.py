@@ -57,10 +57,14 @@ class Tokens:
 
     def learn(self) -> None:
         """The ids of the words that have been asked for since. A word stands without its leading space, or with a leading
-        newline that stands alone."""
+        newline that stands alone. None for one with characters that may go on from one word to the next."""
         new = list(islice(reversed(self.known), len(self.known) - len(self.ids)))[::-1]
         for k in range(0, len(new), 500):
-            chunks = [w if w[:1] == "\n" else f" {w}" for w in new[k : k + 500]]
+            part = new[k : k + 500]
+            if _RARE.search("".join(part)):
+                self.ids += [None if _RARE.search(w) else self.packed(self.library(w if w[:1] == "\n" else f" {w}")) for w in part]
+                continue
+            chunks = [w if w[:1] == "\n" else f" {w}" for w in part]
             ids = np.array(self.library("".join(chunks)), "<u4")
             ends, stops = np.cumsum(self.long[ids]), np.cumsum([len(c.encode()) for c in chunks])
             at = np.searchsorted(ends, stops)
@@ -78,17 +82,17 @@ class Tokens:
         parts: list[list[int] | None] = []
         for text in texts:
             simple = text and "  " not in text and " \n" not in text and "\n\n" not in text and text[-1] not in " \n" and text[0] not in " \n"
-            if not simple or _RARE.search(text) or any(s in text for s in special):
+            if not simple or any(s in text for s in special):
                 parts.append(None)
             else:
                 parts.append(list(map(asked, f"\n{text}".replace("\n", " \n").split(" ")[1:])))
         self.learn()
         of = self.ids.__getitem__
         for text, p in zip(texts, parts):
-            if p is None:
-                yield self.packed(self.whole.encode(text, add_special_tokens=False).ids) if text else b""
-            else:
+            try:
                 yield b"".join(map(of, p))[self.newline :]
+            except TypeError:  # not cut, or with a word that has no ids of its own
+                yield self.packed(self.whole.encode(text, add_special_tokens=False).ids) if text else b""
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
