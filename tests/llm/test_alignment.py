@@ -1,3 +1,4 @@
+import functools
 import hashlib
 from collections import Counter, defaultdict
 
@@ -63,8 +64,9 @@ def brute(texts):
         )
 
 
-def _encoder(cache={}):
-    return cache.setdefault("e", alignment.Encoder(A, B))
+@functools.cache
+def _encoder():
+    return alignment.Encoder(A, B)
 
 
 @settings(max_examples=150, deadline=None)

@@ -1,3 +1,4 @@
+import functools
 import struct
 
 from hypothesis import given, settings
@@ -17,12 +18,14 @@ def test_ids_are_the_library_s(text):
     assert tokens.encode(text) == struct.pack(f"<{len(i)}I", *i) if (i := _library().encode(text, add_special_tokens=False).ids) else not tokens.encode(text)
 
 
-def _tokens(cache={}):
-    return cache.setdefault("t", packing.Tokens(PATH, words=50))
+@functools.cache
+def _tokens():
+    return packing.Tokens(PATH, words=50)
 
 
-def _library(cache={}):
-    return cache.setdefault("t", Tokenizer.from_file(PATH))
+@functools.cache
+def _library():
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=200, deadline=None)
