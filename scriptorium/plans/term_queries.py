@@ -91,7 +91,7 @@ def continued_listing(spark, sf_dir):
 
 @query("SELECT 'pages/' || page_id || '.html' AS name, html FROM pages WHERE html IS NOT NULL")
 def written_files(spark, sf_dir):
-    """SNK-09, REN-01: one file a page in the shared folder, read back whole."""
+    """SNK-09: one file a page in the shared folder, read back whole."""
     root = new_path(spark, "site")
     sinks.files(table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("content")), root)
     read = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)

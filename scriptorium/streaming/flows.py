@@ -1,46 +1,9 @@
-"""Structured Streaming: refresh from a change feed, throttling, debouncing, and state by user."""
+"""Structured Streaming: debouncing, windows, marks by user, and where a run stops."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators import snapshots
-
-
-def refresh(changes: DataFrame, base_path: str, key: str = "pageid", ts: str = "ts") -> DataStreamWriter:
-    """STM-03: each batch of changes, latest a key, is merged into the table at `base_path`: every batch
-    leaves a new version next to it, so a batch that is run again changes nothing."""
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        latest = snapshots.latest_change(batch, key, ts, F.lit(0)).select(*batch.columns)
-        base = spark.read.parquet(f"{base_path}/v{number - 1}") if number else batch.limit(0)
-        snapshots.upsert(base, latest, [key], ts).write.mode("overwrite").parquet(f"{base_path}/v{number}")
-
-    return changes.writeStream.foreachBatch(merge)
-
-
-def throttled(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """STM-05 as a stream: (key, ts, accepted) of events (key, ts). State a key is one timestamp."""
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for df in parts:
-            df = df.sort_values("ts")
-            taken = []
-            for t in df["ts"].astype("int64") // 1000 if str(df["ts"].dtype).endswith("[ns]") else df["ts"].astype("datetime64[us]").astype("int64"):
-                ok = last is None or t - last >= seconds * 1_000_000
-                last = int(t) if ok else last
-                taken.append(ok)
-            yield pd.DataFrame({key: [k[0]] * len(df), "ts": df["ts"], "accepted": taken})
-        state.update((last,))
-
-    schema = f"{key} {dict(events.dtypes)[key]}, ts timestamp, accepted boolean"
-    return events.select(key, "ts").groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap: str, late: str | None = None) -> DataFrame:

@@ -2,32 +2,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import snapshots
 from scriptorium.streaming import flows
 
 DAY = dt.datetime(2026, 1, 1)
 
 
-def test_throttle_stream_equals_batch(spark, tmp_path):
-    rows = [(u, DAY + dt.timedelta(minutes=m)) for u, m in [(1, 0), (1, 30), (1, 70), (1, 100), (1, 131), (2, 5), (2, 64), (2, 66)]]
-    df = spark.createDataFrame(rows, "user long, ts timestamp")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = flows.throttled(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "user", 3600)
-    q.writeStream.format("memory").queryName("accepted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start().awaitTermination()
-    stream = sorted(map(tuple, spark.table("accepted").collect()))
-    assert stream == sorted(map(tuple, snapshots.throttled(df, "user", "ts", 3600).collect()))
-    assert [a for u, _, a in stream] == [True, False, True, False, True, True, False, True]
-
-
-def test_refresh(spark, tmp_path):
-    schema = "pageid long, ts string, type string"
-    for i, rows in enumerate([[(1, "a", "new"), (1, "b", "edit"), (2, "a", "new")], [(1, "c", "edit"), (2, "a", "edit")]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        flows.refresh(stream, str(tmp_path / "base")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start().awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "base/v1")).collect())) == [(1, "c", "edit"), (2, "a", "edit")]
-
-
 def test_breaker_and_debounce(spark):
     rows = [("r", i, s) for i, s in enumerate(["ok", "throttle", "throttle", "ok", "throttle", "throttle", "throttle", "ok"])]
     kept = flows.breaker(spark.createDataFrame(rows, "run string, i int, status string"), "i", throttles=3)
