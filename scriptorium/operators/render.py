@@ -93,7 +93,7 @@ def category_block(categories: Column, links: Column) -> Column:
     return F.when(F.size(categories) > 0, F.concat(F.lit('<div class="page-categories"><ul>'), F.array_join(F.zip_with(categories, links, item), ""), F.lit("</ul></div>"))).otherwise("")
 
 
-def rendered(pages: DataFrame, redirects: DataFrame, index: DataFrame, manifest: DataFrame, home: str = "huijiwiki.com") -> DataFrame:
+def rendered(pages: DataFrame, redirects: DataFrame, index: DataFrame, manifest: DataFrame, home: str = "wiki.example.org") -> DataFrame:
     """REN-01: (pageid, path, content) of pages (pageid, ns, title, html, categories array<string>), pageid told apart: cleaned, links and
     images resolved, images lazy, categories at the foot, and all of it in the page's frame. index: key, dir, fn; redirects: src, tgt;
     manifest: url, path. A redirect notice to a page that is there sends its reader on.

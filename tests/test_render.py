@@ -22,7 +22,7 @@ def of(spark, rows):
     ('<a class="k" href="/index.php?title=Data:Y&amp;x=1">b</a>', '<a class="k new" href="../data/Y.html">b</a>'),
     ('<a class="new" href="/wiki/%E7%81%AB">b</a>', '<a class="new" href="../pages/%E7%81%AB.html">b</a>'),
     ('<a href="/wiki/File:a.png"><img src="/img/a.png"></a><a href="#s">t</a>', '<img loading="lazy" src="../assets/a.webp"><a href="#s">t</a>'),
-    ('<a href="https://huijiwiki.com/i?action=edit">edit</a> <a href="/wiki/Ball">b</a>', 'edit <a href="../pages/Fire%20ball.html">b</a>'),
+    ('<a href="https://wiki.example.org/i?action=edit">edit</a> <a href="/wiki/Ball">b</a>', 'edit <a href="../pages/Fire%20ball.html">b</a>'),
     ('<a href="http://x.org/">x</a>', '<a href="http://x.org/" rel="noopener external" target="_blank">x</a>'),
     ('<a href="mailto:x">x</a><!-- <a href="/wiki/Ball"> -->', '<a href="mailto:x">x</a>'),
     ("no tags at all", "no tags at all"), ("", ""), (None, ""),
