@@ -179,7 +179,8 @@ def detect(docs: DataFrame) -> DataFrame:
     bootstrapped patterns find, as arrays of (start, kind, end) in code points.
 
     Null text counts as empty. Results depend on the text alone: copies get the same. Null and repeated
-    ids: each row by itself. Empty table: no rows.
+    ids: each row by itself. Empty table: no rows. Very long texts: time in proportion to their matches. Other columns,
+    whatever their names, are dropped.
     """
     found = cut(scan(docs.select("doc_id", "text")))
     ids = discovered(found).withColumnRenamed("text_key", "k")
@@ -211,7 +212,10 @@ def replaced(text: Column, spans: Column, names: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with each span that `detect` finds replaced by its kind in brackets; spans that overlap
-    are replaced as one, by the first one's kind. n_chars, where there is one, follows."""
+    are replaced as one, by the first one's kind. n_chars, where there is one, follows.
+
+    Null text stays null; an empty table gives no rows; repeated rows and null ids stay as they are; very long texts take
+    time in proportion to their matches. Columns of any name stay."""
     plain = docs.select("text").where(F.col("text").rlike("[0-9@=:]"))
     ids = discovered(cut(scan(plain))).withColumnRenamed("text_key", "pii_key").withColumnRenamed("ids", "pii_ids")
     rows = docs.select(F.struct("*").alias("row"), "text", F.md5("text").alias("key"))
