@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import merge
 from operator import itemgetter
 
@@ -52,9 +53,14 @@ def word_counts(docs: DataFrame, change: Callable[[str, str], str] | None = None
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+@lru_cache(1)
+def _begun(key: str) -> int:
+    return zlib.crc32(f"{key}:".encode())
+
+
 def one_letter_lost(key: str, word: str) -> str:
     """`word` without one code point, if 97 divides the crc32 of `key:word`; that one's place is the crc32 modulo the length."""
-    h = zlib.crc32(word.encode(), zlib.crc32(f"{key}:".encode()))
+    h = zlib.crc32(word.encode(), _begun(key))
     if h % 97:
         return word
     at = h % len(word)
@@ -64,7 +70,7 @@ def one_letter_lost(key: str, word: str) -> str:
 def grams(word: str) -> list[str]:
     """The q-grams of a word between two marks, in order: one more than its code points."""
     padded = _ENDS[0] + word + _ENDS[1]
-    return [padded[i : i + Q] for i in range(len(word) + 1)]
+    return [a + b for a, b in zip(padded, padded[1:])]
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -86,59 +92,84 @@ class Order:
 
     def first(self, word: str) -> list[tuple[str, int]]:
         """The three first grams and their places."""
-        ranked = sorted((self.rank.get(g, -1), i, g) for i, g in enumerate(grams(word)))
-        return [(g, i) for _, i, g in ranked[: Q + 1]]
-
-    def shared(self, longer: str, other: str) -> tuple[str, int] | None:
-        """The first of the longer word's first grams that the other has too, at the same place (or one before, if it's shorter)."""
-        mine, its = self.first(longer), self.first(other)
+        all_, of = grams(word), self.rank.get
+        ranked = sorted([(of(g, -1), i) for i, g in enumerate(all_)])
+        return [(all_[i], i) for _, i in ranked[: Q + 1]]
+
+    def shared(self, longer: str, other: str, first: Callable[[str], list[tuple[str, int]]] | None = None) -> tuple[str, int] | None:
+        """The first of the longer word's first grams that the other has too, at the same place (or one before, if it's shorter).
+        `first`: one that remembers."""
+        mine, its = map(first or self.first, (longer, other))
         places = set(its) if len(longer) == len(other) else {(g, i + k) for g, i in its[:Q] for k in (0, 1)}
         return next((x for x in mine if x in places), None)
 
 
 class Postings:
-    """The words of one length, by gram and place: ascending numbers of words."""
+    """The words of one length, by gram and place: ascending numbers of words. A gram at a place is one number, that at the next
+    place the next number."""
 
     def __init__(self, words: list[str]):
-        self.words, self.at = words, {}
-        self.keys = [list(zip(grams(w), range(len(w) + 1))) for w in words]
+        self.words, self.at, self.sets = words, {}, {}
+        self.places = len(words[0]) + 2 if words else 2
+        self.keys = [self._keys(w) for w in words]
         for i, keys in enumerate(self.keys):
             for k in keys:
-                self.at.setdefault(k, []).append(i)
-        self.sets = [set(k) for k in self.keys]
+                if k in self.at:
+                    self.at[k].append(i)
+                else:
+                    self.at[k] = [i]
+
+    def _keys(self, word: str) -> list[int]:
+        c, m = memoryview((_ENDS[0] + word + _ENDS[1]).encode("utf-32-le")).cast("I"), self.places
+        return [(a << 21 | b) * m + i for i, (a, b) in enumerate(zip(c, c[1:]))]
+
+    def _set(self, number: int) -> set[int]:
+        found = self.sets.get(number)
+        if found is None:
+            found = self.sets[number] = set(self.keys[number])
+        return found
 
     def alike(self, number: int) -> Iterator[int]:
         """Words behind `number` that share all but two of its grams at their places. One that does is in one of the three
         shortest postings; the others are only looked up."""
-        mine, later = self.sets[number], []
+        later, silent = [], 0  # silent: postings that end here
         for k in self.keys[number]:
             p = self.at[k]
-            start = bisect_right(p, number)
-            if start < len(p):
-                later.append((len(p) - start, start, p))
-        silent = len(mine) - len(later)  # postings that end here
-        if silent <= Q:
-            later.sort(key=itemgetter(0))
-            for i in _merged([p[start:] for _, start, p in later[: Q + 1 - silent]]):
-                if len(mine & self.sets[i]) >= len(mine) - Q:
-                    yield i
+            if p[-1] > number:
+                later.append(p)
+            else:
+                silent += 1
+                if silent > Q:
+                    return
+        starts = [(len(p) - start, start, p) for p in later for start in (bisect_right(p, number),)]
+        starts.sort(key=itemgetter(0))
+        mine = self._set(number)
+        for i in _merged([p[start:] for _, start, p in starts[: Q + 1 - silent]]):
+            if len(mine & self._set(i)) >= len(mine) - Q:
+                yield i
 
     def longer(self, word: str) -> Iterator[int]:
         """Words a code point longer that share all but one of a word's grams, at the same place or the next."""
-        both = [((g, i), (g, i + 1)) for i, g in enumerate(grams(word))]
-        lists = [(self.at.get(x, ()), self.at.get(y, ())) for x, y in both]
-        found = sorted((x for x in lists if x[0] or x[1]), key=lambda x: len(x[0]) + len(x[1]))
-        silent = len(lists) - len(found)
-        if silent < Q:
-            for i in _merged([p for x in found[: Q - silent] for p in x]):
-                if sum(x in self.sets[i] or y in self.sets[i] for x, y in both) >= len(both) - 1:
-                    yield i
+        both, at, lists, silent = self._keys(word), self.at.get, [], 0
+        for k in both:
+            x, y = at(k), at(k + 1)
+            if x or y:
+                lists.append((x or (), y or ()))
+            else:
+                silent += 1
+                if silent >= Q:
+                    return
+        lists.sort(key=lambda x: len(x[0]) + len(x[1]))
+        for i in _merged([p for x in lists[: Q - silent] for p in x if p]):
+            its = self._set(i)
+            if sum([k in its or k + 1 in its for k in both]) >= len(both) - 1:
+                yield i
 
 
 def _merged(lists: list[list[int]]) -> Iterator[int]:
     """Ascending lists' numbers, merged by a heap, each once."""
     last = -1
-    for i in merge(*lists):
+    for i in lists[0] if len(lists) == 1 else merge(*lists):
         if i != last:
             yield i
         last = i
@@ -168,7 +199,8 @@ def near_pairs(words: DataFrame, most: int = 20_000) -> DataFrame:
             for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 first, size = order.first(word), len(word)
                 rows += [(f"{g}{i} {size}", word, n, 0) for g, i in first]
-                rows += [(f"{g}{i + k} {size + 1}", word, n, 1) for g, i in first[:Q] for k in (0, 1)]
+                # each cell once: a gram and its repeat at the next place visit one together
+                rows += [(f"{g}{i} {size + 1}", word, n, 1) for g, i in {(g, i + k): 0 for g, i in first[:Q] for k in (0, 1)}]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["cell", "word", "n", "visits"])
 
@@ -183,24 +215,30 @@ def near_pairs(words: DataFrame, most: int = 20_000) -> DataFrame:
 
     def found(rows: list[tuple[int, str, int, int]]) -> Iterator[tuple[str, int, str, int]]:
         """Pairs of one cell's words, in two parts or one."""
-        home = [r for r in rows if not r[0]]
-        if not home or len(rows) < 2:
+        if len(rows) < 2 or rows[0][0]:
             return
+        home = [r for r in rows if not r[0]]
         cell, across = rows[0][4], rows[0][5]
-        index = Postings([r[1] for r in home])
+        index, firsts = Postings([r[1] for r in home]), {}
+
+        def first(word: str) -> list[tuple[str, int]]:
+            if word not in firsts:
+                firsts[word] = order.first(word)
+            return firsts[word]
+
         for i, (_, word, n, part, *_) in enumerate(home):
             for k in index.alike(i):
                 other = home[k]
-                if (not across or part != other[3]) and one_edit(word, other[1]) and order.shared(word, other[1]) == cell:
+                if (not across or part != other[3]) and one_edit(word, other[1]) and order.shared(word, other[1], first) == cell:
                     yield word, n, other[1], other[2]
         for _, word, n, part, *_ in rows[len(home) :]:
             for k in index.longer(word):
                 other = home[k]
-                if (not across or part != other[3]) and one_edit(other[1], word) and order.shared(other[1], word) == cell:
+                if (not across or part != other[3]) and one_edit(other[1], word) and order.shared(other[1], word, first) == cell:
                     yield word, n, other[1], other[2]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        key, rows, out, place = (None, None, None), [], [], None
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64()) * 2)], names=["word", "n", "other", "other_n"])
@@ -208,14 +246,15 @@ def near_pairs(words: DataFrame, most: int = 20_000) -> DataFrame:
         for b in _and_none(batches):
             columns = [c.to_pylist() for c in b.columns] if b is not None else [[None]] * 7
             for cell, low, high, visits, word, n, part in zip(*columns):
-                if (cell, low, high) != key:
+                if cell != key[0] or low != key[1] or high != key[2]:
                     out.extend(found(rows))
                     if len(out) > 20_000:
                         yield batch()
                         out.clear()
                     key, rows = (cell, low, high), []
+                    place = cell and (cell[:Q], int(cell[Q:].split(" ")[0]))
                 if cell is not None:
-                    rows.append((visits, word, n, part, (cell[:Q], int(cell[Q:].split(" ")[0])), low != high))
+                    rows.append((visits, word, n, part, place, low != high))
         if out:
             yield batch()
 

@@ -113,3 +113,11 @@ def test_a_hot_cell_loses_nothing(spark):
     got = sorted(tuple(sorted((r.word, r.other))) for r in V.near_pairs(df, 20).collect())
     assert got == sorted({tuple(sorted((a, b))) for a in words for b in words if neighbours(a, b)})
     assert V.near_pairs(df.select("word", F.col("n").cast("long").alias("n")), 20).count() == len(got)
+
+
+def test_a_gram_repeated_at_the_next_place_counts_a_pair_once(spark):
+    # "zz" is the rarest, at two places in a row, and a letter before them moves both by one
+    words = {"azzzb": 3, "cazzzb": 9} | {f"{x}az{y}zb": 3 for x in ("c", "") for y in "defghk"}
+    df = spark.createDataFrame([*words.items()], "word string, n long")
+    got = sorted(tuple(sorted((r.word, r.other))) for r in V.near_pairs(df).collect())
+    assert got == sorted({tuple(sorted((a, b))) for a in words for b in words if neighbours(a, b)})
