@@ -7,12 +7,16 @@ import os
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SWEPT = [0.0]
+#: Paths of stored tables, one list for each open `passing`.
+_PASSING: list[list[str]] = []
 #: A word: a run of anything but the space and the ASCII controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,10 +58,26 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder as Parquet and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _PASSING:
+        _PASSING[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are `stored` inside are deleted at the end. Take a path out of the list to keep it, put one in to delete it too."""
+    paths: list[str] = []
+    _PASSING.append(paths)
+    try:
+        yield paths
+    finally:
+        _PASSING.remove(paths)
+        for path in paths:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """A stored table of a row a language or source, to be broadcast if it has at most `most` rows."""
     return F.broadcast(rows) if rows.count() <= most else rows

@@ -590,5 +590,23 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     found = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "component_id").distinct()
     ids = keyed.where("node IS NOT NULL").select("node", "doc_id").distinct()
     least = ids.join(found, "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("first"))
-    one = keyed.select("row", "node").join(least.select("first.node"), "node", "left_semi").dropDuplicates(["node"])
+    first = cut(least.select("first.node"))
+    again = cut(keyed.where("node IS NOT NULL").groupBy("node").count().where("count > 1").join(first, "node", "left_semi").select("node"))
+    # texts move once, past tables of nodes alone: they are neither sorted nor, where a filter tells that they go, sent
+    hopeful = docs.sparkSession.sparkContext.broadcast(Bloom.of(first, "node", 26).words)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = b.column(1)
+            ok = np.zeros(b.num_rows, bool)
+            there = nodes.is_valid().to_numpy(zero_copy_only=False)
+            ok[there] = Bloom(hopeful.value).has(nodes.drop_null().to_numpy().view(np.uint64))
+            yield b.filter(pa.array(ok))
+
+    rows = keyed.select("row", "node")
+    sent = rows.mapInArrow(chosen, rows.schema)
+    once = sent.join(first.join(again, "node", "left_anti").hint("shuffle_hash"), "node", "left_semi")
+    one = once.select("row")
+    if again.limit(1).count():
+        one = one.unionByName(sent.join(again.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]).select("row"))
     return one.select(*(F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))

@@ -147,7 +147,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int,
     return out
 
 
-_TOKENS: dict[str, Tokens] = {}
+_TOKENS: dict[tuple[str, int], Tokens] = {}
 
 
 def encoded(tokens: Tokens, b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple]:
@@ -163,14 +163,14 @@ def encoded(tokens: Tokens, b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[
     yield from zip(keys, tokens.encode_all(texts))
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_tokens: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_tokens: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text", words: int = 1_000_000) -> DataFrame:
     """Pieces of all documents in windows of at most `window` tokens, packed best fit decreasing.
 
     A document's ids and then `end_id` are cut into full windows, each a sequence of its own, and a
     rest. The rests of an input partition are packed together, at most `block_tokens` of them at a
     time, so nothing is shuffled and a task holds a bounded number of tokens. A recomputed partition
     gives the same rows: sequence ids hold the partition's number above 40 bits of a counter.
-    `ids` holds the piece's ids, little-endian unsigned 32 bits each.
+    `ids` holds the piece's ids, little-endian unsigned 32 bits each. A worker remembers `words` words, some 200 bytes each.
 
     Null or empty text: the end id alone. Repeated rows and ids: each row is packed by itself. A null
     id stays null. Empty table: no rows. Other columns are dropped.
@@ -181,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, b
     end = Tokens.packed([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _TOKENS.get(tokenizer) or _TOKENS.setdefault(tokenizer, Tokens(tokenizer))
+        tokens = _TOKENS.get((tokenizer, words)) or _TOKENS.setdefault((tokenizer, words), Tokens(tokenizer, words))
         base, sequences = TaskContext.get().partitionId() << 40, 0
         names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         ready: list[tuple] = []
