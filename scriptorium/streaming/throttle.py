@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -12,8 +13,9 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Throttle(StatefulProcessor):
-    """For each key: the moment of the last accepted event, and how many events wait for each moment. An event is decided by a timer,
-    once the watermark has passed it, so whatever came before it has come."""
+    """For each key: the moment of the last accepted event, how many events wait for each moment, and the first of these, for which
+    there is a timer. An event is decided once the watermark has passed it, so whatever came before it has come: a timer decides all that
+    the watermark has passed, and sets the next one."""
 
     def __init__(self, micros: int):
         self.micros = micros
@@ -22,20 +24,33 @@ class Throttle(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at long")
         self.waiting = handle.getMapState("waiting", "at long", "n long")
+        self.next = handle.getValueState("next", "at long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        for r in rows:
-            if r["at"] // 1000 < passed:
-                continue  # later than the stream waits
-            found = self.waiting.getValue((r["at"],)) if self.waiting.containsKey((r["at"],)) else None
-            self.waiting.updateValue((r["at"],), ((found[0] if found else 0) + 1,))
-            self.handle.registerTimer(r["at"] // 1000 + 1)
+        new = Counter(r["at"] for r in rows if r["at"] // 1000 >= passed)  # others are later than the stream waits
+        for at, n in new.items():
+            found = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else None
+            self.waiting.updateValue((at,), ((found[0] if found else 0) + n,))
+        if new:
+            self._wait_for(min(new))
         return iter([])
 
+    def _wait_for(self, at: int) -> None:
+        """Sets a timer, unless there is one as early."""
+        if not self.next.exists() or at < self.next.get()[0]:
+            self.next.update((at,))
+            self.handle.registerTimer(at // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] < end)
+        end = timerValues.getCurrentWatermarkInMs() * 1000
+        if not self.next.exists() or self.next.get()[0] >= end:
+            return  # an earlier timer has decided it all
+        waiting = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
+        due = [x for x in waiting if x[0] < end]
+        self.next.clear()
+        if len(due) < len(waiting):
+            self._wait_for(waiting[len(due)][0])
         last = self.last.get()[0] if self.last.exists() else None
         for at, n in due:
             self.waiting.removeKey((at,))

@@ -82,3 +82,43 @@ def test_progress_of_phases(spark, tmp_path):
         q.awaitTermination()
         seen.wait(q)
         assert shown(seen.rows()) == [("kept", 10, 0), ("read", 30, 240)]
+
+
+class _State(dict):
+    """Stands for both kinds of state, and counts whole readings."""
+
+    read = 0
+    exists = lambda self: "v" in self
+    get = lambda self: self["v"]
+    update = lambda self, v: self.__setitem__("v", v)
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.pop
+
+    def iterator(self):
+        self.read += 1
+        return iter(list(self.items()))
+
+
+class _Moment:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_one_timer_decides_all_that_the_watermark_has_passed():
+    class Handle:
+        timers = []
+        states = {}
+        getValueState = getMapState = lambda self, name, *_: self.states.setdefault(name, _State())
+        registerTimer = timers.append
+
+    h = Handle()
+    t = throttle.Throttle(5_000_000)
+    t.init(h)
+    times = [1_000_000 * k for k in (*range(50), 7, 200, 100)]
+    assert list(t.handleInputRows((1,), iter([{"at": a} for a in times]), _Moment(0))) == []
+    got = []
+    for mark in (60_000, 300_000):
+        for ms in sorted(x for x in h.timers if x <= mark):
+            h.timers.remove(ms)
+            got += [(r.at // 1_000_000, r.accepted) for r in t.handleExpiredTimer((1,), _Moment(mark), _Moment(ms))]
+    assert [x for x, ok in got if ok] == [*range(0, 50, 5), 100, 200] and len(got) == len(times)
+    assert h.states["waiting"].read == 2 and not h.states["waiting"]
