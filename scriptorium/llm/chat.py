@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, passing, stored
 
 # Marks of the template, before and after a turn's text. Fixed values.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -54,32 +54,41 @@ def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     so a tree of depth n takes log2(n) of them; then each chosen leaf follows the jumps, longest first,
     and a path costs one row a node. A path scores the sum of its nodes (null counts 0); ties go to the
     lower leaf. A parent that isn't there makes its child a root; nodes that only lead round in a circle
-    are on no path. Nodes of a null tree are one tree.
+    are on no path. Nodes of a null tree are one tree. Each step stores its own rows only, and what all steps so far have
+    stored is read as one table, so a step's plan doesn't grow with the depth.
     """
+    spark = nodes.sparkSession
     own = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     first = own.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    everything = cut(first.select("tree", "node", F.col("n").alias("jump"), "score"))
-    steps, done = [everything.where("jump IS NOT NULL")], everything.where("jump IS NULL")
-    most = math.ceil(math.log2(everything.count() + 1)) + 1
-    while steps[-1].limit(1).count() and len(steps) <= most:
-        a = steps[-1]
-        b = a.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("next"), F.col("score").alias("more"))
-        far = a.join(b, F.col("tree").eqNullSafe(F.col("t")) & (F.col("jump") == F.col("n")))
-        far = cut(far.select("tree", "node", F.col("next").alias("jump"), (F.col("score") + F.col("more")).alias("score")))
-        steps.append(far.where("jump IS NOT NULL"))
-        done = done.unionByName(far.where("jump IS NULL"))
-    parents = everything.where("jump IS NOT NULL").select(F.col("tree").alias("t"), F.col("jump").alias("n")).distinct()
-    leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
-    ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node")))
-    if best is not None:
-        ranked = ranked.where(F.col("rank") <= best)
-    paths = ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up"))
-    for k in reversed(range(len(steps))):
-        hop = steps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "jump")
-        on = paths.join(hop, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
-        paths = cut(paths.unionByName(on.select("tree", "leaf", "rank", F.col("jump").alias("node"), (F.col("up") + (1 << k)).alias("up"))))
-    return paths
+    with passing(spark) as paths:
+        hops, far = [], first.select("tree", "node", F.col("n").alias("jump"), "score")
+        most = None
+        while True:
+            seen = Observation()
+            rows = stored(far.observe(seen, F.count(F.lit(1)).alias("rows"), F.count("jump").alias("more")), "hops")
+            hops.append(paths[-1])
+            most = math.ceil(math.log2(seen.get["rows"] + 1)) + 1 if most is None else most
+            a, done = rows.where("jump IS NOT NULL"), spark.read.schema(rows.schema).parquet(*hops).where("jump IS NULL")
+            if not seen.get["more"] or len(hops) > most:
+                break
+            b = a.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("jump").alias("next"), F.col("score").alias("more"))
+            far = a.join(b, F.col("tree").eqNullSafe(F.col("t")) & (F.col("jump") == F.col("n")))
+            far = far.select("tree", "node", F.col("next").alias("jump"), (F.col("score") + F.col("more")).alias("score"))
+        everything = spark.read.schema(rows.schema).parquet(hops[0])
+        parents = everything.where("jump IS NOT NULL").select(F.col("tree").alias("t"), F.col("jump").alias("n")).distinct()
+        leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+        ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node")))
+        if best is not None:
+            ranked = ranked.where(F.col("rank") <= best)
+        on = stored(ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up")), "ranked")
+        found, schema = [paths[-1]], on.schema
+        for k in reversed(range(len(hops))):
+            hop = spark.read.schema(rows.schema).parquet(hops[k]).where("jump IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "jump")
+            on = spark.read.schema(schema).parquet(*found).join(hop, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
+            stored(on.select("tree", "leaf", "rank", F.col("jump").alias("node"), (F.col("up") + (1 << k)).alias("up")), "found")
+            found.append(paths[-1])
+        return cut(spark.read.schema(schema).parquet(*found))
 
 
 def conversations(nodes: DataFrame, best: int | None = 1) -> DataFrame:

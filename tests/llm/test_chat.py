@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from scriptorium.llm import chat, queries
 from scriptorium.llm.common import cut  # noqa: F401
@@ -45,3 +46,21 @@ def test_null_conversation_stays(spark):
     nodes = [(None, 0, None, "user", "x", 0.0), (None, 1, 0, "assistant", "y", 2.0), (None, 2, 0, "assistant", "z", 1.0), (5, 1, 0, "user", "own root", 0.0)]
     out = read(chat.conversations(spark.createDataFrame(nodes, NODES), best=None))
     assert {k: [t.text for t in r.turns] for k, r in out.items()} == {(None, 1): ["x", "y"], (None, 2): ["x", "z"], (5, 1): ["own root"]}
+
+
+def plans(spark, nodes):
+    """The numbers of scans in the plans that `branches` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    paths = chat.branches(nodes)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    new = store.executionsList(before, 1 << 20)
+    return paths.count(), [len(re.findall(r"^\(\d+\) .*Scan", new.apply(i).physicalPlanDescription(), re.M)) for i in range(new.size())]
+
+
+def test_plans_do_not_grow_with_the_depth(spark):
+    chain = lambda n: spark.range(n).selectExpr("1L AS tree", "id AS node", "nullif(id, 0) - 1 AS parent", "1.0D AS score")
+    (n_short, short), (n_deep, deep) = plans(spark, chain(9)), plans(spark, chain(400))
+    assert (n_short, n_deep) == (9, 400) and max(short) > 1
+    assert max(deep) == max(short) and len(deep) <= 2 * 10 + 2
