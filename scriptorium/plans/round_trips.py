@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import browse, graph, site
-from ..sources import readers
+from ..sources import readers, sinks
 from ..sources.shared import new_path
 from .queries import query, table
 
@@ -75,9 +75,10 @@ def source_targets(spark, sf_dir):
 
 @query("SELECT sha256(doc_id::VARCHAR || chr(10)) AS sha256 FROM documents WHERE doc_id IS NOT NULL")
 def source_file_digests(spark, sf_dir):
-    """SRC-25"""
-    path = new_path(spark, "files")
-    table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    """SRC-25: a file a row, in folders of 4,096 at most; rows of one id have files of their own."""
+    path, k = new_path(spark, "files"), F.monotonically_increasing_id()
+    rows = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(k.alias("k"), F.concat(F.col("doc_id").cast("string"), F.lit("\n")).alias("content"))
+    sinks.files(rows.select(F.concat_ws("/", F.floor(F.col("k") / 4096), F.concat("k", F.lit(".txt"))).alias("path"), "content"), path)
     return readers.file_digests(spark, path).where("path LIKE '%.txt'").select("sha256")
 
 

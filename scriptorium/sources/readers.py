@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
+from functools import partial
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -50,10 +54,63 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """SRC-25: (path, sha256) of all files below a folder; unreadable ones are skipped, and so are names
-    that start with _ or a dot, which Spark holds for hidden."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path)
-    root = path.rstrip("/")
-    return files.select(F.regexp_replace("path", rf"^.*?\Q{root.split('/')[-1]}\E/", "").alias("path"), F.sha2("content", 256).alias("sha256"))
+    that start with _ or a dot, which Spark holds for hidden. Tasks list the folders of a local path and share
+    its files, however small and many; other file systems are read by Spark, which lists them in the driver."""
+    if "://" in path and not path.startswith("file:"):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path)
+        root = path.rstrip("/")
+        return files.select(F.regexp_replace("path", rf"^.*?\Q{root.split('/')[-1]}\E/", "").alias("path"), F.sha2("content", 256).alias("sha256"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    top = spark.range(0, 1, 1, 1).select(F.lit("").alias("path"), F.lit(True).alias("folder"))
+    for deep in (False, True):
+        top = top.mapInPandas(partial(_listed, path, deep), "path string, folder boolean").repartition(n, "path")
+    return top.mapInPandas(partial(_digested, path), "path string, sha256 string")
+
+
+def _in_batches(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while some := list(islice(rows, 10_000)):
+        yield pd.DataFrame(some, columns=columns)
+
+
+def _listed(root: str, deep: bool, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What lies in the given folders of `root`, all files below them if `deep`; files stay as they are."""
+    from pyarrow.fs import FileSelector, FileType
+
+    files, base = file_system(root)
+    base = base.rstrip("/")
+
+    def below(folder: str) -> Iterator[tuple[str, bool]]:
+        for x in files.get_file_info(FileSelector(f"{base}/{folder}")):
+            name = x.base_name
+            if name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and name not in ("_metadata", "_common_metadata")):
+                continue
+            at = f"{folder}/{name}" if folder else name
+            if deep and x.type == FileType.Directory:
+                yield from below(at)
+            else:
+                yield at, x.type == FileType.Directory
+
+    for df in parts:
+        yield from _in_batches((row for p, folder in zip(df["path"], df["folder"]) for row in (below(p) if folder else [(p, False)])), ["path", "folder"])
+
+
+def _digested(root: str, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    files, base = file_system(root)
+    base = base.rstrip("/")
+
+    def digests(names: Iterator[str]) -> Iterator[tuple[str, str]]:
+        for name in names:
+            digest = hashlib.sha256()
+            try:
+                with files.open_input_stream(f"{base}/{name}", compression=None) as f:
+                    while piece := f.read(1 << 20):
+                        digest.update(piece)
+            except OSError:
+                continue
+            yield name, digest.hexdigest()
+
+    for df in parts:
+        yield from _in_batches(digests(iter(df["path"])), ["path", "sha256"])
 
 
 def html_links(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -37,11 +37,12 @@ def files(rows: DataFrame, root: str) -> None:
     are left out; of several with one path any stays."""
     def write(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         target, base = file_system(root)
-        done = 0
+        done, last = 0, None
         for df in part:
             for path, content in zip(df["path"], df["content"]):
                 name = f"{base}/{path}"
-                target.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                if (folder := name.rsplit("/", 1)[0]) != last:
+                    target.create_dir(last := folder, recursive=True)
                 own = f"{name}.{uuid.uuid4().hex}.part"
                 with target.open_output_stream(own) as f:
                     f.write(content.encode())

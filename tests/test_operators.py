@@ -219,3 +219,32 @@ def test_sinks(spark, tmp_path):
     kept = snapshots.upsert(old.withColumn("ts", F.lit(1)), new.withColumn("ts", F.lit(1)), ["path"], "ts")
     assert {r.path: r.sha256 for r in kept.collect()} == {"a": "1", "b": "9", "c": "3", "d": "4"}
     assert snapshots.orphans(old.withColumnRenamed("path", "stem"), new.withColumnRenamed("path", "stem"), 1).count() == 0
+
+
+def test_file_digests_of_many_small_files(spark, tmp_path):
+    import hashlib
+
+    root = tmp_path / "files"
+    want = {}
+    for k in range(400):
+        f = root / (f"{k % 3}/{k % 5}/{k}" if k % 7 else f"{k} ü%20.gz")
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"x" * k)
+        want[str(f.relative_to(root))] = hashlib.sha256(b"x" * k).hexdigest()
+    for name in ("_no", ".no", "0/_no", "_none/x"):
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_text("hidden")
+    for at in (str(root), f"file://{root}/"):
+        found = readers.file_digests(spark, at)
+        assert {r.path: r.sha256 for r in found.collect()} == want
+        assert found.rdd.getNumPartitions() <= max(4, spark.sparkContext.defaultParallelism)
+
+
+def test_rows_of_one_id_have_files_of_their_own(spark, tmp_path):
+    import hashlib
+
+    from scriptorium.plans import round_trips
+
+    spark.createDataFrame([(1,), (1,), (None,), (2,)], "doc_id long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(r.sha256 for r in round_trips.source_file_digests(spark, str(tmp_path)).collect())
+    assert got == sorted(hashlib.sha256(f"{k}\n".encode()).hexdigest() for k in (1, 1, 2))
