@@ -44,15 +44,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder: lineage ends there, and a lost executor loses
-    nothing. Shuffle files that no DataFrame can ask for any more then go: Spark drops them once the driver has collected
-    its garbage, which by itself may take it half an hour."""
-    shared_folder(df.sparkSession)
+    nothing. Shuffle files that no DataFrame can ask for any more then go, `df`'s own too unless the caller keeps it."""
+    spark = df.sparkSession
+    shared_folder(spark)
     out = df.checkpoint()
+    del df  # while a name holds it, its shuffle files stay
+    sweep(spark)
+    return out
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no DataFrame can ask for any more, at most every five seconds: Spark drops them once the driver
+    has collected its garbage, which by itself may take it half an hour."""
     if time.monotonic() - _SWEPT[0] > 5:
         gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
+        _released(spark)
+        for pause in (0.2, 0):  # the first collection only frees what holds the last step's shuffles
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(pause)
         _SWEPT[0] = time.monotonic()
-    return out
+
+
+def _released(spark: SparkSession) -> None:
+    """Tells the JVM what Python has let go of; py4j's own thread looks once a second and would come after the JVM's collection."""
+    waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    while waiting:
+        try:
+            task = waiting.pop()
+        except IndexError:  # its thread was faster
+            return
+        if not isinstance(task, tuple):  # the sign to stop is for its thread
+            waiting.append(task)
+            return
+        task[0].garbage_collect_object(task[1], False)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +85,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if _PASSING:
         _PASSING[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    del df
+    sweep(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 @contextmanager

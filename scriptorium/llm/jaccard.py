@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, prepare
+from .common import cut, partitions, prepare, sweep
 from .links import Bloom, components
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -420,7 +421,15 @@ def met_in_groups(rows: DataFrame, known: DataFrame, share: int, a_row: int | No
     return sent.mapInArrow(pairs, "a long, b long, more long")
 
 
-def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, most_heavy: int = 200_000, piece: int = 4096, a_row: int = 4) -> DataFrame:
+def met_in_turns(rows: DataFrame, known: DataFrame, share: int, a_row: int | None, most: int) -> DataFrame:
+    """`met_in_groups`, stored, in turns over the keys that send about `most` rows with a sketch each: what one turn has sent
+    goes before the next one."""
+    turns = max(1, -(-rows.count() // max(1, most)))
+    own = F.pmod(F.xxhash64("key", F.lit("turn")), F.lit(turns))
+    return reduce(DataFrame.unionByName, [cut(met_in_groups(rows.where(own == k), known, share, a_row)) for k in range(turns)])
+
+
+def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, most_heavy: int = 200_000, piece: int = 4096, a_row: int = 4, most_sent: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, links) for every document: the size of its set of n-word
     shingles, the least doc_id reachable by links of at least `share`% Jaccard similarity, and whether
     its set has a link to a different set.
@@ -440,7 +449,8 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
     3. All pairs that are left in those groups: in different components, allowed by the sketches, not
        yet compared.
 
-    So the pairs compared are linear in the rows but for near misses: sets that look similar enough and
+    Groups of the same nodes count once. The sketches of a group's rows are sent in turns of about `most_sent` a node, so that what
+    they take on disk grows with the nodes, however many groups a node is in. So the pairs compared are linear in the rows but for near misses: sets that look similar enough and
     aren't. Whole sets decide. Groups beyond `piece` rows are split, see `dealt`. Tokens counted in one
     node only aren't sent: nobody meets there.
 
@@ -473,6 +483,7 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
 
     often = _sets(docs, n, "token long", counted).groupBy("token").count().where("count > 1")
     often = spark.sparkContext.broadcast(Bloom.of(often, "token", log_bits).words)
+    sweep(spark)
 
     def tokens_of(key, tokens, node, new):
         rank = marks(tokens, Bloom(often.value))
@@ -552,15 +563,18 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
     rows = shared.select("token", "node").unionByName(shared.select("token", F.col("leader").alias("node")).distinct())
 
     def several(rows: DataFrame, part: DataFrame) -> DataFrame:
-        """Rows with their component, of the groups that hold more than one."""
+        """Rows with their component, of the groups that hold more than one. Groups of the same nodes are one group: copies of a
+        text share many tokens."""
         rows = rows.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+        marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark_{k}") for k in (0, 1)]
+        groups = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), *marks)
+        mixed = groups.where("lo <> hi").groupBy("n", "mark_0", "mark_1").agg(F.min("token").alias("token")).select("token")
         return rows.join(mixed, "token", "left_semi")
 
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    keys = dealt(several(rows, part), piece)
+    nodes, keys = known.count(), dealt(cut(several(rows, part)), piece)
     for limit in (a_row, None):
-        found = cut(met_in_groups(keys, known, share, limit))
+        found = met_in_turns(keys, known, share, limit, most_sent * nodes)
         pairs = cut(found.where("more IS NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         if pairs.limit(1).count():
             tested = tested.unionByName(pairs)
@@ -571,7 +585,7 @@ def similar(docs: DataFrame, n: int = 4, share: int = 85, log_bits: int = 26, mo
         more = found.where("more IS NOT NULL").select(F.col("more").alias("key")).distinct()
         if not more.limit(1).count():
             break
-        keys = dealt(several(rows, part), piece).join(more, "key", "left_semi")
+        keys = dealt(cut(several(rows, part)), piece).join(more, "key", "left_semi")
     linked = members.join(part, "node", "left")
     group = F.when(F.col("size") > 0, F.coalesce("component", "node"))
     linked = cut(linked.select("doc_id", F.col("size").alias("n_shingles"), group.alias("group"), F.col("component").isNotNull().alias("links")))

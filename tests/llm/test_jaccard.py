@@ -1,7 +1,9 @@
 import random
 import re
+import time
+from collections import defaultdict
 
-from scriptorium.llm import jaccard
+from scriptorium.llm import common, jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -196,3 +198,46 @@ def test_columns_of_any_name_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, node long, row string")
     got = {tuple(r) for r in jaccard.distinct_documents(docs, n=5, share=80).collect()}
     assert got == {rows[0], rows[2], rows[3]}
+
+
+def test_groups_of_the_same_nodes_meet_once_and_in_turns(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    rows = []
+    for family in range(6):  # copies that drift, so the first round leaves several components that share many tokens
+        base = [word() for _ in range(200)]
+        for i in range(12):
+            rows.append((100 * family + i, " ".join(base)))
+            for _ in range(3):
+                base[rng.randrange(200)] = word()
+    met, plain = [], jaccard.met_in_groups
+
+    def watched(keys, *rest):
+        met.append([(r.key, r.node) for r in keys.collect()])
+        return plain(keys, *rest)
+
+    monkeypatch.setattr(jaccard, "met_in_groups", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similar(docs, most_sent=1).collect())
+    assert got == brute(rows)
+    assert len(met) > 1 and len({k for turn in met for k, _ in turn}) == sum(len({k for k, _ in turn}) for turn in met)
+    groups = defaultdict(set)
+    for turn in met:
+        for key, node in turn:
+            groups[key].add(node)
+    assert len({frozenset(g) for g in groups.values()}) == len(groups)
+
+
+def test_a_cut_lets_its_own_shuffle_files_go(spark):
+    tracked = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    common._SWEPT[0] = -10
+    common.cut(spark.range(10))
+    time.sleep(2)
+    before = tracked()
+    common._SWEPT[0] = -10
+    out = common.cut(spark.range(1000).repartition(3, "id"))
+    for _ in range(40):
+        if tracked() <= before:
+            break
+        time.sleep(0.25)
+    assert tracked() <= before and out.count() == 1000
