@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,10 +13,18 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _moments(block: bytes) -> Iterator[tuple[int, int]]:
+    """(moment, events) of a block."""
+    flat = array("q")
+    flat.frombytes(bytes(block))
+    return zip(flat[::2], flat[1::2])
+
+
 class Throttle(StatefulProcessor):
     """For each key: the moment of the last accepted event, how many events wait for each moment, and the first of these, for which
     there is a timer. An event is decided once the watermark has passed it, so whatever came before it has come: a timer decides all that
-    the watermark has passed, and sets the next one."""
+    the watermark has passed, and sets the next one. What a batch brings for a key is one block of state, by its first moment, for each
+    access to state is a message; blocks that a timer needn't decide stay as they are."""
 
     def __init__(self, micros: int):
         self.micros = micros
@@ -23,19 +32,26 @@ class Throttle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "at long")
-        self.waiting = handle.getMapState("waiting", "at long", "n long")
+        self.waiting = handle.getMapState("waiting", "at long", "block binary")
         self.next = handle.getValueState("next", "at long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        new = Counter(r["at"] for r in rows if r["at"] // 1000 >= passed)  # others are later than the stream waits
-        for at, n in new.items():
-            found = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else None
-            self.waiting.updateValue((at,), ((found[0] if found else 0) + n,))
+        new = Counter(at for at in (r["at"] for r in rows) if at // 1000 >= passed)  # others are later than the stream waits
         if new:
-            self._wait_for(min(new))
+            first = min(new)
+            self._keep(new)
+            self._wait_for(first)
         return iter([])
 
+    def _keep(self, new: Counter) -> None:
+        """Stores a block, with one that has the same first moment."""
+        first = (min(new),)
+        if self.waiting.containsKey(first):
+            for at, n in _moments(self.waiting.getValue(first)[0]):
+                new[at] += n
+        self.waiting.updateValue(first, (array("q", [x for pair in sorted(new.items()) for x in pair]).tobytes(),))
+
     def _wait_for(self, at: int) -> None:
         """Sets a timer, unless there is one as early."""
         if not self.next.exists() or at < self.next.get()[0]:
@@ -46,14 +62,22 @@ class Throttle(StatefulProcessor):
         end = timerValues.getCurrentWatermarkInMs() * 1000
         if not self.next.exists() or self.next.get()[0] >= end:
             return  # an earlier timer has decided it all
-        waiting = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
-        due = [x for x in waiting if x[0] < end]
+        due, left, firsts = Counter(), Counter(), []
+        for (first,), block in list(self.waiting.iterator()):
+            if first >= end:
+                firsts.append(first)
+                continue
+            self.waiting.removeKey((first,))
+            for at, n in _moments(block[0]):
+                (due if at < end else left)[at] += n
+        if left:
+            firsts.append(min(left))
+            self._keep(left)
         self.next.clear()
-        if len(due) < len(waiting):
-            self._wait_for(waiting[len(due)][0])
+        if firsts:
+            self._wait_for(min(firsts))
         last = self.last.get()[0] if self.last.exists() else None
-        for at, n in due:
-            self.waiting.removeKey((at,))
+        for at, n in sorted(due.items()):
             for _ in range(n):
                 ok = last is None or at - last >= self.micros
                 last = at if ok else last

@@ -122,3 +122,36 @@ def test_one_timer_decides_all_that_the_watermark_has_passed():
             got += [(r.at // 1_000_000, r.accepted) for r in t.handleExpiredTimer((1,), _Moment(mark), _Moment(ms))]
     assert [x for x, ok in got if ok] == [*range(0, 50, 5), 100, 200] and len(got) == len(times)
     assert h.states["waiting"].read == 2 and not h.states["waiting"]
+
+
+def test_a_batch_is_one_block_of_a_keys_state():
+    class Counted(_State):
+        written = 0
+
+        def updateValue(self, k, v):
+            self.written += 1
+            self[k] = v
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, []
+            self.getValueState = self.getMapState = lambda name, *_: self.states.setdefault(name, Counted())
+            self.registerTimer = self.timers.append
+
+    h = Handle()
+    t = throttle.Throttle(3_000_000)
+    t.init(h)
+    batches = [[*range(0, 100, 2), 0], [*range(0, 100, 3)], [*range(1, 100, 5), 500]]
+    for b in batches:
+        list(t.handleInputRows((1,), iter([{"at": 1_000_000 * a} for a in b]), _Moment(0)))
+    assert h.states["waiting"].written == 3
+    got = []
+    for mark in (50_500, 70_500, 900_000):
+        for ms in sorted(x for x in h.timers if x <= mark):
+            h.timers.remove(ms)
+            got += [(r.at // 1_000_000, r.accepted) for r in t.handleExpiredTimer((1,), _Moment(mark), _Moment(ms))]
+    want, last = [], None
+    for a in sorted(a for b in batches for a in b):
+        want.append((a, last is None or a - last >= 3))
+        last = a if want[-1][1] else last
+    assert got == want and not h.states["waiting"]
